@@ -229,16 +229,24 @@ def passage_cuts(docs: DataFrame, window: int = 100, block_bytes: int = 8 << 20,
             for name, x in zip(rows, (to, block, cuts, parts, text), strict=True):
                 rows[name].append(x)
 
-        c = np.zeros(int(gone.sum()), dtype=CUTS)
-        c["row"], c["start"], c["count"] = s.row[gone], s.start[gone], s.count[gone]
-        if len(c):
-            c = joined(c, 1)
-            emit(-1 - block, c.tobytes(), None, None)
         open_ = first[(flag & 3) == 2]
         many = flag[(flag & 3) == 2] & 4 > 0
-        lone = open_[many]  # of crowded stretches each window travels alone, filed by its own hash
+        # of crowded stretches each window travels alone, filed by its own hash; the first of equal ones in the block goes
+        lone = open_[many]
         w_of = np.repeat(np.arange(len(lone)), s.count[lone])
         w_in = np.arange(len(w_of)) - np.repeat(np.cumsum(s.count[lone]) - s.count[lone], s.count[lone])
+        w_row, w_start = s.row[lone[w_of]], s.start[lone[w_of]] + w_in
+        digest = [hashlib.blake2b(data[a : a + window], digest_size=8).digest() for a in offsets[w_row] + w_start]
+        digest = np.frombuffer(b"".join(digest), dtype=np.uint64)
+        _, lead = np.unique(digest, return_index=True)
+        later = np.ones(len(digest), dtype=bool)
+        later[lead] = False
+        c = np.zeros(int(gone.sum()) + int(later.sum()), dtype=CUTS)
+        c["row"], c["start"] = np.concatenate((s.row[gone], w_row[later])), np.concatenate((s.start[gone], w_start[later]))
+        c["count"] = np.concatenate((s.count[gone], np.ones(int(later.sum()), dtype=np.int64)))
+        if len(c):
+            emit(-1 - block, joined(np.sort(c, order=("row", "start")), 1).tobytes(), None, None)
+        w_of, w_in, digest = w_of[lead], w_in[lead], digest[lead]
         p = np.zeros(int((~many).sum()) + len(w_of), dtype=PART)
         src = np.concatenate((open_[~many], lone[w_of]))
         inner = np.concatenate((np.zeros(int((~many).sum()), dtype=np.int64), w_in))
@@ -247,15 +255,10 @@ def passage_cuts(docs: DataFrame, window: int = 100, block_bytes: int = 8 << 20,
         p["count"] = np.concatenate((s.count[open_[~many]], np.ones(len(w_of), dtype=np.int64)))
         p["size"] = p["count"] - 1 + window
         lo = offsets[p["row"]] + p["start"]
-        to = p["mh"].copy()
-        if len(w_of):
-            solo = np.arange(len(p)) >= len(p) - len(w_of)
-            to[solo] = mix(to[solo] + np.array([zlib.crc32(data[a : a + window]) for a in lo[solo]], dtype=np.uint64))
+        to = np.concatenate((p["mh"][: len(p) - len(w_of)], mix(digest)))
         to = (to % np.uint64(n_buckets)).astype(np.int64)
         for b in np.unique(to):
             o = np.flatnonzero(to == b)
-            if len(w_of):  # equal windows of one block go once, and the later ones are settled here
-                o = o[np.lexsort((p["start"][o], p["row"][o]))]
             emit(int(b), None, p[o].tobytes(), b"".join(data[a : a + z].tobytes() for a, z in zip(lo[o], p["size"][o], strict=True)))
         return pa.table(rows, schema=pa.schema([("key", pa.int64()), ("block", pa.int64()), ("cuts", pa.binary()), ("parts", pa.binary()), ("text", pa.binary())]))
 
@@ -295,7 +298,7 @@ def joined(c: np.ndarray, near: int) -> np.ndarray:
     if not len(c):
         return c
     end = c["start"] + c["count"]
-    new = np.concatenate(([True], (c["row"][1:] != c["row"][:-1]) | (c["start"][1:] > end[:-1])))
+    new = np.concatenate(([True], (c["row"][1:] != c["row"][:-1]) | (c["start"][1:] > end[:-1] + near - 1)))
     first = np.flatnonzero(new)
     out = c[first].copy()
     out["count"] = end[np.append(first[1:], len(c)) - 1] - out["start"]
