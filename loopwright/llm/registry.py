@@ -13,6 +13,8 @@ from loopwright.llm.common import table
 QUERIES = {
     "op1_divergence": ("divergence", "op1_divergence", ("documents",)),
     "op4_suffix_lpf": ("suffix_dedup", "op4_suffix_lpf", ("documents",)),
+    "op6_positive_unlabelled": ("pu_quality", "op6_positive_unlabelled", ("documents", "labels")),
+    "op7_byte_gru": ("byte_gru", "op7_byte_gru", ("documents",)),
     "op8_bbit_minhash": ("bbit_minhash", "op8_bbit_minhash", ("documents",)),
     "op9_sainte_lague": ("apportion", "op9_sainte_lague", ("documents",)),
     "op10_hypergeometric": ("hypershuffle", "op10_hypergeometric", ("documents",)),
