@@ -12,6 +12,7 @@ from loopwright.llm.common import table
 #: query -> (module, function, tables handed over in order)
 QUERIES = {
     "op1_divergence": ("divergence", "op1_divergence", ("documents",)),
+    "op3_nbest": ("nbest", "op3_nbest", ("documents",)),
     "op4_suffix_lpf": ("suffix_dedup", "op4_suffix_lpf", ("documents",)),
     "op6_positive_unlabelled": ("pu_quality", "op6_positive_unlabelled", ("documents", "labels")),
     "op7_byte_gru": ("byte_gru", "op7_byte_gru", ("documents",)),
