@@ -14,6 +14,7 @@ QUERIES = {
     "op1_divergence": ("divergence", "op1_divergence", ("documents",)),
     "op3_nbest": ("nbest", "op3_nbest", ("documents",)),
     "op4_suffix_lpf": ("suffix_dedup", "op4_suffix_lpf", ("documents",)),
+    "op5_projection_forest": ("rp_forest", "op5_projection_forest", ("embeddings",)),
     "op6_positive_unlabelled": ("pu_quality", "op6_positive_unlabelled", ("documents", "labels")),
     "op7_byte_gru": ("byte_gru", "op7_byte_gru", ("documents",)),
     "op8_bbit_minhash": ("bbit_minhash", "op8_bbit_minhash", ("documents",)),
