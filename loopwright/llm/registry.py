@@ -12,6 +12,7 @@ from loopwright.llm.common import table
 #: query -> (module, function, tables handed over in order)
 QUERIES = {
     "op1_divergence": ("divergence", "op1_divergence", ("documents",)),
+    "op2_page_differencing": ("pagediff", "op2_page_differencing", ("pages",)),
     "op3_nbest": ("nbest", "op3_nbest", ("documents",)),
     "op4_suffix_lpf": ("suffix_dedup", "op4_suffix_lpf", ("documents",)),
     "op5_projection_forest": ("rp_forest", "op5_projection_forest", ("embeddings",)),
