@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 
 from loopwright.functions import classifiers as C
 from loopwright.functions.text import half_up, sim_overlap_min, split_space, tok_overlap
 
-BY = W.partitionBy("session_id").orderBy("seq")
+def by_turn() -> WindowSpec:
+    """A session's turns in order."""
+    return W.partitionBy("session_id").orderBy("seq")
 
 
 def turn_features(turns: DataFrame) -> DataFrame:
@@ -21,9 +24,9 @@ def turn_features(turns: DataFrame) -> DataFrame:
     user = F.col("role") == "user"
     low = F.lower("text")
     n = F.size(split_space(F.trim("text")))
-    t = turns.withColumns({"prev_role": F.lag("role").over(BY), "prev_chars": F.lag("char_count").over(BY)})
-    t = t.withColumn("n_user", F.sum(user.cast("int")).over(BY.rowsBetween(W.unboundedPreceding, 0)))
-    t = t.withColumn("prev_user", F.last(F.when(user, F.col("text")), True).over(BY.rowsBetween(W.unboundedPreceding, -1)))
+    t = turns.withColumns({"prev_role": F.lag("role").over(by_turn()), "prev_chars": F.lag("char_count").over(by_turn())})
+    t = t.withColumn("n_user", F.sum(user.cast("int")).over(by_turn().rowsBetween(W.unboundedPreceding, 0)))
+    t = t.withColumn("prev_user", F.last(F.when(user, F.col("text")), True).over(by_turn().rowsBetween(W.unboundedPreceding, -1)))
     approval = C.holds(low, C.SESSION_APPROVALS)
     again = sim_overlap_min(tok_overlap(F.col("text")), tok_overlap(F.col("prev_user"))) > 0.6
     return t.withColumns(
@@ -39,8 +42,8 @@ def turn_features(turns: DataFrame) -> DataFrame:
 
 def assistant_runs(features: DataFrame) -> DataFrame:
     """(session_id, run, n, ended_by_correction): runs of assistant turns between user turns."""
-    t = features.withColumn("run", F.sum((F.col("role") != "assistant").cast("int")).over(BY.rowsBetween(W.unboundedPreceding, 0)))
-    nxt = F.lead("correction").over(BY)
+    t = features.withColumn("run", F.sum((F.col("role") != "assistant").cast("int")).over(by_turn().rowsBetween(W.unboundedPreceding, 0)))
+    nxt = F.lead("correction").over(by_turn())
     t = t.withColumn("stopped", F.coalesce(nxt, F.lit(False))).where("role = 'assistant'")
     return t.groupBy("session_id", "run").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("seq", "stopped"))["stopped"].alias("ended_by_correction"))
 
@@ -75,8 +78,8 @@ def sentiment_gate(sessions: DataFrame, rated: DataFrame) -> DataFrame:
 
 def debrief(turns: DataFrame) -> DataFrame:
     """(session_id, turn_index, kind, severity, theme, phrase, context) of corrections and approvals in user turns."""
-    last = F.last(F.when(F.col("role") == "assistant", F.col("text")), True).over(BY.rowsBetween(W.unboundedPreceding, -1))
-    t = turns.withColumn("reply", last).where("role = 'user'").withColumn("turn_index", F.row_number().over(BY) - 1)
+    last = F.last(F.when(F.col("role") == "assistant", F.col("text")), True).over(by_turn().rowsBetween(W.unboundedPreceding, -1))
+    t = turns.withColumn("reply", last).where("role = 'user'").withColumn("turn_index", F.row_number().over(by_turn()) - 1)
     low = F.lower("text")
     theme = C.first_match(low, [("stop|don'?t", "behavioral-correction"), ("wrong|incorrect|not right", "accuracy-error"), ("missed|too much|didn'?t ask", "scope-mismatch")], "general-correction")
     context = F.when(F.col("reply").isNotNull(), F.concat(F.lit("User: "), F.substring("text", 1, 150), F.lit("\nAssistant: "), F.substring("reply", 1, 150))).otherwise(F.substring("text", 1, 300))
@@ -106,7 +109,7 @@ def assertion_audit(messages: DataFrame, key: str = "message_id", text: str = "t
 
 def harvest(turns: DataFrame, least: int = 20) -> DataFrame:
     """(session_id, seq, kind, category, context): learnings in turns of `least` characters, with the qualifying turn before."""
-    t = turns.where(F.length(F.trim("text")) >= least).withColumn("context", F.substring(F.lag("text").over(BY), 1, 200))
+    t = turns.where(F.length(F.trim("text")) >= least).withColumn("context", F.substring(F.lag("text").over(by_turn()), 1, 200))
     user = F.col("role") == "user"
     problem = C.any_of(F.col("text"), C.HARVEST_ERRORS) & F.col("text").rlike("(?i)fix|solved|resolved|the issue was|problem was")
     kinds = F.array_compact(
@@ -122,11 +125,11 @@ def harvest(turns: DataFrame, least: int = 20) -> DataFrame:
 def extract_task(turns: DataFrame) -> DataFrame:
     """(session_id, strategy, score, task): an issue in the first 20 turns, else the best-scored of the first 10 user turns or a
     branch, whichever is surer, else the first user turn."""
-    t = turns.withColumn("n", F.row_number().over(BY)).where("n <= 40")
+    t = turns.withColumn("n", F.row_number().over(by_turn())).where("n <= 40")
     user = F.col("role") == "user"
     issue = F.coalesce(F.nullif(F.regexp_extract("text", r"gh\s+issue\s+view\s+(\d+)", 1), F.lit("")), F.when(user, F.nullif(F.regexp_extract("text", r"(?:^|\s)#(\d{1,5})(?:\s|$|[.,;!?)])", 1), F.lit(""))))
     branch = F.coalesce(F.nullif(F.regexp_extract("text", r"(?i)(?:checkout|merge|branch)\s+(?:-b\s+)?(\d+-[a-z0-9-]+)", 1), F.lit("")), F.nullif(F.regexp_extract("text", r"\b(\d{2,4}-[a-z][a-z0-9-]{4,})\b", 1), F.lit("")))
-    t = t.withColumn("u", F.sum(user.cast("int")).over(BY.rowsBetween(W.unboundedPreceding, 0))).withColumns({"issue": F.when(F.col("n") <= 20, issue), "branch": branch, "score": C.message_score(F.col("text"))})
+    t = t.withColumn("u", F.sum(user.cast("int")).over(by_turn().rowsBetween(W.unboundedPreceding, 0))).withColumns({"issue": F.when(F.col("n") <= 20, issue), "branch": branch, "score": C.message_score(F.col("text"))})
     low = C.holds(F.lower(F.trim("text")), C.GARBAGE)
     best = F.max(F.when(user & (F.col("u") <= 10) & (F.col("score") > 0.3) & ~low, F.struct("score", (-F.col("n")).alias("n"), "text")))
     g = t.groupBy("session_id").agg(F.min(F.when(F.col("issue").isNotNull(), F.struct("n", "issue"))).alias("i"), best.alias("b"), F.min(F.when(F.col("branch").isNotNull(), F.struct("n", "branch"))).alias("r"), F.min(F.when(user, F.struct("n", "text"))).alias("f"))
