@@ -1,3 +1,31 @@
 """DuckDB statements for the corpus queries that SQL can state whole."""
 
-ORACLE: dict[str, str] = {}
+#: Two-word shingles met through an inverted index; links by exact set sizes; components by reachability.
+_NEAR = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS id, a AS m FROM u UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.id),
+c AS (SELECT id, min(m) AS c FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id, doc_id = coalesce(c, doc_id) AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = doc_id"""
+
+_VECTORS = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), ok AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9::DOUBLE),
+r AS (SELECT a AS id, a AS m FROM l UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(m) AS c FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, v.vec_id) AS component_id, v.vec_id = coalesce(c, v.vec_id) AS kept FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN c ON c.id = v.vec_id"""
+
+#: Every 100-byte string as 200 hexadecimal digits, with where it starts first; removed places are a running maximum of the ends.
+_PASSAGES = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT doc_id, s, substr(h, (2 * s + 1)::BIGINT, 200) AS x FROM (SELECT doc_id, unnest(range(0, n - 99)) AS s, h FROM d WHERE n >= 100)),
+f AS (SELECT x, min((doc_id, s)) AS f FROM p GROUP BY 1 HAVING count(*) > 1),
+k AS (SELECT doc_id, s, CASE WHEN (doc_id, s) = f THEN 1 ELSE 2 END AS r FROM p JOIN f USING (x)),
+g AS (SELECT doc_id, s, s > coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100, -1) AS first FROM k WHERE r > 1),
+sp AS (SELECT doc_id, x, min(s) AS lo, max(s) + 100 AS hi FROM (SELECT *, sum(first::INT) OVER (PARTITION BY doc_id ORDER BY s) AS x FROM g) GROUP BY 1, 2),
+kp AS (SELECT doc_id, x, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS b FROM (SELECT doc_id, x, lo, hi FROM sp UNION ALL SELECT doc_id, NULL, n, n FROM d)),
+t AS (SELECT doc_id, string_agg(substr(h, (2 * a + 1)::BIGINT, (2 * (b - a))::BIGINT), '' ORDER BY b, a) AS kept FROM kp JOIN d USING (doc_id) WHERE b > a GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce((SELECT sum(hi - lo) FROM sp WHERE sp.doc_id = d.doc_id), 0)::BIGINT AS n_removed, (SELECT count(*) FROM sp WHERE sp.doc_id = d.doc_id) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""
+
+ORACLE: dict[str, str] = {"op4_suffix_lpf": _PASSAGES, "op5_projection_forest": _VECTORS, "op8_bbit_minhash": _NEAR}
