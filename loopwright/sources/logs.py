@@ -50,7 +50,7 @@ def append_signals(rows: DataFrame, path: str) -> None:
 
 def read_rules(spark: SparkSession, folder: str) -> DataFrame:
     """(id, front, body) of Markdown rules, but for MEMORY* and README* files; front holds `key: value` lines."""
-    d = spark.read.option("wholetext", True).text(folder).select(F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.md$", "").alias("id"), F.col("value"))
+    d = spark.read.text(folder, wholetext=True).select(F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.md$", "").alias("id"), F.col("value"))
     return d.where(~F.col("id").rlike("^(MEMORY|README)")).select("id", frontmatter(F.col("value")).alias("front"), F.regexp_replace("value", r"(?s)\A---\n.*?\n---\n?", "").alias("body"))
 
 
