@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loopwright.llm.common import GAP, cut, words
+from loopwright.llm.common import cut, words
 
 #: Frequent function words of four languages, one bin of the word histogram each language.
 COMMON = {
@@ -73,7 +73,7 @@ def histograms(f: DataFrame) -> DataFrame:
 
 
 def judge(
-    docs: DataFrame, max_char_distance: float = 0.22, max_word_distance: float = 0.6, min_words: int = 50, min_chars: int = 200, min_lang_share: float = 0.005
+    docs: DataFrame, max_char_distance: float = 0.26, max_word_distance: float = 0.24, min_words: int = 50, min_chars: int = 200, min_lang_share: float = 0.005
 ) -> DataFrame:
     """Rule counts of every document and its verdict.
 
@@ -102,6 +102,7 @@ def judge(
 
 
 def op1_divergence(docs: DataFrame) -> DataFrame:
-    """The contract's columns, with the two distances after them."""
-    cols = ["doc_id", "n_words", "word_chars", F.col("symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"]
+    """The contract's columns, with the two distances, to six places, after them."""
+    six = [(F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c) for c in ("char_distance", "word_distance")]
+    cols = ["doc_id", "n_words", "word_chars", F.col("symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words", "base_failed", "kept", *six]
     return judge(docs).select(*cols)

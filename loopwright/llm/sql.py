@@ -28,4 +28,34 @@ kp AS (SELECT doc_id, x, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo)
 t AS (SELECT doc_id, string_agg(substr(h, (2 * a + 1)::BIGINT, (2 * (b - a))::BIGINT), '' ORDER BY b, a) AS kept FROM kp JOIN d USING (doc_id) WHERE b > a GROUP BY 1)
 SELECT doc_id, n AS n_bytes, coalesce((SELECT sum(hi - lo) FROM sp WHERE sp.doc_id = d.doc_id), 0)::BIGINT AS n_removed, (SELECT count(*) FROM sp WHERE sp.doc_id = d.doc_id) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""
 
-ORACLE: dict[str, str] = {"op4_suffix_lpf": _PASSAGES, "op5_projection_forest": _VECTORS, "op8_bbit_minhash": _NEAR}
+
+def _divergence() -> str:
+    """Counts, histograms by language and the nearest Jensen-Shannon distances, as the operator defines them."""
+    from loopwright.llm.divergence import CLASSES, COMMON
+
+    quoted = lambda ws: ", ".join(f"'{w}'" for w in ws)
+    less = lambda pattern: f"(length(t) - length(regexp_replace(t, '{pattern}', '', 'g')))"
+    counts = ", ".join(f"{less(p)} AS c_{c}" for c, p in CLASSES.items())
+    bins = ", ".join(f"len(list_filter(p, lambda x: x IN ({quoted(ws)}))) AS b_{lang}" for lang, ws in COMMON.items())
+    rest = "greatest(word_chars - (" + " + ".join(f"c_{c}" for c in CLASSES) + ") - beyond, 0)"
+    chars = "[" + ", ".join(f"c_{c}::DOUBLE" for c in CLASSES) + f", beyond::DOUBLE, (chars - word_chars)::DOUBLE, {rest}::DOUBLE]"
+    best = "greatest(" + ", ".join(f"b_{x}" for x in COMMON) + ")"
+    hist = "[" + ", ".join(f"b_{x}::DOUBLE" for x in COMMON) + f", greatest(n_words - {best}, 0)::DOUBLE]"
+    total = lambda c, n: "[" + ", ".join(f"sum({c}[{i}])" for i in range(1, n + 1)) + "]"
+    term = lambda x, m: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / {m}) ELSE 0 END"
+    js = lambda p, q: f"sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), lambda i: {term(f'{p}[i]', f'(({p}[i] + {q}[i]) / 2)')} + {term(f'{q}[i]', f'(({p}[i] + {q}[i]) / 2)')})) / 2, 0))"
+    share = lambda c: f"CASE WHEN list_sum({c}) > 0 THEN list_transform({c}, lambda x: x / list_sum({c})) END"
+    six = lambda c: f"floor({c} * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE"
+    return rf"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+e AS (SELECT *, list_transform(w, lambda x: lower(rtrim(x, '.,;:!?#*$%&'))) AS p FROM d),
+f AS (SELECT doc_id, lang, len(w) AS n_words, length(t) AS chars, strlen(t) - length(t) AS beyond, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(l) - len(list_distinct(l)) AS n_dup_lines, {counts}, {bins} FROM e),
+tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS k FROM (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS x FROM d WHERE len(w) >= 3)),
+rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM tri WHERE k > 1) GROUP BY 1),
+g AS (SELECT f.*, coalesce(rep.n, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(rep.n, 0) > 50 * n_words AS base_failed, {chars} AS cc, {hist} AS cw FROM f LEFT JOIN rep USING (doc_id)),
+ref AS (SELECT lang, {share('rc')} AS rc, {share('rw')} AS rw FROM (SELECT lang, count(*) AS n, {total('cc', len(CLASSES) + 3)} AS rc, {total('cw', len(COMMON) + 1)} AS rw FROM g WHERE NOT base_failed AND lang IS NOT NULL GROUP BY 1) WHERE n >= 0.005::DOUBLE * (SELECT count(*) FROM g WHERE NOT base_failed)),
+s AS (SELECT g.*, {share('cc')} AS pc, {share('cw')} AS pw FROM g),
+j AS (SELECT doc_id, min({js('pc', 'rc')}) AS jc, min({js('pw', 'rw')}) AS jw FROM s, ref WHERE chars >= 200 GROUP BY 1)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars, c_symbol::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND coalesce(jc, 0) <= 0.26::DOUBLE AND coalesce(jw, 0) <= 0.24::DOUBLE AS kept, {six('jc')} AS char_distance, {six('jw')} AS word_distance FROM s LEFT JOIN j USING (doc_id)"""
+
+
+ORACLE: dict[str, str] = {"op1_divergence": _divergence(), "op4_suffix_lpf": _PASSAGES, "op5_projection_forest": _VECTORS, "op8_bbit_minhash": _NEAR}

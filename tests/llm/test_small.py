@@ -328,7 +328,7 @@ def test_languages_held_out(spark):
     assert {r.lang_pred for r in rows if r.doc_id < 0} == {"und"} and all(0 <= r.score <= 1 for r in rows)
 
 
-@pytest.mark.parametrize("name", ["op4_suffix_lpf", "op5_projection_forest", "op8_bbit_minhash"])
+@pytest.mark.parametrize("name", ["op1_divergence", "op4_suffix_lpf", "op5_projection_forest", "op8_bbit_minhash"])
 def test_corpus_sql(spark, small, name):
     import oracle
 
