@@ -81,12 +81,14 @@ def session_bm25(tf: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1) * F.lit(float(np.log(2)))
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, query: str = "query_id", item: str = "vec_id", floor: float | None = None, blocks: int = 4) -> DataFrame:
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, query: str = "query_id", item: str = "vec_id", floor: float | None = None, blocks: int | None = None, block_rows: int = 20_000) -> DataFrame:
     """(query, item, sim, rank) of the k nearest items of each query but itself, by blocks of queries against blocks of items.
 
-    Both sides are cut into blocks by a hash; a block pair is one matrix product, of which each query keeps its k best. Rows that
-    travel grow with blocks, not with pairs.
+    Both sides are cut into blocks of about `block_rows` by a hash; a block pair is one matrix product, of which each query keeps
+    its k best. Rows that travel grow with blocks, not with pairs, and a task holds two blocks whatever the number of vectors.
     """
+    if blocks is None:
+        blocks = max(4, -(-max(queries.count(), vectors.count()) // block_rows))
     side = lambda d, c: d.select(F.col(c).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e"), F.pmod(F.xxhash64(c), F.lit(blocks)).alias("b"))
     every = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
     q = side(queries, query).select("id", "e", F.col("b").alias("qb"), F.explode(every).alias("ib"))
