@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loopwright.functions.text import bigrams, half_up, split_space
 
+# The lists, patterns and their order below are what classifies; they must stay as they are for right results.
 POSITIVE = (
     "excellent|amazing|brilliant|fantastic|wonderful|incredible|awesome|perfect|great|nice|superb|outstanding|terrific|love it|nailed it|well done|good job|great job|nice work|stellar|phenomenal|remarkable|splendid|beautiful|magnificent"
 ).split("|")
