@@ -73,7 +73,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 def estimate(a: str, b: str) -> Column:
     """Similarity of two packed signatures: the share of equal values less that of chance collisions."""
-    spread = int("01" * 32, 2) if BITS == 2 else None
+    spread = int("01" * 32, 2)  # the low bit of every two-bit value
     differ = F.lit(0)
     for x in LANES:
         y = F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))
@@ -97,14 +97,14 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of distinct representatives whose full shingle sets reach the similarity, checkpointed."""
-    pairs = cut(pairs)
+    """(a, b, j, linked): the similarity of the full shingle sets of pairs of representatives, checkpointed."""
+    pairs = cut(pairs.select("a", "b"))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = cut(shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), k))
     left, right = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
     joined = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("ha", "hb")))
     whole = F.size("ha") + F.size("hb") - F.col("both")
-    return cut(joined.where(100 * F.col("both") >= percent * whole).select("a", "b"))
+    return cut(joined.select("a", "b", (F.col("both") / whole).alias("j"), (100 * F.col("both") >= percent * whole).alias("linked")))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slack: float = 0.17) -> DataFrame:
@@ -112,10 +112,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slack: float
 
     Equal shingle sets become one class under their smallest doc_id, so exact copies cost one row. Classes meet if
     they share one of 32 bands of four minima (a pair at 0.8 misses all with probability 5e-8). Candidates must pass the
-    packed estimate within `slack` (four standard deviations) and are confirmed on full sets. In each bucket all classes
-    are first held against its smallest and largest; after these links, the classes outside the bucket's
-    main component are held against every class of another component in the bucket, so that no link between
-    components is missed while a bucket of near copies costs linear work. Component ids are settled by star contraction.
+    packed estimate within `slack` (four standard deviations) and are confirmed on full sets. Each bucket's hub is the
+    class with the most neighbours over all its bands; first all of a bucket is held against its hub. After these links, the
+    classes outside the bucket's main component are held against every class of another component, unless their distances
+    to the hub differ by more than a link allows (Jaccard distance is a metric). So no link between components is missed, while a
+    bucket of near copies costs linear work and little beyond. Component ids are settled by star contraction.
 
     Null and empty texts and texts of white space have no shingles and link with nothing. Rows that repeat a doc_id
     share its class and are all kept or all dropped. An empty table gives an empty result; other columns are ignored.
@@ -125,29 +126,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slack: float
     classes = cut(d.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in (*LANES, "bands")]))
     sig = classes.select("rep", "n", *LANES)
     rows = classes.select("rep", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("m > 1")
-    members = cut(rows.join(shared, "key").select("key", "rep", "lo", "hi"))
-    stars = members.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("hi").alias("b")))).alias("p"))
-    stars = stars.select("p.a", "p.b").where("a < b").distinct()
-    floor = percent / 100 - slack
-    alike = lambda x, y: (estimate(x, y) >= floor) & (100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n"))
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        x, y = sig.alias("x"), sig.alias("y")
-        return pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).where(alike("x", "y")).select("a", "b")
-
-    links = confirmed(likely(stars), docs, k, percent)
-    comp = cut(components(links))
+    members = cut(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "key"))
+    degree = members.groupBy("rep").agg(F.sum("m").alias("degree"))
+    hubs = members.join(degree, "rep").groupBy("key").agg((-F.max(F.struct("degree", (-F.col("rep")).alias("r")))["r"]).alias("hub"))
+    members = cut(members.join(hubs, "key").select("key", "rep", "hub"))
+    x, y = sig.alias("x"), sig.alias("y")
+    stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    ratio = F.least("x.n", "y.n") / F.greatest("x.n", "y.n")
+    stars = cut(stars.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).select("a", "b", estimate("x", "y").alias("e"), ratio.alias("ratio")))
+    floor, least = percent / 100 - slack, percent / 100
+    known = confirmed(stars.where((F.col("e") >= floor) & (F.col("ratio") >= least)), docs, k, percent)
+    comp = cut(components(known.where("linked").select("a", "b")))
+    # how near each member may be to its hub: exact where confirmed, else what estimate and sizes allow
+    near = stars.join(known.select("a", "b", "j"), ["a", "b"], "left")
+    near = near.select(F.col("a").alias("hub"), F.col("b").alias("rep"), F.coalesce("j", F.lit(0.0)).alias("low"), F.coalesce("j", F.least(F.col("e") + 1.5 * slack, "ratio")).alias("high"))
     # classes outside the main component of a bucket against the rest of the bucket
-    at = members.select("key", "rep").join(comp, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    at = members.join(comp, F.col("rep") == F.col("id"), "left").select("key", "rep", "hub", F.coalesce("component", "rep").alias("c"))
     parts = at.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
     main = parts.groupBy("key").agg(F.max(F.struct("m", (-F.col("c")).alias("c"))).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = cut(at.join(main.select("key", (-F.col("top.c")).alias("main")), "key").join(sig, "rep"))
+    mixed = at.join(main.select("key", (-F.col("top.c")).alias("main")), "key").join(near, ["hub", "rep"], "left").join(sig, "rep")
+    one = F.col("rep") == F.col("hub")
+    mixed = cut(mixed.withColumns({"low": F.when(one, 1.0).otherwise(F.coalesce("low", F.lit(0.0))), "high": F.when(one, 1.0).otherwise(F.coalesce("high", F.lit(1.0)))}))
+    # their sets as half hashes stand in the join's condition, so that it puts out links and not pairs
+    own = docs.select("doc_id", "text").join(mixed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    halves = shingle_sets(own, k).select(F.col("id").alias("rep"), F.transform("hashes", lambda h: F.shiftright(h, 32).cast("int")).alias("half"))
+    mixed = mixed.join(halves, "rep")
     x, y = mixed.where("c <> main").alias("x"), mixed.alias("y")
-    tried = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & tried & alike("x", "y")).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    more = confirmed(rest, docs, k, percent)
+    tried = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))) & (F.col("x.rep") != F.col("x.hub")) & (F.col("y.rep") != F.col("y.hub"))
+    reach = (F.col("x.low") - F.col("y.high") <= 1 - least + 1e-9) & (F.col("y.low") - F.col("x.high") <= 1 - least + 1e-9)
+    alike = (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")) & (estimate("x", "y") >= floor)
+    both = F.size(F.array_intersect("x.half", "y.half"))
+    linked = F.when(tried & reach & alike, both >= (least - 0.002) * (F.col("x.n") + F.col("y.n") - both)).otherwise(False)
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & linked).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    more = confirmed(rest, docs, k, percent).where("linked").select("a", "b")
     comp = cut(components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)))
     named = classes.select(*key, "rep").join(comp, F.col("rep") == F.col("id"), "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     out = d.select("doc_id", *key).join(named, key, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
