@@ -190,7 +190,7 @@ def passage_cuts(docs: DataFrame, window: int = 100, block_bytes: int = 8 << 20,
         return pa.table(rows, schema=pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())]))
 
     def reply(key: tuple, t: pa.Table) -> pa.Table:
-        """For each announced stretch: 1 its like stands earlier, 2 it may share a window with another, 4 many may."""
+        """For each announced stretch: 1 its like stands earlier, 2 it may share a window with another, 4 many may with one under its minimiser."""
         keys = [np.frombuffer(x, dtype=KEYS) for x in t.column("keys").to_pylist()]
         docs_ = [np.cumsum(np.frombuffer(zlib.decompress(x), dtype=np.int64)) for x in t.column("docs").to_pylist()]
         k, doc = np.concatenate(keys), np.concatenate(docs_)
@@ -200,12 +200,15 @@ def passage_cuts(docs: DataFrame, window: int = 100, block_bytes: int = 8 << 20,
         flag = np.zeros(len(k), dtype=np.uint8)
         flag[order[~new]] = 1
         lead = order[new]
+        crowded = []
         for side in ("kl", "kr"):
             own = lead[k[side][lead] > 0]
             joint = (k["mh"][own].astype(np.uint64) << np.uint64(16)) | k[side][own]
             _, inverse, count = np.unique(joint, return_inverse=True, return_counts=True)
             flag[own[count[inverse] > 1]] |= 2
-            flag[own[count[inverse] > hot]] |= 4
+            crowded.append(k["mh"][own[count[inverse] > hot]])
+        # stretches that share windows must go the same way, and any two under a minimiser may
+        flag[lead[np.isin(k["mh"][lead], np.concatenate(crowded))]] |= 4
         ends = np.cumsum([len(x) for x in keys])[:-1]
         return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "flags": pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(flag, ends)], pa.binary())})
 

@@ -95,6 +95,26 @@ def test_passages_match_brute_force(spark, sizes):
     assert got == want
 
 
+@pytest.mark.parametrize("hot", [2, 3])
+def test_passages_of_crowded_and_lone_stretches_match_brute_force(spark, hot):
+    rng = random.Random(11)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    texts = []
+    for _ in range(60):  # one text shares its right side with four others and windows of its left side with the last alone
+        base = some(180)
+        texts += [base, *[some(70) + base[70:] for _ in range(4)], base[:110] + some(70)]
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for k in range(len(t) - 99):
+            if t[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(t[k : k + 100])
+        want[i] = (sum(gone), hashlib.sha256(bytes(x for x, g in zip(t.encode(), gone, strict=True) if not g)).hexdigest())
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.strip_passages(documents(spark, texts), 100, hot=hot).collect()}
+    assert got == want
+
+
 def test_longest_previous_matches_brute_force():
     rng = np.random.default_rng(4)
     place, run = rng.permutation(200), np.sort(rng.integers(0, 20, 200))
