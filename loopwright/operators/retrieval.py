@@ -53,6 +53,26 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 15, doc: str = "do
     return top_k(bm25_scores(docs, queries, doc, query).where("score > 0"), k, query, doc)
 
 
+def holders(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", query: str = "query_id") -> DataFrame:
+    """(query, doc) of every document whose text contains the query's text.
+
+    Exact, without comparing all pairs: such a document holds every token of the text but those at its ends, which may be parts
+    of longer ones, so candidates come from the full postings of the rarest of these. A text without any meets all documents.
+    """
+    q = queries.where("text is not null").select(query, F.col("text").alias("passage"))
+    clean = F.regexp_replace(F.lower("passage"), r"[^a-z0-9\s_-]", " ")
+    inner = q.withColumn("t", F.explode_outer(F.array_distinct(tok_bm25(F.regexp_replace(clean, r"^\S+|\S+$", " ")))))
+    posts = docs.select(doc, F.explode(F.array_distinct(tok_bm25(F.col("text")))).alias("t"))
+    met = posts.join(inner.select("t").distinct(), "t", "left_semi")
+    df = met.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    least = F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))
+    key = inner.where("t is not null").join(df, "t", "left").groupBy(query, "passage").agg(least["t"].alias("t"))
+    texts = docs.select(doc, "text")
+    found = met.join(key, "t").select(doc, query).distinct().join(inner.where("t is not null").select(query, "passage").distinct(), query).join(texts, doc)
+    short = inner.where("t is null").select(query, "passage").crossJoin(texts)
+    return found.select(query, doc, "text", "passage").union(short.select(query, doc, "text", "passage")).where(F.contains("text", "passage")).select(query, doc)
+
+
 def bm25_filter(rules: DataFrame, queries: DataFrame, k: int = 10, doc: str = "doc_id", query: str = "query_id") -> DataFrame:
     """The k best rules of each query among all, rules without a hit included with score 0."""
     every = queries.select(query).join(rules.select(doc))

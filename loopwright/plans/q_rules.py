@@ -102,10 +102,8 @@ def trajectories(s: SparkSession, d: str) -> DataFrame:
 
 
 def _gold(s: SparkSession, d: str) -> DataFrame:
-    """Documents that hold a passage: its words as a run. Candidates share its rarest words, so passages meet few documents."""
-    q, docs = B.queries(s, d), B.table(s, d, "documents").select("doc_id", "text")
-    cand = T.bm25_search(docs, q, 200).select("query_id", "doc_id")
-    return cand.join(q.withColumnRenamed("text", "passage"), "query_id").join(docs, "doc_id").where(F.contains("text", "passage")).select("query_id", F.col("doc_id").alias("item"))
+    """Documents that hold a passage: its words as a run."""
+    return T.holders(B.table(s, d, "documents"), B.queries(s, d)).select("query_id", F.col("doc_id").alias("item"))
 
 
 def _ranked(s: SparkSession, d: str) -> DataFrame:

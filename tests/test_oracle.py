@@ -30,3 +30,19 @@ def test_entry_without_the_corpus_package(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert "query_id" in entry.entry(spark).columns
+
+
+def test_gold_holds_every_document_with_a_passage(spark, tmp_path):
+    import duckdb
+
+    passage = "the quick brown fox jumps over a lazy dog"
+    texts = [f"{passage} {'' if i % 3 else 'filler ' * i} number{i}" for i in range(260)] + [f"un{passage}s", "the quick dog", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = [(1, passage), (2, "quick"), (3, "er1"), (4, "fox never seen here"), (5, None)]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("recall_at_k", "mean_quality"):
+        run, text = FAMILIES["q_rules"][name]
+        assert oracle.compare(spark, con, str(tmp_path), run, text) == "", name
