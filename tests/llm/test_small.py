@@ -307,6 +307,27 @@ def test_forest_recall_and_exact_links(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i for i in (2000, 2001, 2002, 2003)) and got[905].component_id == 0
 
 
+@pytest.mark.parametrize("spread", [0.025, 0.05])
+def test_links_within_a_large_near_copy_group(spark, spread):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(9000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:3000] = x[0] + rng.normal(scale=spread, size=(3000, 64))  # a third of the vectors, of mutual cosine about .96 or .86
+    x[3000:3300] = x[4000:4300] + rng.normal(scale=0.03, size=(300, 64))
+    x[3300] = x[1] * 3  # the same direction twice
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (u @ u.T >= 0.9).sum(axis=1) - 1
+    near, group = u[:3000] @ u[:3000].T >= 0.9, np.arange(3000)
+    for _ in range(20):
+        group = np.where(near, group, 3000).min(axis=1)
+    d = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    for chunk in (4096, 500):
+        got = {r.vec_id: r for r in rp_forest.near_vectors(d, chunk=chunk).collect()}
+        found = np.array([got[i].n_links for i in range(len(x))])
+        assert [got[i].component_id for i in range(3000)] == group.tolist()
+        assert (found <= true).all() and found[:3000].sum() >= 0.9999 * true[:3000].sum() and found[3000:].sum() >= 0.97 * true[3000:].sum()
+
+
 def test_pu_quality_held_out(spark, small):
     d, labels = (common.table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
     rows = pu_quality.op6_positive_unlabelled(d, labels).join(labels, "doc_id").collect()
