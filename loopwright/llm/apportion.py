@@ -52,8 +52,9 @@ def mix(
 
     The documents of a source stand in a seeded order, as one run of words cut into equal blocks. Sainte-Lague
     seats give each source a whole number of blocks, dealt to shards in the order of their quotients, so that every
-    shard has integer quotas. Seat k takes the block at place k of a seeded order of the source's blocks, again from the
-    front once all are taken; the last block is cut, or one more begun, so that a source's words meet its rounded target.
+    shard has integer quotas. A seat takes a block's worth of words along a seeded order of the source's blocks, again from
+    the front once all are taken; then the last seat is cut, or one more begun, so that a source's words meet its rounded
+    target. That correction is of one block at most: where the seats are further from the target, they decide.
     `copies` counts whole takings of a block and `part` the words of its front taken once more. `spans` are a document's
     pieces (block, from, words, copies, part).
 
@@ -73,8 +74,10 @@ def mix(
     by_source = won.groupBy("source").agg(F.count(F.lit(1)).alias("quota"))
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     src = totals.join(by_source, same(totals, by_source), "left").select(totals["*"], F.coalesce("quota", F.lit(0)).alias("quota"))
-    src = src.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block))).withColumn("grant", F.round("target").cast("long"))
-    # a source's blocks in seeded order; words granted flow over them, epoch after epoch
+    src = src.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block)))
+    rest = F.round("target").cast("long") - F.col("quota") * block
+    src = src.withColumn("grant", F.greatest(F.col("quota") * block + F.greatest(F.least(rest, F.lit(block)), F.lit(-block)), F.lit(0)))
+    # a source's blocks in seeded order; the words of its seats flow over them, epoch after epoch
     each = src.select("source", "source_size", "quota", "grant", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
     each = each.withColumn("start", F.col("block") * block).withColumn("words", F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("start")))
     each = each.withColumn("key", F.xxhash64(F.lit(seed), F.lit("block"), F.coalesce("source", F.lit("")), F.col("source").isNull(), "block"))

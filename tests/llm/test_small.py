@@ -199,6 +199,17 @@ def test_seats_are_those_of_the_highest_quotients(spark):
     assert got == Counter(s for _, s in best)
 
 
+def test_quotas_decide_what_is_taken(spark, monkeypatch):
+    d = documents(spark, ["w " * 40] * 60, ["a", "b", "c"] * 20)
+    seats, sums = apportion.seats, []
+    for less in (0, 3):
+        monkeypatch.setattr(apportion, "seats", lambda *a, less=less: (x := seats(*a)).where((F.col("source") != "a") | (F.col("seat") <= x.where("source = 'a'").count() - less)))
+        doc, _ = apportion.mix(d, shards=4, blocks_per_shard=8)
+        sums.append({r.source: r.t for r in doc.groupBy("source").agg(F.sum("taken").alias("t")).collect()})
+    # blocks of 113 words; the target of a is 1600, of which 14 seats hold 1582
+    assert (sums[0]["a"], sums[1]["a"]) == (1600, 12 * 113) and sums[0]["b"] == sums[1]["b"]
+
+
 def test_shards_are_even_and_uniform(spark):
     rows = hypershuffle.op10_hypergeometric(documents(spark, [f"t{i}" for i in range(1000)] + [None])).collect()
     n = Counter(r.shard for r in rows)
