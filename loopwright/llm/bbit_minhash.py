@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,69 +97,178 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id bigint, hashes array<bigint>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, j, linked): the similarity of the full shingle sets of pairs of representatives, checkpointed."""
-    pairs = cut(pairs.select("a", "b"))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), k))
-    left, right = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
-    joined = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("ha", "hb")))
-    whole = F.size("ha") + F.size("hb") - F.col("both")
-    return cut(joined.select("a", "b", (F.col("both") / whole).alias("j"), (100 * F.col("both") >= percent * whole).alias("linked")))
+class Sets:
+    """Shingle sets of some rows, renumbered so that the members of one can be marked in an array."""
 
+    def __init__(self, column: pa.ChunkedArray) -> None:
+        lists = column.combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        self.size = np.asarray(lists.value_lengths()).astype(np.int64)
+        self.at = np.concatenate(([0], np.cumsum(self.size)))
+        names, self.ids = np.unique(np.asarray(lists.flatten()), return_inverse=True)
+        self.mark = np.zeros(len(names), dtype=bool)
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slack: float = 0.17) -> DataFrame:
+    def linked(self, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+        """Those of `others` whose sets are near enough to the set of row i."""
+        own = self.ids[self.at[i] : self.at[i + 1]]
+        self.mark[own] = True
+        size = self.size[others]
+        ends = np.cumsum(size)
+        members = self.ids[np.repeat(self.at[others] - ends + size, size) + np.arange(ends[-1])]
+        both = np.add.reduceat(self.mark[members], ends - size, dtype=np.int64)
+        self.mark[own] = False
+        return others[100 * both >= percent * (self.size[i] + size - both)]
+
+
+def alike(i: int, others: np.ndarray, lanes: np.ndarray, n: np.ndarray, percent: int, floor: float) -> np.ndarray:
+    """Those of `others` whose packed signatures and set sizes allow a link with row i."""
+    x = lanes[others] ^ lanes[i]
+    differ = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(int("01" * 32, 2))).sum(axis=1)
+    chance = 1 / 2**BITS
+    near = ((1 - differ / MINIMA) - chance) / (1 - chance) >= floor
+    return others[near & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
+
+
+def _tile(t: pa.Table) -> tuple[pa.Table, np.ndarray, int]:
+    """A tile's rows, its first chunk ahead, with their packed signatures and the number of rows in the first chunk."""
+    side, rep = t.column("side").to_numpy(), t.column("rep").to_numpy()
+    t = t.take(pa.array(np.lexsort((t.column("n").to_numpy(), rep, side))))
+    lanes = np.stack([t.column(x).to_numpy() for x in LANES], axis=1).view(np.uint64)
+    return t, lanes, int((side == 0).sum())
+
+
+def _tiles(cells: DataFrame, least: float, rows: int, weight: int) -> DataFrame:
+    """The rows of `cells` (hub, main, rep, n ...) with tile and side: every two rows of a cell that stand in different
+    chunks of like set sizes, or in one, meet in one tile, but for two rows that are both in the cell's main component.
+
+    A cell is cut into chunks of about `rows` rows and `weight` shingles, so no tile grows with a cell.
+    """
+    base = max(math.log(1 / least), 1e-3) * (1 + 1e-9) if 0 < least < 1 else 1e-3
+    cells = cells.withColumn("level", F.floor(F.log("n") / base))
+    kind = ["hub", "main", "level"]
+    chunks = cells.groupBy(*kind).agg(F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.ceil(F.sum("n") / weight)).cast("int").alias("parts"))
+    chunks = cut(chunks)
+    each = chunks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    each = each.withColumn("chunk", F.struct("main", "level", "part"))
+    x, y = each.where("not main").alias("x"), each.alias("y")
+    order = F.col("y.main") | (F.col("x.chunk") <= F.col("y.chunk"))
+    near = F.abs(F.col("x.level") - F.col("y.level")) <= 1
+    pairs = x.join(y, (F.col("x.hub") == F.col("y.hub")) & order & near)
+    ends = F.array(F.struct(F.col("x.chunk").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("y.chunk").alias("chunk"), F.lit(1).alias("side")))
+    ends = F.when(F.col("x.chunk") == F.col("y.chunk"), F.slice(ends, 1, 1)).otherwise(ends)
+    tile = F.xxhash64(F.col("x.hub"), F.col("x.chunk"), F.col("y.chunk"))
+    dealt = pairs.select(F.col("x.hub").alias("hub"), tile.alias("tile"), F.explode(ends).alias("e")).select("hub", "tile", "e.chunk.*", "e.side")
+    cells = cells.join(chunks, kind).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    return cells.join(dealt, [*kind, "part"]).select("tile", "side", *[c for c in cells.columns if c not in (*kind, "part", "parts")])
+
+
+def hub_links(stars: DataFrame, sets: DataFrame, percent: int, weight: int) -> DataFrame:
+    """(a, b): the stars (hub, rep, n) whose full sets are near enough; a hub's are dealt to groups of about `weight` shingles."""
+    parts = stars.groupBy("hub").agg(F.ceil(F.sum("n") / weight).cast("int").alias("parts"))
+    rows = stars.join(parts, "hub").select("hub", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"), "rep")
+    hubs = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("rep"))
+    met = rows.union(hubs).join(sets, F.col("rep") == F.col("id")).select("hub", "part", "rep", "hashes")
+
+    def compare(t: pa.Table) -> pa.Table:
+        hub, rep = t.column("hub")[0].as_py(), t.column("rep").to_numpy()
+        s = Sets(t.column("hashes"))
+        others, found = np.flatnonzero(rep != hub), []
+        for i in np.flatnonzero(rep == hub) if len(others) else ():
+            found.append(rep[s.linked(i, others, percent)])
+        b = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+        return pa.table({"a": np.full(len(b), hub, dtype=np.int64), "b": b})
+
+    return met.groupBy("hub", "part").applyInArrow(compare, "a bigint, b bigint")
+
+
+def tile_links(tiles: DataFrame, sets: DataFrame, percent: int, floor: float) -> DataFrame:
+    """(a, b): links that join different components c within each tile, one for each two components that meet there.
+
+    First packed signatures tell which rows of a tile may link with any other at all; only their sets travel to the tile, where
+    each row is held against those rows of other components that its signature allows.
+    """
+    lanes = ", ".join(f"{x} bigint" for x in LANES)
+
+    def across(root: np.ndarray, i: int, first: int) -> np.ndarray:
+        others = np.arange(i + 1 if first == len(root) else first, len(root))
+        return others[root[others] != root[i]]
+
+    def choose(t: pa.Table) -> pa.Table:
+        t, sig, first = _tile(t)
+        n, c = t.column("n").to_numpy(), t.column("c").to_numpy()
+        some = np.zeros(len(n), dtype=bool)
+        for i in range(first):
+            near = alike(i, across(c, i, first), sig, n, percent, floor)
+            some[near] = True
+            some[i] |= len(near) > 0
+        return t.filter(pa.array(some))
+
+    def compare(t: pa.Table) -> pa.Table:
+        t, sig, first = _tile(t)
+        rep, n = t.column("rep").to_numpy(), t.column("n").to_numpy()
+        _, root = np.unique(t.column("c").to_numpy(), return_inverse=True)
+        s, a, b = Sets(t.column("hashes")), [], []
+        for i in range(first):
+            near = alike(i, across(root, i, first), sig, n, percent, floor)
+            if not len(near):
+                continue
+            hit = s.linked(i, near, percent)
+            for r, j in zip(*np.unique(root[hit], return_index=True), strict=True):
+                a.append(rep[i])
+                b.append(rep[hit[j]])
+                root[root == r] = root[i]
+        return pa.table({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+
+    may = cut(tiles.groupBy("tile").applyInArrow(choose, f"tile bigint, side int, rep bigint, c bigint, n bigint, {lanes}"))
+    met = may.join(sets, F.col("rep") == F.col("id")).select("tile", "side", "rep", "c", F.size("hashes").cast("long").alias("n"), *LANES, "hashes")
+    return met.groupBy("tile").applyInArrow(compare, "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slack: float = 0.22, rows: int = 4096, weight: int = 1 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for texts linked at 100 * |A & B| >= percent * |A | B|.
 
     Equal shingle sets become one class under their smallest doc_id, so exact copies cost one row. Classes meet if
-    they share one of 32 bands of four minima (a pair at 0.8 misses all with probability 5e-8). Candidates must pass the
-    packed estimate within `slack` (four standard deviations) and are confirmed on full sets. Each bucket's hub is the
-    class with the most neighbours over all its bands; first all of a bucket is held against its hub. After these links, the
-    classes outside the bucket's main component are held against every class of another component, unless their distances
-    to the hub differ by more than a link allows (Jaccard distance is a metric). So no link between components is missed, while a
-    bucket of near copies costs linear work and little beyond. Component ids are settled by star contraction.
-
-    Null and empty texts and texts of white space have no shingles and link with nothing. Rows that repeat a doc_id
-    share its class and are all kept or all dropped. An empty table gives an empty result; other columns are ignored.
+    they share one of 32 bands of four minima (a pair at 0.8 misses all with probability 5e-8). Each bucket's hub is the
+    class with the most neighbours over all its bands, and a hub's cell is what shares a bucket of its with it. Whatever the packed
+    estimate, within `slack` (five standard deviations: one pair in ten million at 0.8 falls below), lets be a link is confirmed on full sets:
+    first each cell against its hub, which is linear; after these links, what stands outside a cell's main component
+    against the cell's other components, in tiles of bounded size. Links within a component that is known already are not looked for. Only the
+    distinct texts that lie around a hub but do not link with it cost more than linear work. Component ids come from star contraction.
+
+    Null and empty texts and texts of white space have no shingles and link with nothing. Of rows that repeat a doc_id with
+    different texts each is compared; what links with any text of a class's smallest doc_id is in that class's component. Rows without a doc_id take
+    the component of their class if it has an id, else null, and are not kept for it. Very long texts are compared whole. Ties
+    do not occur: ids are the smallest. An empty table gives an empty result; other columns are ignored.
     """
     key = ["n", "k1", "k2"]
+    floor, least = percent / 100 - slack, percent / 100
     d = cut(signatures(docs, k))
-    classes = cut(d.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in (*LANES, "bands")]))
+    grouped = d.where("n > 0").groupBy(*key)
+    classes = cut(grouped.agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in (*LANES, "bands")]).where("rep is not null"))
     sig = classes.select("rep", "n", *LANES)
-    rows = classes.select("rep", F.explode("bands").alias("key"))
-    members = cut(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "key"))
+    banded = classes.select("rep", F.explode("bands").alias("key"))
+    members = cut(banded.join(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "key"))
     degree = members.groupBy("rep").agg(F.sum("m").alias("degree"))
     hubs = members.join(degree, "rep").groupBy("key").agg((-F.max(F.struct("degree", (-F.col("rep")).alias("r")))["r"]).alias("hub"))
-    members = cut(members.join(hubs, "key").select("key", "rep", "hub"))
+    stars = cut(members.select("key", "rep").join(hubs, "key").where("rep <> hub").select("hub", "rep").distinct())
+    # the sets of all that met
+    ids = stars.select(F.explode(F.array("hub", "rep")).alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    texts = texts.groupBy("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("l")).agg(F.first("text").alias("text"))
+    sets = cut(shingle_sets(texts, k))
+    # each cell against its hub
     x, y = sig.alias("x"), sig.alias("y")
-    stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    ratio = F.least("x.n", "y.n") / F.greatest("x.n", "y.n")
-    stars = cut(stars.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).select("a", "b", estimate("x", "y").alias("e"), ratio.alias("ratio")))
-    floor, least = percent / 100 - slack, percent / 100
-    known = confirmed(stars.where((F.col("e") >= floor) & (F.col("ratio") >= least)), docs, k, percent)
-    comp = cut(components(known.where("linked").select("a", "b")))
-    # how near each member may be to its hub: exact where confirmed, else what estimate and sizes allow
-    near = stars.join(known.select("a", "b", "j"), ["a", "b"], "left")
-    near = near.select(F.col("a").alias("hub"), F.col("b").alias("rep"), F.coalesce("j", F.lit(0.0)).alias("low"), F.coalesce("j", F.least(F.col("e") + 1.5 * slack, "ratio")).alias("high"))
-    # classes outside the main component of a bucket against the rest of the bucket
-    at = members.join(comp, F.col("rep") == F.col("id"), "left").select("key", "rep", "hub", F.coalesce("component", "rep").alias("c"))
-    parts = at.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-    main = parts.groupBy("key").agg(F.max(F.struct("m", (-F.col("c")).alias("c"))).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = at.join(main.select("key", (-F.col("top.c")).alias("main")), "key").join(near, ["hub", "rep"], "left").join(sig, "rep")
-    one = F.col("rep") == F.col("hub")
-    mixed = cut(mixed.withColumns({"low": F.when(one, 1.0).otherwise(F.coalesce("low", F.lit(0.0))), "high": F.when(one, 1.0).otherwise(F.coalesce("high", F.lit(1.0)))}))
-    # their sets as half hashes stand in the join's condition, so that it puts out links and not pairs
-    own = docs.select("doc_id", "text").join(mixed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    halves = shingle_sets(own, k).select(F.col("id").alias("rep"), F.transform("hashes", lambda h: F.shiftright(h, 32).cast("int")).alias("half"))
-    mixed = mixed.join(halves, "rep")
-    x, y = mixed.where("c <> main").alias("x"), mixed.alias("y")
-    tried = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))) & (F.col("x.rep") != F.col("x.hub")) & (F.col("y.rep") != F.col("y.hub"))
-    reach = (F.col("x.low") - F.col("y.high") <= 1 - least + 1e-9) & (F.col("y.low") - F.col("x.high") <= 1 - least + 1e-9)
-    alike = (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")) & (estimate("x", "y") >= floor)
-    both = F.size(F.array_intersect("x.half", "y.half"))
-    linked = F.when(tried & reach & alike, both >= (least - 0.002) * (F.col("x.n") + F.col("y.n") - both)).otherwise(False)
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & linked).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    more = confirmed(rest, docs, k, percent).where("linked").select("a", "b")
+    ratio = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    held = stars.join(x, F.col("hub") == F.col("x.rep")).join(y, stars["rep"] == F.col("y.rep")).where((estimate("x", "y") >= floor) & ratio)
+    known = cut(hub_links(held.select("hub", stars["rep"], F.col("y.n").alias("n")), sets, percent, weight))
+    comp = cut(components(known))
+    # what is left within cells; a hub itself has met all of its cell
+    at = stars.join(comp, F.col("rep") == F.col("id"), "left").select("hub", "rep", F.coalesce("component", "rep").alias("c"))
+    parts = at.groupBy("hub", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("hub")
+    main = parts.agg(F.max(F.struct("m", (-F.col("c")).alias("c"))).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mixed = at.join(main.select("hub", (-F.col("top.c")).alias("top")), "hub").join(sig, "rep")
+    mixed = mixed.select("hub", (F.col("c") == F.col("top")).alias("main"), "rep", "c", "n", *LANES)
+    more = cut(tile_links(_tiles(mixed, least, rows, weight), sets, percent, floor))
     comp = cut(components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)))
     named = classes.select(*key, "rep").join(comp, F.col("rep") == F.col("id"), "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     out = d.select("doc_id", *key).join(named, key, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

@@ -122,8 +122,8 @@ def test_longest_previous_matches_brute_force():
     assert list(got) == [any(run[j] == run[i] and place[j] < place[i] for j in range(200)) for i in range(200)]
 
 
-@pytest.mark.parametrize("k", [2, 5])
-def test_near_duplicates_match_brute_force(spark, k):
+@pytest.mark.parametrize(("k", "sizes"), [(2, {}), (5, {}), (5, {"rows": 16, "weight": 1500})])
+def test_near_duplicates_match_brute_force(spark, k, sizes):
     texts = some_texts(5)
     rng = random.Random(8)
     base = [f"w{rng.randint(0, 500)}" for _ in range(150)]
@@ -150,10 +150,38 @@ def test_near_duplicates_match_brute_force(spark, k):
         if a and b and 100 * len(a & b) >= 80 * len(a | b):
             x, y = top(i), top(j)
             root[max(x, y)] = min(x, y)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in bbit_minhash.near_duplicates(documents(spark, texts), k, 80).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in bbit_minhash.near_duplicates(documents(spark, texts), k, 80, **sizes).collect()}
     assert got == {i: (len(s), top(i), top(i) == i) for i, s in enumerate(sets)}
 
 
+def test_sets_link_by_full_counts():
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    rows = [sorted(rng.sample(range(30), rng.randint(1, 25))) for _ in range(40)]
+    s = bbit_minhash.Sets(pa.chunked_array([pa.array(rows, pa.list_(pa.int64()))]))
+    for i in range(40):
+        others = np.array([j for j in range(40) if j != i and rng.random() < 0.7])
+        assert s.linked(i, others, 40).tolist() == [j for j in others if 100 * len({*rows[i]} & {*rows[j]}) >= 40 * len({*rows[i]} | {*rows[j]})]
+
+
+def test_tiles_let_every_two_rows_meet_once(spark):
+    rng = random.Random(7)
+    d = [(h, h * 100 + r, rng.random() < 0.5, rng.choice((90, 100, 115, 400))) for h in (1, 2) for r in range(40)]
+    cells = spark.createDataFrame([(h, m, r, r, n) for h, r, m, n in d], "hub long, main boolean, rep long, c long, n long")
+    tiles = {}
+    for r in bbit_minhash._tiles(cells, 0.8, 5, 10**6).collect():
+        tiles.setdefault(r.tile, ([], []))[r.side].append(r.rep)
+    met = Counter()
+    for a, b in tiles.values():
+        met.update(frozenset((x, y)) for x, y in (itertools.product(a, b) if b else itertools.combinations(a, 2)))
+    assert max(met.values()) == 1 and max(len(a) + len(b) for a, b in tiles.values()) <= 20
+    for (h, x, p, n), (g, y, q, m) in itertools.combinations(d, 2):
+        if h == g and not (p and q) and 100 * min(n, m) >= 80 * max(n, m):
+            assert frozenset((x, y)) in met
+        assert frozenset((x, y)) not in met or h == g and not (p and q)
+
+
 def test_bit_estimate_is_near_the_truth():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**64, 900, dtype=np.uint64)
