@@ -12,6 +12,12 @@ from loopwright.llm.common import bucket_bits, cut, n_words, running_total
 WEIGHTS = (5, 2, 1)
 
 
+def seeded(seed: int, *parts: Column) -> Column:
+    """A seeded place for each row: the first 60 bits of an MD5 digest spread over the signed 64-bit range, in the same order."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return F.shiftleft(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long") - 2**59, 4)
+
+
 def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, source_size, weight, target) for (source, source_size).
 
@@ -59,7 +65,10 @@ def mix(
     pieces (block, from, words, copies, part).
 
     Null texts have size 0; documents of size 0 take nothing; null sources are one source, last in order. A table
-    without words takes nothing. Repeated rows stand beside each other. No task gathers a source: see running_total.
+    without words, or without rows, takes nothing. Repeated rows stand beside each other; ties in quotients go to the source
+    earlier by code point. Texts of any length are cut over as many blocks as they span. Other columns are ignored, whatever
+    their names. No task gathers a source's documents (see running_total); a source's blocks, shards * blocks_per_shard of all at
+    most and one more for each source, are ranked in one task.
     """
     size = n_words(F.col("text")) if size is None else size
     rows = cut(docs.select("doc_id", "source", size.alias("size")))
@@ -80,7 +89,7 @@ def mix(
     # a source's blocks in seeded order; the words of its seats flow over them, epoch after epoch
     each = src.select("source", "source_size", "quota", "grant", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
     each = each.withColumn("start", F.col("block") * block).withColumn("words", F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("start")))
-    each = each.withColumn("key", F.xxhash64(F.lit(seed), F.lit("block"), F.coalesce("source", F.lit("")), F.col("source").isNull(), "block"))
+    each = each.withColumn("key", seeded(seed, F.lit("block"), F.col("source"), F.col("source").isNull(), F.col("block")))
     drawn = W.partitionBy("source").orderBy("key", "block")
     each = each.withColumn("place", F.row_number().over(drawn)).withColumn("before", F.coalesce(F.sum("words").over(drawn.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("grant") / F.greatest("source_size", F.lit(1)))).otherwise(F.lit(0)).cast("long")
@@ -93,10 +102,11 @@ def mix(
     each = each.join(holders, F.col("source").eqNullSafe(F.col("s3")) & (F.col("place") == F.col("at")), "left")
     each = each.select("source", "block", "start", "words", "copies", "part", "shards")
     # documents along the source's run of words
-    keyed = rows.withColumn("key", F.xxhash64(F.lit(seed), F.lit("doc"), "doc_id", "size"))
+    keyed = rows.withColumn("key", seeded(seed, F.lit("doc"), F.col("doc_id"), F.col("size")))
     placed = running_total(keyed, "source", "key", ["doc_id", "size"], F.col("size"), bucket_bits(n), "start")
     spans = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.greatest("size", F.lit(1)) - 1) / block))
-    pieces = placed.withColumn("id", F.monotonically_increasing_id()).withColumn("block", F.explode(spans))
+    # the ids number the rows of a written table, so a stage that is run again gives the same ones
+    pieces = cut(placed).withColumn("id", F.monotonically_increasing_id()).withColumn("block", F.explode(spans))
     b = each.select(F.col("source").alias("bs"), F.col("block").alias("bb"), F.col("start").alias("b0"), "copies", "part")
     pieces = pieces.join(b, F.col("source").eqNullSafe(F.col("bs")) & (F.col("block") == F.col("bb")), "left")
     head, tail = F.greatest("start", F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)

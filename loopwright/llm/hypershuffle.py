@@ -7,7 +7,6 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from loopwright.llm.common import bucket_bits, cut, running_total
 
@@ -46,33 +45,37 @@ def communication_matrix(rows: list[int], shards: list[int], seed: int) -> np.nd
     return out
 
 
-def shuffle_into_shards(rows: DataFrame, key: list[str], shards: int = 24, rows_per_partition: int = 20_000, seed: int = 29) -> DataFrame:
+def shuffle_into_shards(rows: DataFrame, key: list[str], shards: int = 24, rows_per_partition: int = 20_000, most_partitions: int = 4096, seed: int = 29) -> DataFrame:
     """Adds shard and slot to `rows`: a uniform random order cut into shards whose row counts differ by one at most.
 
-    `key` names the columns that identify a row and decide its place, so that reruns agree. Rows are first
-    gathered by a hash of the key into partitions of about `rows_per_partition`; the driver draws the partitions x shards
-    matrix (its only state, 8 bytes a cell); each partition orders its rows by one seeded hash and cuts
-    them at the drawn counts; in their shards rows are ordered again by a second hash, of which slot is the gapless
-    rank. Rows that agree in every key column are placed one by one, in any order. An empty table stays empty.
+    `key` names the columns that identify a row and decide its place, so that reruns agree. Rows are first dealt by a hash
+    of the key to partitions of about `rows_per_partition` rows, or of more where that would be over `most_partitions`: the
+    driver draws the partitions x shards matrix, which so has a bounded size. Each partition orders its rows by one seeded hash and
+    cuts them at the drawn counts; in their shards rows are ordered again by a second hash, of which slot is the gapless rank.
+    Both ranks are taken in buckets of the hash (running_total), so no task holds a partition or a shard.
+
+    Rows that agree in every key column are placed one by one, in any order, and any nulls in it are values like others. An
+    empty table stays empty. The names shard, slot and those that begin with _ must be free in `rows`.
     """
     spark = rows.sparkSession
+    rows = cut(rows)
     n = rows.count()
-    parts = max(shards, math.ceil(n / rows_per_partition))
-    part = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(parts)).cast("int")
-    counts = dict(rows.groupBy(part.alias("p")).count().collect())
+    parts = min(most_partitions, max(shards, math.ceil(n / rows_per_partition)))
+    dealt = rows.withColumn("_p", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(parts)).cast("int")).withColumn("_k1", F.xxhash64(F.lit(seed + 1), *key))
+    counts = dict(dealt.groupBy("_p").count().collect())
     sizes = [n // shards + (j < n % shards) for j in range(shards)]
     matrix = communication_matrix([counts.get(p, 0) for p in range(parts)], sizes, seed)
     cuts = spark.createDataFrame([(p, c.tolist()) for p, c in enumerate(matrix.cumsum(axis=1))], "_p int, _cuts array<bigint>")
-    here = W.partitionBy("_p").orderBy("_k1", *key)
-    dealt = rows.withColumn("_p", part).withColumn("_k1", F.xxhash64(F.lit(seed + 1), *key)).join(cuts, "_p")
-    dealt = dealt.withColumn("_r", F.row_number().over(here)).withColumn("shard", F.expr("size(filter(_cuts, c -> c < _r))").cast("int"))
+    dealt = running_total(dealt, "_p", "_k1", key, F.lit(1).cast("long"), bucket_bits(n // parts), "_r")
+    dealt = dealt.join(F.broadcast(cuts), "_p").withColumn("shard", F.expr("size(filter(_cuts, c -> c <= _r))").cast("int"))
     dealt = cut(dealt.drop("_p", "_cuts", "_r", "_k1").withColumn("_k2", F.xxhash64(F.lit(seed + 2), *key)))
     placed = running_total(dealt, "shard", "_k2", key, F.lit(1).cast("long"), bucket_bits(n // shards), "slot")
     return placed.drop("_k2")
 
 
 def op10_hypergeometric(docs: DataFrame) -> DataFrame:
-    """The contract's columns under the law `rows`. Null texts count as empty: size 8, crc32 0."""
+    """The contract's columns under the law `rows`. Null texts count as empty: size 8, crc32 0. Only doc_id and text are read,
+    texts of any length whole; null ids are a value like others; repeated rows and equal texts get a slot each."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     out = shuffle_into_shards(rows, ["doc_id", "size", "text_crc32"])

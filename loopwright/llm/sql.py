@@ -29,6 +29,28 @@ t AS (SELECT doc_id, string_agg(substr(h, (2 * a + 1)::BIGINT, (2 * (b - a))::BI
 SELECT doc_id, n AS n_bytes, coalesce((SELECT sum(hi - lo) FROM sp WHERE sp.doc_id = d.doc_id), 0)::BIGINT AS n_removed, (SELECT count(*) FROM sp WHERE sp.doc_id = d.doc_id) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""
 
 
+#: Water-filled targets, seats by highest quotients, words along the seeded blocks, and the part of each document in them.
+_MIX = r"""WITH w AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM w GROUP BY 1),
+a AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, source_size * 2.0::DOUBLE AS most FROM s),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM a),
+t AS (SELECT source, source_size, CASE WHEN most <= weight * level THEN most ELSE weight * max(level) FILTER (NOT most <= weight * level) OVER () END AS target FROM l),
+g AS (SELECT goal, block, floor(goal / block)::BIGINT AS blocks FROM (SELECT goal, greatest(1, ceil(goal / 24576))::BIGINT AS block FROM (SELECT 1.5::DOUBLE * sum(source_size) AS goal FROM s))),
+o AS (SELECT source, target, unnest(range(1, (ceil(target / block * (1 + (SELECT count(*) FROM t) / greatest(blocks, 1)::DOUBLE)) + 3)::BIGINT)) AS seat FROM t, g WHERE target > 0),
+q AS (SELECT source, count(*) AS quota FROM (SELECT source, row_number() OVER (ORDER BY target / (2 * seat - 1) DESC, source NULLS LAST, seat) AS r FROM o) WHERE r <= (SELECT blocks FROM g) GROUP BY 1),
+c AS (SELECT t.source, source_size, block, greatest(1, ceil(source_size / block::DOUBLE))::BIGINT AS n_blocks, coalesce(quota, 0) * block AS seated, round(target)::BIGINT AS want FROM t LEFT JOIN q ON t.source IS NOT DISTINCT FROM q.source, g),
+d AS (SELECT *, greatest(seated + greatest(least(want - seated, block), -block), 0) AS take FROM c),
+e AS (SELECT *, unnest(range(0, n_blocks)) AS b FROM d),
+f AS (SELECT *, b * block AS b0, least(block, source_size - b * block) AS words, md5('17:block:' || coalesce(source, '') || ':' || (source IS NULL)::VARCHAR || ':' || b)[:15] AS k FROM e),
+h AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY k, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS front, (CASE WHEN source_size > 0 THEN take // source_size ELSE 0 END)::BIGINT AS epochs FROM f),
+i AS (SELECT *, least(greatest(take - epochs * source_size - front, 0), words) AS fill FROM h),
+j AS (SELECT source, b, b0, block, epochs + (fill = words AND words > 0)::BIGINT AS copies, CASE WHEN fill = words THEN 0 ELSE fill END AS part FROM i),
+p AS (SELECT row_number() OVER () AS id, doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('17:doc:' || coalesce(doc_id::VARCHAR, '') || ':' || size)[:15], doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lo FROM w),
+x AS (SELECT p.*, unnest(range(lo // block, (lo + greatest(size, 1) - 1) // block + 1)) AS b FROM p, g),
+y AS (SELECT id, sum((least(lo + size, b0 + block) - greatest(lo, b0)) * copies + greatest(least(lo + size, b0 + block, b0 + part) - greatest(lo, b0), 0)) AS taken FROM x JOIN j ON x.source IS NOT DISTINCT FROM j.source AND x.b = j.b WHERE size > 0 GROUP BY 1)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM p LEFT JOIN y USING (id) JOIN t ON p.source IS NOT DISTINCT FROM t.source"""
+
+
 def _divergence() -> str:
     """Counts, histograms by language and the nearest Jensen-Shannon distances, as the operator defines them."""
     from loopwright.llm.divergence import CLASSES, COMMON
@@ -58,4 +80,4 @@ j AS (SELECT doc_id, min({js('pc', 'rc')}) AS jc, min({js('pw', 'rw')}) AS jw FR
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, c_symbol::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND coalesce(jc, 0) <= 0.26::DOUBLE AND coalesce(jw, 0) <= 0.24::DOUBLE AS kept, {six('jc')} AS char_distance, {six('jw')} AS word_distance FROM s LEFT JOIN j USING (doc_id)"""
 
 
-ORACLE: dict[str, str] = {"op1_divergence": _divergence(), "op4_suffix_lpf": _PASSAGES, "op5_projection_forest": _VECTORS, "op8_bbit_minhash": _NEAR}
+ORACLE: dict[str, str] = {"op1_divergence": _divergence(), "op4_suffix_lpf": _PASSAGES, "op5_projection_forest": _VECTORS, "op8_bbit_minhash": _NEAR, "op9_sainte_lague": _MIX}

@@ -258,6 +258,23 @@ def test_matrix_margins_and_large_draws():
     assert abs(np.mean(x) - 250) < 4 and 10 < np.std(x) < 18
 
 
+def test_matrix_follows_the_law_of_enumeration():
+    # 6 rows in partitions of 3 and 3, dealt to shards of 2, 2 and 2: every one of the 6! orders is as likely
+    law = Counter()
+    for order in itertools.permutations(range(6)):
+        law[tuple(sum(x < 3 for x in order[2 * j : 2 * j + 2]) for j in range(3))] += 1 / 720
+    runs = 6000
+    got = Counter(tuple(hypershuffle.communication_matrix([3, 3], [2, 2, 2], seed)[0].tolist()) for seed in range(runs))
+    assert set(got) <= set(law) and sum((got[k] - runs * p) ** 2 / (runs * p) for k, p in law.items()) < 25  # 6 degrees of freedom
+
+
+def test_few_partitions_and_small_buckets_keep_shards_even(spark):
+    d = documents(spark, [f"t{i}" for i in range(997)]).select("doc_id", "text")
+    rows = hypershuffle.shuffle_into_shards(d, ["doc_id"], shards=5, most_partitions=3).collect()
+    n = Counter(r.shard for r in rows)
+    assert sorted(n.values()) == [199, 199, 199, 200, 200] and all(sorted(r.slot for r in rows if r.shard == s) == list(range(n[s])) for s in n)
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return nbest.Pieces.load()
@@ -408,7 +425,7 @@ def test_languages_held_out(spark):
     assert {r.lang_pred for r in rows if r.doc_id < 0} == {"und"} and all(0 <= r.score <= 1 for r in rows)
 
 
-@pytest.mark.parametrize("name", ["op1_divergence", "op4_suffix_lpf", "op5_projection_forest", "op8_bbit_minhash"])
+@pytest.mark.parametrize("name", ["op1_divergence", "op4_suffix_lpf", "op5_projection_forest", "op8_bbit_minhash", "op9_sainte_lague"])
 def test_corpus_sql(spark, small, name):
     import oracle
 
