@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loopwright.llm.common import table
 
+#: The tokenizer that the queries use; the operators take its path as an argument.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 #: query -> (module, function, tables handed over in order)
 QUERIES = {
     "op1_divergence": ("divergence", "op1_divergence", ("documents",)),
@@ -27,7 +30,8 @@ QUERIES = {
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(module: str, function: str, tables: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return getattr(import_module(f"loopwright.llm.{module}"), function)(*[table(spark, sf_dir, t) for t in tables])
+            more = {"model": MODEL} if module == "nbest" else {}
+            return getattr(import_module(f"loopwright.llm.{module}"), function)(*[table(spark, sf_dir, t) for t in tables], **more)
 
         return run
 

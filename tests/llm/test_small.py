@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -36,7 +38,7 @@ def some_texts(seed=1, n=40):
 
 
 def test_repeated_rows_and_empty_tables_do_not_crash(spark):
-    for name, op in (("op1", divergence.op1_divergence), ("op4", suffix_dedup.op4_suffix_lpf), ("op8", bbit_minhash.op8_bbit_minhash), ("op9", apportion.op9_sainte_lague), ("op10", hypershuffle.op10_hypergeometric), ("op3", nbest.op3_nbest), ("op7", byte_gru.op7_byte_gru)):
+    for name, op in (("op1", divergence.op1_divergence), ("op4", suffix_dedup.op4_suffix_lpf), ("op8", bbit_minhash.op8_bbit_minhash), ("op9", apportion.op9_sainte_lague), ("op10", hypershuffle.op10_hypergeometric), ("op3", lambda d: nbest.op3_nbest(d, corpus.MODEL)), ("op7", byte_gru.op7_byte_gru)):
         assert op(documents(spark, [])).count() == 0, name
         twice = documents(spark, ["same text here", None]).union(documents(spark, ["same text here", None]))
         assert op(twice).count() == 4, name
@@ -277,7 +279,7 @@ def test_few_partitions_and_small_buckets_keep_shards_even(spark):
 
 @pytest.fixture(scope="module")
 def pieces():
-    return nbest.Pieces.load()
+    return nbest.Pieces.load(corpus.MODEL)
 
 
 def test_n_best_matches_brute_force(pieces):
@@ -288,8 +290,8 @@ def test_n_best_matches_brute_force(pieces):
         marked = "▁" + s.replace(" ", "▁") if s else ""
         ways = [[] for _ in range(len(marked) + 1)]
         ways[0] = [0.0]
-        for b, found in enumerate(pieces.edges(marked)):
-            for a, _, w in found:
+        for b in range(1, len(marked) + 1):
+            for a, _, w in pieces.ending(marked, b):
                 ways[b] += [d + w for d in ways[a]]
         ids, scores, counts, sums, same = next(iter(encoder.encode([s])))
         assert np.allclose(scores, sorted(ways[-1], reverse=True)[:4]) and (pieces.decode(ids.tolist()) == s) == same
@@ -298,11 +300,37 @@ def test_n_best_matches_brute_force(pieces):
 
 def test_encoding_round_trip(spark):
     texts = [t for t in some_texts(9)] + ["  two  spaces \n and more ", "x" * 3000, "日本語 text"]
-    e = nbest.encode(documents(spark, texts))
-    back = {r.doc_id: r.text for r in nbest.decode(e).collect()}
+    e = nbest.encode(documents(spark, texts), corpus.MODEL)
+    back = {r.doc_id: r.text for r in nbest.decode(e, corpus.MODEL).collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)} and all(r.round_trip for r in e.collect())
 
 
+@pytest.mark.parametrize("text", ["-" * 1_000_000, base64.b64encode(random.Random(4).randbytes(750_000)).decode(), "é" * 40_000 + "=" * 700])
+def test_unbroken_texts_end_in_bounded_memory(pieces, text):
+    def encoded(t):
+        ids, scores, _, sums, same = next(iter(nbest.Encoder(pieces, 4).encode([t])))
+        assert same and pieces.decode(ids.tolist()) == t and len(set(sums)) == 4 and scores == sorted(scores, reverse=True)
+
+    encoded(text)
+    part = text[:50_000]
+    tracemalloc.start()
+    encoded(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 900 * len(part)
+
+
+def test_n_best_of_ties_is_that_of_enumeration(pieces):
+    for s in ("-" * 17, "=" * 9 + "a" * 5, "ab" * 8):
+        ways = [[] for _ in range(len(s) + 1)]
+        ways[0] = [0.0]
+        for b in range(1, len(s) + 1):
+            for a, _, w in pieces.ending(s, b):
+                ways[b] += [d + w for d in ways[a]]
+        got = nbest.n_best(pieces, s, 6)
+        assert [w for w, _ in got] == sorted(ways[-1], reverse=True)[:6] and len({tuple(x.tolist()) for _, x in got}) == 6
+
+
 PAGE = "<html><head><title>T</title></head><body><nav><a>Menu</a></nav>{}<footer>Foot</footer></body></html>"
 
 
