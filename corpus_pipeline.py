@@ -16,6 +16,7 @@ from loopwright.llm.bbit_minhash import near_duplicates
 from loopwright.llm.common import cut, n_words, table
 from loopwright.llm.nbest import encode
 from loopwright.llm.pu_quality import filter_quality
+from loopwright.llm.registry import MODEL
 from loopwright.llm.suffix_dedup import strip_passages
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -59,7 +60,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids and n-best digests of every document that the mix holds."""
-    return encode(docs, 4)
+    return encode(docs, MODEL, 4)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("passages", passages), ("mixing", mixing), ("encoding", encoding)]
