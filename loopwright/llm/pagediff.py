@@ -1,8 +1,7 @@
-"""Main text of web pages: markup rules, and lines shared with the page of nearest URL in the same host."""
+"""Main text of web pages: markup rules, and lines shared with the pages of nearest URL in the same host."""
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -15,32 +14,84 @@ from pyspark.sql import Window as W
 
 from loopwright.llm.common import cut
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(script|style|textarea|title|noscript|template|iframe|svg|math|xmp|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|(</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>)", re.S | re.I)
+#: An attribute, and a tag by the grammar of attributes; a tag whose quotes do not close ends at the next >.
+ATTRIBUTE = r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)))?+"""
+INNER = re.sub(r"\((?!\?)", "(?:", ATTRIBUTE)
+#: Comments, declarations, elements whose content is no text of the page, and tags.
+TOKEN = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
+    rf"|<(script|style|textarea|title|noscript|template|iframe|noframes)\b(?:[\s/]++|{INNER})*+>.*?(?:</\1\s*>|\Z)"
+    rf"|(</?[a-zA-Z][^\s/>]*+(?:(?:[\s/]++|{INNER})*+>|[^<>]*+>))",
+    re.S | re.I,
+)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-MARKS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-HIDDEN = re.compile(r"\shidden(?:\s|=|/|>)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-#: Elements and marks that never belong to the article, elements that end a block, and elements without content.
-OUTSIDE = frozenset("nav header footer aside form button select option dialog menu head audio video canvas object map figure-ad".split())
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+ATTRIBUTES = re.compile(ATTRIBUTE)
+#: Elements and roles that never belong to the article, elements that end a block, and elements without content.
+OUTSIDE = frozenset(["nav", "header", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "head"])
+ROLES = frozenset(["navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"])
+BLOCK = frozenset(
+    ["address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form"]
+    + ["h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary"]
+    + ["table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul"]
+)
+VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
+ITEMS = frozenset(["li", "dd", "dt", "option", "tr", "td", "th"])
 CLOSES_P = BLOCK - frozenset(["caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "legend"])
-MARK = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|sidebar|side-bar|widget|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|paywall"
-    r"|comment|comments|commentlist|disqus|respond|reply|replies|share|sharing|social|related|recommended|breadcrumb|breadcrumbs|pagination|pager|nav|navbar|navigation|menu|footer|masthead|toolbar|skip|search|login|tags|toc|complementary|contentinfo|search)(?:$|[\s_-])",
-    re.I,
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+#: Elements whose id may name a region of the page; elsewhere an id is only the target of a link.
+REGIONS = frozenset(["div", "section", "ul", "ol", "table", "details"])
+#: A class or id that is one of these names a region outside the article; a class that has one as a part makes it suspect.
+REGION = frozenset(
+    ["ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsbygoogle", "sponsor", "sponsored", "promo", "promotion", "banner", "sidebar", "side-bar", "widget"]
+    + ["cookie", "cookies", "cookie-notice", "cookie-banner", "cookie-consent", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay"]
+    + ["newsletter", "subscribe", "signup", "paywall", "comment", "comments", "comment-list", "commentlist", "comments-area", "disqus", "disqus_thread", "respond", "replies"]
+    + ["breadcrumb", "breadcrumbs", "pagination", "pager", "nav", "navbar", "navigation", "menu", "footer", "masthead", "toolbar", "skip-link", "login"]
 )
-GAPS = re.compile(r"[\s ]+")
+PARTS = REGION | frozenset(["share", "sharing", "social", "related", "recommended", "reply", "search", "skip", "tags", "toc", "teaser", "subscription"])
+WORDS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
+GAPS = re.compile(r"[\s\u00a0]+")
+#: How surely a block belongs to the article.
+OWN, GUESS = True, False
+
+
+def attributes(tag: str) -> dict[str, str]:
+    """Names, in small letters, and values of a tag's attributes; the first of a name counts."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTES.finditer(tag, NAME.match(tag).end()):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def judged(name: str, tag: str, level: int) -> tuple[bool, bool]:
+    """Whether an element is outside every article, and whether its class makes that likely only."""
+    if name in OUTSIDE:
+        return not (name == "header" and level == 2), False
+    if name in ("html", "body", "article", "main") or len(tag) <= len(name) + 2:
+        return False, False
+    a = attributes(tag)
+    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
+        return True, False
+    if not ROLES.isdisjoint(a.get("role", "").lower().split()):
+        return True, False
+    if name in HEADINGS:
+        return False, False
+    names = a.get("class", "").split() + (a.get("id", "").split() if name in REGIONS else [])
+    if not REGION.isdisjoint([x.lower() for x in names]):
+        return True, False
+    return False, any(not PARTS.isdisjoint([w.lower() for w in WORDS.split(x)]) for x in names)
 
 
 def lines(page: str | None) -> tuple[list[str], list[bool]]:
-    """Blocks of text that the markup does not rule out, and for each whether it stands in an article or main element."""
-    out: list[str] = []
-    inside: list[bool] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, ruled out, in an article
+    """Blocks of text that the markup does not rule out, and for each whether it surely is the article's (OWN) or a GUESS.
+
+    A page with an article element (or else main) keeps what is inside, where only blocks of suspect classes are guesses, and,
+    with an article inside main, what main has beside it. Of a page without such an element every block is a guess.
+    """
+    found: list[tuple[str, int, bool]] = []  # text, level (2 in an article, 1 in main, 0 elsewhere), suspect
+    stack: list[tuple[str, bool, int, bool]] = []  # element, ruled out, level, suspect
     text: list[str] = []
-    last = 0
     page = page or ""
-    drop, article = False, False
+    last, drop, level, suspect = 0, False, 0, False
 
     def flush() -> None:
         if text:
@@ -50,8 +101,11 @@ def lines(page: str | None) -> tuple[list[str], list[bool]]:
                 s = html.unescape(s)
             s = GAPS.sub(" ", s).strip()
             if s:
-                out.append(s)
-                inside.append(article)
+                found.append((s, level, suspect))
+
+    def leave(k: int) -> tuple[bool, int, bool]:
+        del stack[k:]
+        return stack[-1][1:] if stack else (False, 0, False)
 
     for m in TOKEN.finditer(page):
         if not drop and m.start() > last:
@@ -66,8 +120,7 @@ def lines(page: str | None) -> tuple[list[str], list[bool]]:
                 flush()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    del stack[k:]
-                    drop, article = stack[-1][1:] if stack else (False, False)
+                    drop, level, suspect = leave(k)
                     break
                 if stack[k][0] in ("article", "main", "body", "table") and name not in ("html", "body", "article", "main"):
                     break
@@ -80,35 +133,65 @@ def lines(page: str | None) -> tuple[list[str], list[bool]]:
             flush()
         if name in VOID or tag.endswith("/>"):
             continue
-        if name in CLOSES_P or name in ("li", "dd", "dt", "option", "tr", "td", "th"):
+        if name in CLOSES_P or name in ITEMS:
             for k in range(len(stack) - 1, -1, -1):  # an open paragraph or list item ends here
-                if stack[k][0] == "p" and name in CLOSES_P or stack[k][0] == name and name in ("li", "dd", "dt", "option", "tr", "td", "th"):
-                    del stack[k:]
-                    drop, article = stack[-1][1:] if stack else (False, False)
+                if stack[k][0] == "p" and name in CLOSES_P or stack[k][0] == name and name in ITEMS:
+                    drop, level, suspect = leave(k)
                     break
                 if stack[k][0] in BLOCK:
                     break
-        out_now = drop
-        if not out_now:
-            if name in OUTSIDE:
-                out_now = not (name == "header" and article)
-            elif name not in ("html", "body", "article", "main") and "=" in tag:
-                out_now = any(MARK.search(x.strip("\"'")) for x in MARKS.findall(tag)) or bool(HIDDEN.search(tag))
-            if out_now:
+        if not drop:
+            out, likely = judged(name, tag, level)
+            deeper = 2 if name == "article" else max(level, 1) if name == "main" else level
+            if (out, suspect or likely, deeper) != (False, suspect, level):
                 flush()
-        drop, article = out_now, article or name in ("article", "main")
-        stack.append((name, drop, article))
+            drop, level, suspect = out, deeper, suspect or likely
+        stack.append((name, drop, level, suspect))
     if not drop and last < len(page):
         text.append(page[last:])
     flush()
-    return out, inside
-
-
-def common_lines(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
-    """Places in a and b of a longest common subsequence; the earliest one of equals.
-
-    Lines that only one side has are left out first; the rest is solved by the usual table, whose size is the product of the
-    lines that both sides share.
+    top = max([n for _, n, _ in found], default=0)
+    kept = [(s, n == top > 0 and not x) for s, n, x in found if n or not top]
+    return [s for s, _ in kept], [own for _, own in kept]
+
+
+def _scores(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of p and each front of q."""
+    row = np.zeros(len(q) + 1, dtype=np.int32)
+    for x in p:
+        np.maximum(row[1:], np.where(q == x, row[:-1] + 1, 0), out=row[1:])
+        np.maximum.accumulate(row, out=row)
+    return row
+
+
+def _subsequence(p: np.ndarray, q: np.ndarray, cells: int) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence; tables over `cells` are halved first, so memory stays within that."""
+    if not len(p) or not len(q):
+        return []
+    if len(p) > 1 and len(p) * len(q) > cells:
+        half = len(p) // 2
+        cut_at = int(np.argmax(_scores(p[:half], q) + _scores(p[half:][::-1], q[::-1])[::-1]))
+        return _subsequence(p[:half], q[:cut_at], cells) + [(i + half, j + cut_at) for i, j in _subsequence(p[half:], q[cut_at:], cells)]
+    t = np.zeros((len(p) + 1, len(q) + 1), dtype=np.int32)
+    for i in range(len(p) - 1, -1, -1):
+        row = np.maximum(t[i + 1, :-1], np.where(p[i] == q, t[i + 1, 1:] + 1, 0))
+        t[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
+    out, i, j = [], 0, 0
+    while i < len(p) and j < len(q):
+        if p[i] == q[j] and t[i, j] == t[i + 1, j + 1] + 1:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif t[i + 1, j] >= t[i, j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def common_lines(a: list, b: list, cells: int = 1 << 22) -> tuple[set[int], set[int]]:
+    """Places in a and b of a longest common subsequence.
+
+    Lines that only one side has are left out first, equal fronts are paired; the rest is solved by tables of at most `cells` cells.
     """
     both = set(a) & set(b)
     x, y = [i for i, s in enumerate(a) if s in both], [j for j, s in enumerate(b) if s in both]
@@ -118,128 +201,108 @@ def common_lines(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
     ids = {s: k for k, s in enumerate(both)}
     p, q = np.array([ids[a[i]] for i in x[head:]], dtype=np.int64), np.array([ids[b[j]] for j in y[head:]], dtype=np.int64)
     left, right = set(x[:head]), set(y[:head])
-    if len(p) and len(q):
-        t = np.zeros((len(p) + 1, len(q) + 1), dtype=np.int32)
-        for i in range(len(p) - 1, -1, -1):
-            row = np.maximum(t[i + 1, :-1], np.where(p[i] == q, t[i + 1, 1:] + 1, 0))
-            t[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
-        i = j = 0
-        while i < len(p) and j < len(q):
-            if p[i] == q[j] and t[i, j] == t[i + 1, j + 1] + 1:
-                left.add(x[head + i])
-                right.add(y[head + j])
-                i, j = i + 1, j + 1
-            elif t[i + 1, j] >= t[i, j + 1]:
-                i += 1
-            else:
-                j += 1
+    for i, j in _subsequence(p, q, cells):
+        left.add(x[head + i])
+        right.add(y[head + j])
     return left, right
 
 
-def shared_lines(pages: list[tuple[list, list[int]]]) -> list[set[int]]:
-    """Places of the lines that pages, neighbours by URL following each other, share with a neighbour.
+def shared_lines(a: tuple[list, list[int]], b: tuple[list, list[int]]) -> tuple[set[int], set[int]]:
+    """Places of the lines that two pages, neighbours by URL, share.
 
     A page is its lines, or hashes of them, and their lengths. Two pages that share more than half of either's text are
     versions of one article, and nothing is shared between them that could be boilerplate.
     """
-    gone: list[set[int]] = [set() for _ in pages]
-    for k in range(len(pages) - 1):
-        (a, m), (b, n) = pages[k], pages[k + 1]
-        left, right = common_lines(a, b)
-        if 2 * sum(m[i] for i in left) <= min(sum(m), sum(n)):
-            gone[k] |= left
-            gone[k + 1] |= right
-    return gone
+    left, right = common_lines(a[0], b[0])
+    if 2 * sum(a[1][i] for i in left) > min(sum(a[1]), sum(b[1])):
+        return set(), set()
+    return left, right
 
 
 def differ(pages: list[tuple[list[str], list[bool]]]) -> list[list[str]]:
-    """The lines kept of neighbouring pages, given with whether each stands in an article.
-
-    Shared lines go, except those inside an article: what the markup itself calls the article is no boilerplate, whoever else has
-    it. A page that has an article element keeps nothing outside it.
-    """
-    gone = shared_lines([(texts, [len(t) for t in texts]) for texts, _ in pages])
-    return [[t for i, t in enumerate(texts) if inside[i] or not any(inside) and i not in out] for (texts, inside), out in zip(pages, gone, strict=True)]
+    """The lines kept of pages that follow each other by URL, given as lines() gives them: guesses that a neighbour shares go."""
+    gone: list[set[int]] = [set() for _ in pages]
+    for k in range(len(pages) - 1):
+        a, b = pages[k][0], pages[k + 1][0]
+        left, right = shared_lines((a, [len(t) for t in a]), (b, [len(t) for t in b]))
+        gone[k] |= left
+        gone[k + 1] |= right
+    return [[t for i, t in enumerate(texts) if own[i] or i not in out] for (texts, own), out in zip(pages, gone, strict=True)]
 
 
-def pair_pages(pages: DataFrame) -> DataFrame:
-    """(row, pair, place): pages of a host paired with their neighbours in the order of URL paths.
+def neighbours(pages: DataFrame) -> DataFrame:
+    """(row, host, place, meeting): the pages with a host by their place in the order of host, folder and URL path.
 
-    Pages are paired within the paths that agree but for the last two characters of their last part; those left over in a
-    group pair within their folder, then within the host, each level with one page a group of the level before at most.
-    No window is wider than such a group. Of an odd group the page left over at the end has no partner. Pages without a URL have none.
+    A page has two meetings, one with the page before it and one with the page after it, so neighbours within a host meet once.
+    The order is taken by ranges of host, path, URL and row and numbered by range: no task holds a host, a folder or
+    the pages of one path.
     """
     url = F.lower(F.coalesce("url", F.lit("")))
     host = F.regexp_extract(url, r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)
-    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(url, r"^(?:(?:[a-z][a-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1), r"(?:/index)?\.[a-z]{3,5}$|/+$", ""), "/+", "/")
-    d = pages.select("row", host.alias("host"), path.alias("path"), F.coalesce("url", F.lit("")).alias("url"))
-    d = cut(d.withColumn("folder", F.regexp_extract("path", r"^(.*)/", 1)).withColumn("stem", F.regexp_replace("path", r"[^/]{0,2}$", "")))
-    left, done = d, None
-    for level in (["host", "folder", "stem"], ["host", "folder"], ["host"]):
-        key = [F.xxhash64(F.lit(len(level)), *level).alias("g")]
-        w = W.partitionBy("g").orderBy(F.length("path"), "path", "url", "row")
-        n = F.count(F.lit(1)).over(W.partitionBy("g"))
-        ranked = cut(left.where("host <> ''").select("*", *key).withColumn("r", F.row_number().over(w)).withColumn("n", n))
-        paired = ranked.where("r <= n - n % 2").select("row", F.xxhash64(F.lit(len(level)), "g", F.floor((F.col("r") - 1) / 2)).alias("pair"), (F.col("r") % 2).alias("place"))
-        done = paired if done is None else done.union(paired)
-        left = ranked.where("r > n - n % 2").select(*d.columns)
-    alone = left.select("row", F.xxhash64(F.lit(0), "row").alias("pair"), F.lit(1).alias("place"))
-    none = d.where("host = ''").select("row", F.xxhash64(F.lit(0), "row").alias("pair"), F.lit(1).alias("place"))
-    return done.union(alone).union(none)
+    path = F.regexp_extract(url, r"^(?:(?:[a-z][a-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
+    path = F.regexp_replace(F.regexp_replace(path, r"(?:/index)?\.[a-z]{3,5}$|/+$", ""), "/+", "/")
+    d = pages.select("row", host.alias("host"), path.alias("path"), F.coalesce("url", F.lit("")).alias("url")).where("host <> ''")
+    d = d.withColumn("folder", F.regexp_extract("path", r"^(.*)/", 1)).withColumn("size", F.length("path"))
+    order = ["host", "folder", "size", "path", "url", "row"]
+    d = cut(d.repartitionByRange(*order).sortWithinPartitions(*order).select("row", F.xxhash64("host").alias("host")))
+    at = F.monotonically_increasing_id()
+    d = d.withColumn("at", at).select("row", "host", F.shiftrightunsigned("at", 33).alias("range"), F.col("at").bitwiseAND(F.lit(2**33 - 1)).alias("i"))
+    sizes = d.groupBy("range").agg((F.max("i") + 1).alias("n"))  # a row for each range
+    before = F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    d = d.join(F.broadcast(sizes.select("range", before.alias("before"))), "range").select("row", "host", (F.col("before") + F.col("i")).alias("place"))
+    return d.withColumn("meeting", F.explode(F.array(F.col("place"), F.col("place") + 1)))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page: its blocks joined by line breaks.
+    """(page_id, url, text, n_chars, n_shared) of every page: its blocks joined by line breaks, and how many lines differencing took.
+
+    What the markup calls the article is kept whoever else has it. Where it only lets guess (blocks of suspect classes, pages without
+    an article), lines that the page of nearest URL before or after has too are deleted, by a longest common subsequence. What
+    travels to a page's neighbours is a hash and a length for each line; the lines themselves are shuffled once, to meet the places
+    to delete. Text inside a block has its character references decoded and its white space folded; nothing is cut or capped.
 
-    What travels to a page's partner is a hash and a length for each line; the lines themselves are shuffled once, to meet the places
-    to delete. Null and empty html gives empty text. Rows that repeat, and equal URLs, are neighbours and pair like any others,
-    ordered by page_id; rows of one page_id and URL count as one page in pairing. Text inside a block has its character
-    references decoded and its white space folded; nothing is cut or capped. An empty table gives none.
+    Null and empty html gives empty text. Equal URLs are neighbours like any others, ordered by a hash of the row; rows that are equal in page_id,
+    URL and html count as one page in pairing and each get its text. Pages without a host have no neighbour. Very long pages are
+    parsed whole and compared in tables of bounded size. Other columns are ignored, whatever their names. An empty table gives none.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [lines(x)[0] for x in b.column(1).to_pylist()]
-            code = [[int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little", signed=True) for t in x] for x in got]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code, pa.list_(pa.int64())), pa.array([[len(t) for t in x] for x in got], pa.list_(pa.int32()))], names=["row", "codes", "sizes"])
+            got = [lines(x) for x in b.column(1).to_pylist()]
+            texts = pa.array([x for x, _ in got], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), texts, pa.array([[k for k, own in enumerate(x) if not own] for _, x in got], pa.list_(pa.int32()))], names=["row", "lines", "guesses"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by pair, so partners follow each other in a partition."""
-        held: list[dict] = []
-        done: dict = {"row": [], "gone": []}
-
-        def close() -> None:
-            for r, gone in zip(held, shared_lines([(r["codes"], r["sizes"]) for r in held]), strict=True):
-                if gone:
-                    done["row"].append(r["row"])
-                    done["gone"].append(sorted(gone))
-            held.clear()
-
+        """Rows come sorted by meeting, so neighbours follow each other in a partition."""
+        held: dict | None = None
         for b in batches:
+            done: dict = {"row": [], "gone": []}
             for r in b.to_pylist():
-                if held and r["pair"] != held[0]["pair"]:
-                    close()
-                held.append(r)
-        close()
-        yield pa.RecordBatch.from_pydict(done, schema=pa.schema([("row", pa.int64()), ("gone", pa.list_(pa.int32()))]))
+                if held and (held["meeting"], held["host"]) == (r["meeting"], r["host"]) and (held["guesses"] or r["guesses"]):
+                    for page, out in zip((held, r), shared_lines((held["codes"], held["sizes"]), (r["codes"], r["sizes"])), strict=True):
+                        if gone := sorted(out.intersection(page["guesses"])):
+                            done["row"].append(page["row"])
+                            done["gone"].append(gone)
+                held = r
+            yield pa.RecordBatch.from_pydict(done, schema=pa.schema([("row", pa.int64()), ("gone", pa.list_(pa.int32()))]))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [lines(x) for x in b.column(3).to_pylist()]
-            whole = [any(y) for _, y in got]
-            kept = [[t for t, i in zip(x, y, strict=True) if i or not w] for (x, y), w in zip(got, whole, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(kept, pa.list_(pa.string())), pa.array(whole)], names=["row", "page_id", "url", "lines", "whole"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([lines(x)[0] for x in b.column(3).to_pylist()], pa.list_(pa.string()))], names=["row", "page_id", "url", "lines"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    key = F.xxhash64("page_id", F.coalesce("url", F.lit("")), F.col("page_id").isNull())
-    codes = rows.select(key.alias("row"), "html").mapInArrow(digest, "row bigint, codes array<bigint>, sizes array<int>").dropDuplicates(["row"])
-    pairs = pair_pages(rows.select(key.alias("row"), "url").dropDuplicates(["row"]))
-    met = codes.join(pairs, "row").repartition("pair").sortWithinPartitions("pair", F.desc("place"), "row").select("pair", "row", "codes", "sizes")
-    gone = met.mapInArrow(compare, "row bigint, gone array<int>")
-    parsed = rows.select(key.alias("row"), "page_id", "url", "html").mapInArrow(parse, "row bigint, page_id bigint, url string, lines array<string>, whole boolean")
+    key = F.xxhash64("page_id", F.col("page_id").isNull(), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
+    found = rows.select(key.alias("row"), "html").mapInArrow(digest, "row bigint, lines array<string>, guesses array<int>")
+    codes = found.select("row", F.transform("lines", lambda x: F.xxhash64(x)).alias("codes"), F.transform("lines", F.length).alias("sizes"), "guesses")
+    met = neighbours(rows.select(key.alias("row"), "url").dropDuplicates(["row"])).join(codes.dropDuplicates(["row"]), "row")
+    met = met.repartition("meeting").sortWithinPartitions("meeting", "place")
+    gone = met.select("meeting", "host", "row", "codes", "sizes", "guesses").mapInArrow(compare, "row bigint, gone array<int>")
+    gone = gone.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))  # two lists at most
+    parsed = rows.select(key.alias("row"), "page_id", "url", "html").mapInArrow(parse, "row bigint, page_id bigint, url string, lines array<string>")
     out = F.coalesce("gone", F.array().cast("array<int>"))
-    text = F.array_join(F.filter("lines", lambda x, i: F.col("whole") | ~F.array_contains(out, i)), "\n")
-    return parsed.join(gone, "row", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    text = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains(out, i)), "\n")
+    done = parsed.join(gone, "row", "left").select("page_id", "url", text.alias("text"), F.size(out).cast("long").alias("n_shared"))
+    return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
 
 
 def op2_page_differencing(pages: DataFrame) -> DataFrame:

@@ -343,14 +343,28 @@ PAGE = "<html><head><title>T</title></head><body><nav><a>Menu</a></nav>{}<footer
         ("<p>open <!-- c --> text", "open text"),
         (None, ""),
         ("", ""),
+        ('<article><p title="the hidden gem">kept</p><p hidden>gone</p><p style="display: none">gone</p></article>', "kept"),
+        ('<article><p>See <a href="/x?id=comments">the link text</a></p><p data-id="share">one</p><p id="reply">two</p></article>', "See the link text\none\ntwo"),
+        ('<article><h2 id="related-work" class="nav">Related work</h2><p id="search-algorithms">On search</p></article>', "Related work\nOn search"),
+        ('<article><section class="alert-systems"><p>Sirens</p></section><div class="cookie-recipes">Dough</div></article>', "Sirens\nDough"),
+        ("<article><p>Let <math><mi>x</mi></math> be <svg><text>drawn</text></svg></p><video>no film</video></article>", "Let x be drawn\nno film"),
+        ('<article><p class="x>Hello</p><p>there</p></article>', "Hello\nthere"),
+        ("<article><p title=it's>Don't drop</p><p>a < b and c > d</p></article>", "Don't drop\na < b and c > d"),
+        ("<main><p>Beside</p><article><p>Inside</p></article></main><p>Out</p>", "Beside\nInside"),
+        ('<article><div role="navigation">x</div><div class="Ad big">y</div><form>z</form><p>w</p></article>', "w"),
     ],
 )
 def test_page_text(html, want):
-    x, inside = pagediff.lines(html)
-    assert "\n".join(pagediff.differ([(x, inside)])[0]) == want
+    assert "\n".join(pagediff.differ([pagediff.lines(html)])[0]) == want
 
 
-def test_differing_deletes_shared_lines_only_outside_articles():
+def test_parsing_ends_on_texts_that_never_close():
+    for s in ("<a " * 100_000, "<" * 300_000, "<p>" * 50_000, '<a b="' * 1001, "&" * 200_000, "x" * 1_000_000):
+        assert len(pagediff.lines(s)[0]) <= 1
+    assert pagediff.lines("<p>word</p>" * 20_000)[0] == ["word"] * 20_000
+
+
+def test_differing_deletes_shared_guesses_and_nothing_of_the_article():
     a = (["Top bar", "First page text that is long", "Bottom"], [False] * 3)
     b = (["Top bar", "Second page text that is long", "Bottom"], [False] * 3)
     assert pagediff.differ([a, b]) == [["First page text that is long"], ["Second page text that is long"]]
@@ -358,6 +372,23 @@ def test_differing_deletes_shared_lines_only_outside_articles():
     assert pagediff.differ([c, c]) == [c[0], c[0]]
 
 
+def test_boilerplate_inside_articles_goes_by_differencing(spark):
+    page = '<article><p>Story {} has words of its own, many of them.</p><div class="related-stories">Read more here</div><p>Same motto</p><div class="share-{}">Own note {}</div></article>'
+    d = spark.createDataFrame([(i, f"http://h.example/x/{i}", page.format(i, i, i)) for i in range(7)] + [(7, "http://lone.example/", page.format(7, 7, 7))], "page_id long, url string, html string")
+    got = {r.page_id: r for r in pagediff.op2_page_differencing(d).collect()}
+    for i in range(7):
+        assert got[i].text == f"Story {i} has words of its own, many of them.\nSame motto\nOwn note {i}" and got[i].n_shared == 1
+    assert "Read more here" in got[7].text and got[7].n_shared == 0
+
+
+def test_pages_of_one_id_and_url_keep_their_own_lines(spark):
+    rows = [(1, "http://h.example/a", "<div>shared</div><div>first text of some length</div>"), (1, "http://h.example/a", "<div>other text of some length</div><div>shared</div>")] * 2
+    d = spark.createDataFrame([(*r, "x", 0) for r in rows], "page_id long, url string, html string, row string, host int")
+    got = sorted(r.text for r in pagediff.op2_page_differencing(d).collect())
+    assert got == ["first text of some length"] * 2 + ["other text of some length"] * 2
+    assert pagediff.op2_page_differencing(d.limit(0)).count() == 0
+
+
 def test_common_lines_is_a_longest_subsequence():
     rng = random.Random(3)
     for _ in range(60):
@@ -367,6 +398,8 @@ def test_common_lines_is_a_longest_subsequence():
             for j, y in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
         left, right = pagediff.common_lines(a, b)
+        halved = pagediff.common_lines(a, b, cells=4)
+        assert len(halved[0]) == t[-1][-1] and [a[i] for i in sorted(halved[0])] == [b[j] for j in sorted(halved[1])]
         assert len(left) == len(right) == t[-1][-1] and [a[i] for i in sorted(left)] == [b[j] for j in sorted(right)]
 
 
@@ -374,7 +407,7 @@ def test_pages_pair_within_hosts(spark):
     urls = [f"http://h.example/a/{i}" for i in range(101)] + ["http://other.example/z", None, "no url"]
     d = spark.createDataFrame([(i, u, PAGE.format(f"<div>own {i} line with words</div><div>shared</div>")) for i, u in enumerate(urls)], "page_id long, url string, html string")
     got = {r.page_id: (r.text, r.n_chars) for r in pagediff.op2_page_differencing(d).collect()}
-    assert len(got) == len(urls) and sum("shared" not in t for t, _ in got.values()) == 100 and all(f"own {i}" in got[i][0] and got[i][1] == len(got[i][0]) for i in got)
+    assert len(got) == len(urls) and sum("shared" not in t for t, _ in got.values()) == 101 and all(f"own {i}" in got[i][0] and got[i][1] == len(got[i][0]) for i in got)
 
 
 def test_forest_recall_and_exact_links(spark):
