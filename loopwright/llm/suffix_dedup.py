@@ -92,8 +92,8 @@ class Stretches:
 
 
 def ordered(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]:
-    """Bytes, offsets, ids and table of a block by doc_id, then text; null ids come last."""
-    ids = np.asarray(t.column("doc_id").fill_null(LAST).to_numpy())
+    """Bytes, offsets, ids and table of a block by id, then text."""
+    ids = t.column("id").to_numpy()
     if len(np.unique(ids)) == len(ids):
         order = np.argsort(ids, kind="stable")
     else:
@@ -108,66 +108,78 @@ def ordered(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]:
     return data, offsets, ids[order], t
 
 
-def suffix_runs(data: np.ndarray, at: np.ndarray, kind: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order of the places `at` that share `window` bytes with another place, and the run of each.
+def suffix_order(data: np.ndarray, at: np.ndarray, kind: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places `at` in suffix order, with the class of each and the bytes, up to `window`, it has in common with the one before it.
 
-    Places are sorted by kind, then by eight bytes at a time; those alone in their class leave after each round. Places
-    of one class stay in the order given.
+    Kinds stand one after the other and have nothing in common; within a kind the order is that of the `window` bytes from each place,
+    equal ones in the order given. Bytes are looked at eight at a time; a place that is alone in its class is left where it is.
     """
-    alive = np.arange(len(at))
-    rank = kind
-    words = [*range(0, window - 7, 8)]
+    order = np.argsort(kind, kind="stable")
+    ordered_kind = kind[order]
+    first = np.concatenate(([True], ordered_kind[1:] != ordered_kind[:-1])) if len(order) else np.zeros(0, bool)
+    group = np.cumsum(first) - 1
+    common = np.where(first, 0, window).astype(np.int64)
+    slot, classes = np.arange(len(order)), group
+    words = list(range(0, window - 7, 8))
     if words[-1] + 8 < window:
         words.append(window - 8)
-    for w in [None, *words]:
-        if w is None:
-            order = np.argsort(rank[alive], kind="stable")
-            alive, keys = alive[order], rank[alive[order]]
-            new = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
-        else:
-            word = np.zeros(len(alive), dtype=np.uint64)
-            for b in range(8):
-                word = (word << np.uint64(8)) | data[at[alive] + w + b].astype(np.uint64)
-            order = np.lexsort((word, classes))
-            alive, word, classes = alive[order], word[order], classes[order]
-            new = np.concatenate(([True], (word[1:] != word[:-1]) | (classes[1:] != classes[:-1]))) if len(word) else np.zeros(0, bool)
-        classes = np.cumsum(new) - 1
+    for w in words:
         many = np.bincount(classes)[classes] > 1 if len(classes) else np.zeros(0, bool)
-        alive, classes = alive[many], classes[many]
-        if not len(alive):
+        slot, classes = slot[many], classes[many]
+        if not len(slot):
             break
-    return alive, classes
-
-
-def smaller_before(place: np.ndarray, run: np.ndarray) -> np.ndarray:
-    """Index of the nearest element before each one, in its run, whose place is smaller; -1 if there is none."""
+        here = order[slot]
+        word = np.zeros(len(slot), dtype=np.uint64)
+        for b in range(8):
+            word = (word << np.uint64(8)) | data[at[here] + w + b].astype(np.uint64)
+        by = np.lexsort((word, classes))
+        order[slot], word = here[by], word[by]  # classes stay where they are
+        same = np.concatenate(([False], classes[1:] == classes[:-1]))
+        differ = same & np.concatenate(([False], word[1:] != word[:-1]))
+        x = word[differ] ^ word[np.flatnonzero(differ) - 1]
+        lead = np.zeros(len(x), dtype=np.int64)
+        for b in range(1, 8):
+            lead += x < np.uint64(1) << np.uint64(8 * b)  # leading bytes that agree
+        common[slot[differ]] = w + lead
+        classes = np.cumsum(~same | differ) - 1
+    return order, group, common
+
+
+def smaller_before(place: np.ndarray, group: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place in suffix order the nearest one before it, in its group, that stands earlier in the text (-1 if none), and
+    the bytes the two have in common: the least of what neighbours between them have."""
     n = len(place)
-    found = np.arange(n) - 1
+    found, shared = np.arange(n) - 1, common.copy()
     todo = np.arange(n)
     while len(todo):
         p = found[todo]
         here = p >= 0
-        here[here] &= run[p[here]] == run[todo[here]]
-        found[todo[~here]] = -1
+        here[here] &= group[p[here]] == group[todo[here]]
+        found[todo[~here]], shared[todo[~here]] = -1, 0
         todo, p = todo[here], p[here]
         high = place[p] >= place[todo]
         todo, p = todo[high], p[high]
-        found[todo] = found[p]  # all between are larger still
-    return found
+        found[todo], shared[todo] = found[p], np.minimum(shared[todo], shared[p])  # all between stand later still
+    return found, shared
 
 
-def longest_previous(place: np.ndarray, run: np.ndarray, window: int) -> np.ndarray:
-    """Longest previous factors, counted up to `window`, of places in suffix order whose runs share `window` bytes."""
-    back = smaller_before(place, run)
-    fore = smaller_before(place[::-1], run[::-1])[::-1]
-    return np.where((back >= 0) | (fore >= 0), window, 0)
+def longest_previous(place: np.ndarray, group: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Longest previous factors of places in suffix order: the most bytes, up to what `common` counts, that each has in
+    common with an earlier place. No other earlier place has more than the nearest smaller ones before and after it."""
+    _, back = smaller_before(place, group, common)
+    after = np.concatenate((common[1:], [0])) if len(common) else common
+    _, fore = smaller_before(place[::-1], group[::-1], after[::-1])
+    return np.maximum(back, fore[::-1])
 
 
 def passage_cuts(docs: DataFrame, window: int = 100, block_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20, hot: int = 2048) -> tuple[DataFrame, DataFrame]:
     """Blocks of documents (block, doc_id, text) and the windows to remove (block, blob of CUTS)."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks, n_buckets = max(8, -(-total // block_bytes)), max(24, -(-total // bucket_bytes))
-    blocks = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # texts without an id come after all others, in the order of a hash
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST) - F.shiftrightunsigned(F.xxhash64("text"), 2))
+    blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", own.alias("id"))
+    blocks = blocks.select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block"), "doc_id", "id", "text")
 
     def announce(key: tuple, t: pa.Table) -> pa.Table:
         """Of each kind of stretch in the block the first, dealt to buckets by minimiser."""
@@ -239,11 +251,12 @@ def passage_cuts(docs: DataFrame, window: int = 100, block_bytes: int = 8 << 20,
         w_of = np.repeat(np.arange(len(lone)), s.count[lone])
         w_in = np.arange(len(w_of)) - np.repeat(np.cumsum(s.count[lone]) - s.count[lone], s.count[lone])
         w_row, w_start = s.row[lone[w_of]], s.start[lone[w_of]] + w_in
-        digest = [hashlib.blake2b(data[a : a + window], digest_size=8).digest() for a in offsets[w_row] + w_start]
-        digest = np.frombuffer(b"".join(digest), dtype=np.uint64)
-        _, lead = np.unique(digest, return_index=True)
-        later = np.ones(len(digest), dtype=bool)
+        digest = [hashlib.blake2b(data[a : a + window], digest_size=16).digest() for a in offsets[w_row] + w_start]
+        digest, check = np.frombuffer(b"".join(digest), dtype=np.uint64).reshape(-1, 2).T
+        _, lead, like = np.unique(digest, return_index=True, return_inverse=True)
+        later = check == check[lead[like]]
         later[lead] = False
+        lead = np.flatnonzero(~later)
         c = np.zeros(int(gone.sum()) + int(later.sum()), dtype=CUTS)
         c["row"], c["start"] = np.concatenate((s.row[gone], w_row[later])), np.concatenate((s.start[gone], w_start[later]))
         c["count"] = np.concatenate((s.count[gone], np.ones(int(later.sum()), dtype=np.int64)))
@@ -260,9 +273,9 @@ def passage_cuts(docs: DataFrame, window: int = 100, block_bytes: int = 8 << 20,
         lo = offsets[p["row"]] + p["start"]
         to = np.concatenate((p["mh"][: len(p) - len(w_of)], mix(digest)))
         to = (to % np.uint64(n_buckets)).astype(np.int64)
-        for b in np.unique(to):
-            o = np.flatnonzero(to == b)
-            emit(int(b), None, p[o].tobytes(), b"".join(data[a : a + z].tobytes() for a, z in zip(lo[o], p["size"][o], strict=True)))
+        by = np.argsort(to, kind="stable")
+        for o in np.split(by, np.flatnonzero(np.diff(to[by])) + 1) if len(by) else ():
+            emit(int(to[o[0]]), None, p[o].tobytes(), b"".join(data[a : a + z].tobytes() for a, z in zip(lo[o], p["size"][o], strict=True)))
         return pa.table(rows, schema=pa.schema([("key", pa.int64()), ("block", pa.int64()), ("cuts", pa.binary()), ("parts", pa.binary()), ("text", pa.binary())]))
 
     def compare(key: tuple, t: pa.Table) -> pa.Table:
@@ -279,9 +292,9 @@ def passage_cuts(docs: DataFrame, window: int = 100, block_bytes: int = 8 << 20,
         of = np.repeat(np.arange(len(parts)), count)
         inner = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
         kind = mix(parts["mh"][of] + mix((parts["off"][of] - inner).astype(np.uint64)))
-        sa, run = suffix_runs(data, begin[of] + inner, kind, window)
-        lpf = longest_previous(sa, run, window)  # elements are numbered in order of document and place
-        hit = np.sort(sa[lpf >= window])
+        order, group, common = suffix_order(data, begin[of] + inner, kind, window)
+        lpf = longest_previous(order, group, common)  # elements are numbered in order of document and place
+        hit = np.sort(order[lpf >= window])
         c = np.zeros(len(hit), dtype=CUTS)
         e = of[hit]
         c["row"], c["start"], c["count"] = parts["row"][e], parts["start"][e] + inner[hit], 1
@@ -313,8 +326,10 @@ def strip_passages(docs: DataFrame, window: int = 100, with_text: bool = False,
 
     Every byte goes that a string of `window` bytes covers which also starts earlier: in a document of smaller doc_id or
     further ahead in the same one. The first copy stays. Strings are judged on the input and do not cross documents. Rows
-    that share a doc_id are ordered by text; null doc_ids come last. Null and empty texts have 0 bytes and
-    the hash of nothing. A crowd of stretches under one minimiser is split by the hashes of its windows, so no bucket grows with
+    that share a doc_id are ordered by text, equal ones in any order; rows without a doc_id come last, ordered by a hash of the text (ids from
+    3 * 2**61 on would mix with them). Null and empty texts have 0 bytes and the hash of nothing; texts of any length are cut whole. Other columns are
+    ignored, whatever their names. Stretches that repeat whole are told by 96 bits of hashes (one pair of 10**28 different ones is taken for equal) and windows of
+    crowded stretches within a block by 128 bits; all else is compared byte by byte. A crowd of stretches under one minimiser is split by the hashes of its windows, so no bucket grows with
     the copies of one passage. `text` drops characters that are cut in part as a whole. A table without rows gives none.
     """
     blocks, cuts = passage_cuts(docs, window, **sizes)

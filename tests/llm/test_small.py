@@ -119,9 +119,27 @@ def test_passages_of_crowded_and_lone_stretches_match_brute_force(spark, hot):
 
 def test_longest_previous_matches_brute_force():
     rng = np.random.default_rng(4)
-    place, run = rng.permutation(200), np.sort(rng.integers(0, 20, 200))
-    got = suffix_dedup.longest_previous(place, run, 100) > 0
-    assert list(got) == [any(run[j] == run[i] and place[j] < place[i] for j in range(200)) for i in range(200)]
+    data = rng.integers(0, 2, 400, dtype=np.uint8)
+    data[200:330] = data[20:150]
+    at, kind = np.arange(360), rng.integers(0, 3, 360)
+    order, group, common = suffix_dedup.suffix_order(data, at, kind, 40)
+    text = data.tobytes()
+    assert [(kind[i], text[i : i + 40], i) for i in order] == sorted((kind[i], text[i : i + 40], i) for i in range(360))
+    got = np.zeros(360, dtype=int)
+    got[order] = suffix_dedup.longest_previous(order, group, common)
+
+    def shared(i, j):
+        return next((x for x in range(40) if text[i + x] != text[j + x]), 40)
+
+    assert got.tolist() == [max([shared(i, j) for j in range(i) if kind[j] == kind[i]], default=0) for i in range(360)]
+    assert 0 < (got == 40).sum() < (got > 10).sum()
+
+
+def test_passages_of_rows_without_ids(spark):
+    text = "a passage " * 5 + "of more than one hundred bytes that several rows without any id have in common, word for word"
+    d = documents(spark, [text, text + "x", None, text]).withColumn("doc_id", F.when(F.col("doc_id") == 0, 7))
+    got = suffix_dedup.op4_suffix_lpf(d).collect()
+    assert [r.n_removed for r in got if r.doc_id == 7] == [0] and sorted(r.n_removed for r in got) == [0, 0, len(text), len(text)]
 
 
 @pytest.mark.parametrize(("k", "sizes"), [(2, {}), (5, {}), (5, {"rows": 16, "weight": 1500})])
