@@ -14,7 +14,7 @@ COMMON = {
     "de": ("der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "ist", "im", "dem", "nicht", "ein", "eine", "als", "auch", "es", "an"),
     "es": ("de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para", "es", "al", "lo", "como"),
 }
-#: Character classes counted one by one; white space, letters beyond ASCII and all the rest complete the histogram.
+#: Character classes counted one by one; white space, characters beyond ASCII and all the rest complete the histogram.
 CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "stop": "[.,;:?]", "bang": "[!]", "symbol": r"[#*$%&|<>]"}
 
 
@@ -45,7 +45,7 @@ def text_features(docs: DataFrame) -> DataFrame:
         "lang",
         "w",
         F.length("text").cast("long").alias("chars"),
-        (F.octet_length("text") - F.length("text")).cast("long").alias("beyond"),
+        F.length(F.regexp_replace("text", r"[\x00-\x7F]+", "")).cast("long").alias("beyond"),
         F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         *[count(p).alias(c) for c, p in CLASSES.items()],
@@ -73,15 +73,19 @@ def histograms(f: DataFrame) -> DataFrame:
 
 
 def judge(
-    docs: DataFrame, max_char_distance: float = 0.26, max_word_distance: float = 0.24, min_words: int = 50, min_chars: int = 200, min_lang_share: float = 0.005
+    docs: DataFrame, max_char_distance: float = 0.26, max_word_distance: float = 0.24, min_words: int = 50, min_chars: int = 200, min_documents: int = 10, most_languages: int = 4096
 ) -> DataFrame:
     """Rule counts of every document and its verdict.
 
-    References are the summed histograms of all documents of one `lang` that pass the base rules, for languages with
-    at least `min_lang_share` of those documents (so 1 / min_lang_share languages at most are broadcast); null is no
-    language. A document's distances are those to the nearest reference. Guards: a text under `min_words` words fails the base
-    rules; one under `min_chars` characters, or a table without references, has no distances and keeps the base verdict.
-    Null and empty texts have no words and fail.
+    References are the summed histograms of all documents of one `lang` that pass the base rules, for every language with
+    at least `min_documents` of those; null is no language. A document's distances are those to the nearest reference. Guards: a text under
+    `min_words` words fails the base rules; one under `min_chars` characters, one whose language has too few documents
+    for a reference, or a table without references, has no distances and keeps the base verdict: no text is held against foreign
+    languages alone. The references travel with the tasks; more than `most_languages` of them raise an error.
+
+    Null and empty texts have no words and fail. Very long texts are counted whole. Repeated rows are judged each for itself and
+    count each in their language's reference. Distances at a limit pass. Columns other than doc_id, text and lang are ignored,
+    whatever their names. An empty table gives an empty result.
     """
     f = cut(text_features(docs))
     f = f.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
@@ -90,11 +94,13 @@ def judge(
     total = lambda c, n: F.array(*[F.sum(F.col(c)[i]) for i in range(n)])
     passed = f.where("not base_failed")
     by_lang = passed.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), total("char_counts", n_char).alias("rc"), total("word_counts", n_word).alias("rw"))
-    every = passed.agg(F.count(F.lit(1)).alias("all"))
-    refs = by_lang.join(F.broadcast(every)).where(F.col("n") >= min_lang_share * F.col("all"))
+    refs = by_lang.where(F.col("n") >= min_documents).limit(most_languages + 1)
     refs = refs.agg(F.array_sort(F.collect_list(F.struct("lang", shares(F.col("rc")).alias("rc"), shares(F.col("rw")).alias("rw")))).alias("refs"))
+    many = F.raise_error(F.lit(f"more than {most_languages} languages"))
+    refs = refs.select(F.when(F.size("refs") <= most_languages, F.col("refs")).otherwise(many).alias("refs"))
     f = f.join(F.broadcast(refs)).withColumns({"pc": shares(F.col("char_counts")), "pw": shares(F.col("word_counts"))})
-    long_enough = (F.col("chars") >= min_chars) & (F.size("refs") > 0)
+    known = F.col("lang").isNull() | F.exists("refs", lambda r: r["lang"] == F.col("lang"))
+    long_enough = (F.col("chars") >= min_chars) & (F.size("refs") > 0) & known
     f = f.withColumn("char_distance", F.when(long_enough, F.array_min(F.transform("refs", lambda r: js_distance(F.col("pc"), r["rc"])))))
     f = f.withColumn("word_distance", F.when(long_enough, F.array_min(F.transform("refs", lambda r: js_distance(F.col("pw"), r["rw"])))))
     far = (F.coalesce("char_distance", F.lit(0.0)) > max_char_distance) | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance)

@@ -70,13 +70,13 @@ def _divergence() -> str:
     six = lambda c: f"floor({c} * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE"
     return rf"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 e AS (SELECT *, list_transform(w, lambda x: lower(rtrim(x, '.,;:!?#*$%&'))) AS p FROM d),
-f AS (SELECT doc_id, lang, len(w) AS n_words, length(t) AS chars, strlen(t) - length(t) AS beyond, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(l) - len(list_distinct(l)) AS n_dup_lines, {counts}, {bins} FROM e),
+f AS (SELECT doc_id, lang, len(w) AS n_words, length(t) AS chars, length(regexp_replace(t, '[\x00-\x7F]+', '', 'g')) AS beyond, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(l) - len(list_distinct(l)) AS n_dup_lines, {counts}, {bins} FROM e),
 tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS k FROM (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS x FROM d WHERE len(w) >= 3)),
 rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM tri WHERE k > 1) GROUP BY 1),
 g AS (SELECT f.*, coalesce(rep.n, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(rep.n, 0) > 50 * n_words AS base_failed, {chars} AS cc, {hist} AS cw FROM f LEFT JOIN rep USING (doc_id)),
-ref AS (SELECT lang, {share('rc')} AS rc, {share('rw')} AS rw FROM (SELECT lang, count(*) AS n, {total('cc', len(CLASSES) + 3)} AS rc, {total('cw', len(COMMON) + 1)} AS rw FROM g WHERE NOT base_failed AND lang IS NOT NULL GROUP BY 1) WHERE n >= 0.005::DOUBLE * (SELECT count(*) FROM g WHERE NOT base_failed)),
+ref AS (SELECT lang, {share('rc')} AS rc, {share('rw')} AS rw FROM (SELECT lang, count(*) AS n, {total('cc', len(CLASSES) + 3)} AS rc, {total('cw', len(COMMON) + 1)} AS rw FROM g WHERE NOT base_failed AND lang IS NOT NULL GROUP BY 1) WHERE n >= 10),
 s AS (SELECT g.*, {share('cc')} AS pc, {share('cw')} AS pw FROM g),
-j AS (SELECT doc_id, min({js('pc', 'rc')}) AS jc, min({js('pw', 'rw')}) AS jw FROM s, ref WHERE chars >= 200 GROUP BY 1)
+j AS (SELECT doc_id, min({js('pc', 'rc')}) AS jc, min({js('pw', 'rw')}) AS jw FROM s, ref WHERE chars >= 200 AND (s.lang IS NULL OR s.lang IN (SELECT lang FROM ref)) GROUP BY 1)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, c_symbol::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND coalesce(jc, 0) <= 0.26::DOUBLE AND coalesce(jw, 0) <= 0.24::DOUBLE AS kept, {six('jc')} AS char_distance, {six('jw')} AS word_distance FROM s LEFT JOIN j USING (doc_id)"""
 
 
