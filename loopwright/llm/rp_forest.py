@@ -73,6 +73,19 @@ class Forest:
         return np.concatenate(rows), np.concatenate(trees), np.concatenate(leaves)
 
 
+def shared_bits(row: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
+    """(n, words) bit sets of the codes of each row; codes that one row alone has are left out."""
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    new = np.concatenate(([True], code[1:] != code[:-1])) if len(code) else np.zeros(0, bool)
+    ids = np.cumsum(new) - 1
+    many = np.bincount(ids)[ids] > 1 if len(ids) else np.zeros(0, bool)
+    _, ids = np.unique(ids[many], return_inverse=True)
+    bits = np.zeros((n, (int(ids.max()) >> 6) + 1 if len(ids) else 1), dtype=np.uint64)
+    np.bitwise_or.at(bits, (row[many], ids >> 6), np.uint64(1) << (ids & 63).astype(np.uint64))
+    return bits
+
+
 def usable(embedding: F.Column) -> F.Column:
     """False for null and zero vectors and those with null or non-finite components."""
     bad = F.exists(embedding, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -95,7 +108,8 @@ def near_vectors(rows: DataFrame, least: float = 0.9, trees: int = 14, spill: fl
     near a dense centre are all found; recall of the others is that of the forest (tests measure both against brute force). Precision is exact.
 
     Null, zero or non-finite vectors link with nothing. Vectors of another length than the most frequent one are
-    compared only with equal lengths, each length in a forest of its own. Repeated rows are links of each other. Empty tables give empty results.
+    compared only with equal lengths, each length in a forest of its own, so a table should have few lengths. Repeated rows are links of each other; a cosine
+    at the limit links. Columns other than vec_id and embedding are ignored, whatever their names. Empty tables give empty results.
     """
     spark = rows.sparkSession
     v = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").withColumn("ok", usable(F.col("embedding")))
@@ -306,43 +320,28 @@ def _links(own: DataFrame, forest: Forest, dim: int, least: float, block: int) -
         x = matrix(t.column("e"), dim)
         norm = np.linalg.norm(x, axis=1)
         n = len(rep)
+        links, root = np.zeros(n, dtype=np.int64), np.arange(n)
         lists = t.column("earlier").combine_chunks()
-        size = np.asarray(lists.value_lengths())
-        flat, bounds = np.asarray(lists.flatten()), np.concatenate(([0], np.cumsum(size)))
-        links = np.zeros(n, dtype=np.int64)
-        root = np.arange(n)
-        pairs: list[tuple[int, int]] = []
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        sets: dict[int, frozenset] = {}
-
-        def met(i: int) -> frozenset:
-            if i not in sets:
-                sets[i] = frozenset(flat[bounds[i] : bounds[i + 1]].tolist())
-            return sets[i]
-
+        met = shared_bits(np.repeat(np.arange(n), np.asarray(lists.value_lengths())), np.asarray(lists.flatten()), n)
         for i in range(0, n, block):
             for j in range(i, n, block):
                 cos = (x[i : i + block] @ x[j : j + block].T) / (norm[i : i + block, None] * norm[None, j : j + block])
                 a, b = np.nonzero(cos >= least)
-                a, b = a + i, b + j
-                up = a < b
-                for p, q in zip(a[up].tolist(), b[up].tolist(), strict=True):
-                    if met(p).isdisjoint(met(q)):  # else the pair counts where it met first
-                        links[p] += copies[q]
-                        links[q] += copies[p]
-                        r, s = top(p), top(q)
-                        if r != s:
-                            root[max(r, s)] = min(r, s)
-                            pairs.append((p, q))
-        touched = np.flatnonzero(links)
-        a, b = (np.array(z, dtype=np.int64) for z in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return pa.table({"rep": np.concatenate((rep[touched], rep[a])), "links": np.concatenate((links[touched], np.zeros(len(a), dtype=np.int64))), "other": pa.array([None] * len(touched) + rep[b].tolist(), pa.int64())})
+                a, b = a[a + i < b + j] + i, b[a + i < b + j] + j
+                for part in range(0, len(a), 16_384):
+                    p, q = a[part : part + 16_384], b[part : part + 16_384]
+                    new = ~(met[p] & met[q]).any(axis=1)  # else the pair counts where it met first
+                    p, q = p[new], q[new]
+                    np.add.at(links, p, copies[q])
+                    np.add.at(links, q, copies[p])
+                    while (root[p] != root[q]).any():  # both ends take the lower root, and so do those that had the higher
+                        low = np.arange(n)
+                        np.minimum.at(low, np.maximum(root[p], root[q]), np.minimum(root[p], root[q]))
+                        while (low[low] != low).any():
+                            low = low[low]
+                        root = low[root]
+        touched, moved = np.flatnonzero(links), np.flatnonzero(root != np.arange(n))
+        return pa.table({"rep": np.concatenate((rep[touched], rep[moved])), "links": np.concatenate((links[touched], np.zeros(len(moved), dtype=np.int64))), "other": pa.array([None] * len(touched) + rep[root[moved]].tolist(), pa.int64())})
 
     placed = own.mapInArrow(place, f"leaf bigint, rep bigint, copies bigint, e {dict(own.dtypes)['e']}, earlier array<bigint>")
     found = cut(placed.groupBy("leaf").applyInArrow(compare, "rep bigint, links bigint, other bigint"))
