@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,12 +74,25 @@ class Net:
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(x) + self.shift, -30, 30)))
 
-    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, batch: int = 512, rate: float = 0.01, decay: float = 1e-4) -> None:
-        """Minimises prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) for the sigmoid loss.
-
-        Where the second term falls below zero, the step goes against its gradient, which keeps the risk from
-        turning negative on positives that the net has learned by heart.
-        """
+    def risk(self, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, list[np.ndarray]]:
+        """The two terms of the unbiased risk for the sigmoid loss, prior * R+(positive) and R-(unlabelled) - prior * R-(positive), and
+        the gradient of their sum, or, where the second is below zero, of its negative, which takes the net back from positives it has learned
+        by heart: no risk is negative."""
+        x, n = np.concatenate((p, u)), len(p)
+        a = np.tanh(x @ self.w[0] + self.w[1])
+        g = a @ self.w[2] + self.w[3][0]
+        s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))  # loss of calling it negative; 1 - s that of calling it positive
+        plus, minus = prior * (1 - s[:n]).mean(), s[n:].mean() - prior * s[:n].mean()
+        slope = s * (1 - s)
+        if minus >= 0:
+            d = np.concatenate((-2 * prior * slope[:n] / n, slope[n:] / len(u)))
+        else:
+            d = np.concatenate((prior * slope[:n] / n, -slope[n:] / len(u)))
+        da = (d[:, None] * self.w[2]) * (1 - a * a)
+        return float(plus), float(minus), [x.T @ da, da.sum(axis=0), a.T @ d, np.array([d.sum()])]
+
+    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, batch: int = 512, rate: float = 0.01, decay: float = 1e-3) -> None:
+        """Minimises prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) by seeded steps, with weight decay."""
         both = np.concatenate((positive, unlabelled))
         self.mean, self.scale = both.mean(axis=0), both.std(axis=0) + 1e-6
         norm = lambda x: np.clip((x - self.mean) / self.scale, -6, 6)
@@ -86,37 +100,42 @@ class Net:
         m, v = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w]
         for t in range(1, steps + 1):
             p, u = p_all[self.rng.integers(0, len(p_all), batch)], u_all[self.rng.integers(0, len(u_all), batch)]
-            x = np.concatenate((p, u))
-            a = np.tanh(x @ self.w[0] + self.w[1])
-            g = a @ self.w[2] + self.w[3][0]
-            s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))  # loss of calling it negative; 1 - s that of calling it positive
-            slope = s * (1 - s) / batch
-            minus = s[batch:].mean() - prior * s[:batch].mean()
-            if minus >= 0:
-                d = np.concatenate((-2 * prior * slope[:batch], slope[batch:]))
-            else:
-                d = np.concatenate((prior * slope[:batch], -slope[batch:]))
-            da = (d[:, None] * self.w[2]) * (1 - a * a)
-            grads = [x.T @ da + decay * self.w[0], da.sum(axis=0), a.T @ d + decay * self.w[2], np.array([d.sum()])]
+            _, _, grads = self.risk(p, u, prior)
+            grads[0], grads[2] = grads[0] + decay * self.w[0], grads[2] + decay * self.w[2]
             for k, grad in enumerate(grads):
                 m[k], v[k] = 0.9 * m[k] + 0.1 * grad, 0.999 * v[k] + 0.001 * grad * grad
                 self.w[k] = self.w[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Platt scaling by Newton steps; the order of scores stays as the net has it."""
-        g = self.raw(x)
+    def calibrate(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> None:
+        """Logistic scaling of the net's output g without negatives: Newton steps on the unbiased logistic risk
+        mean over unlabelled of log(1 + exp(a g + b)) - prior * mean over positives of (a g + b), which is convex. At its least the
+        mean score of unlabelled text is the prior. The order of scores stays as the net has it."""
+        p, u = self.raw(positive), self.raw(unlabelled)
         a, b = 1.0, 0.0
-        t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
         for _ in range(60):
-            p = 1 / (1 + np.exp(-np.clip(a * g + b, -30, 30)))
-            w = p * (1 - p) + 1e-9
-            grad = np.array([((p - t) * g).sum() + 1e-3 * a, (p - t).sum()])
-            hess = np.array([[(w * g * g).sum() + 1e-3, (w * g).sum()], [(w * g).sum(), w.sum() + 1e-3]])
+            s = 1 / (1 + np.exp(-np.clip(a * u + b, -30, 30)))
+            w = s * (1 - s) + 1e-9
+            grad = np.array([(s * u).mean() - prior * p.mean() + 1e-3 * a, s.mean() - prior])
+            hess = np.array([[(w * u * u).mean() + 1e-3, (w * u).mean()], [(w * u).mean(), w.mean() + 1e-6]])
             step = np.linalg.solve(hess, grad)
-            a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
+            a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
         self.slope, self.shift = (max(a, 0.1), b) if a > 0 else (1.0, 0.0)
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.1) -> float:
+    """The share of positives among the unlabelled, from outputs of any net that neither was used to fit.
+
+    Above every threshold stand at least prior * (share of positives above it) of the unlabelled; the estimate is the ratio
+    of the two shares at the threshold where, with an allowance for chance, that bound is least.
+    """
+    cuts = np.unique(positive)
+    above_p = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
+    above_u = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
+    chance = math.sqrt(math.log(4 / confidence) / 2) * (1 / math.sqrt(len(positive)) + 1 / math.sqrt(len(unlabelled)))
+    best = int(np.argmin((above_u + chance) / above_p))
+    return float(np.clip(above_u[best] / above_p[best], 0.02, 0.98))
+
+
 def held_out(fold: int = 5) -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % fold == 0
 
@@ -135,31 +154,33 @@ def sample_features(docs: DataFrame, ids: DataFrame) -> dict[int, np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 8000) -> Net:
-    """Fits the net on at most `most` labelled and `most` unlabelled documents, those of least seeded hash.
+    """Fits the net on at most `most` trusted positives and `most` unlabelled documents, those of least seeded hash.
+
+    Only rows outside the held-out fold count. Trusted positives are labelled rows with quality 1; of the others nothing is learned, but a
+    document that has contrary labels is not trusted. The unlabelled text is a sample of all documents, whatever their label. The class prior
+    is estimated from the two samples alone (a first net on one half, estimate_prior on the other), and so is the scale of the scores. Without
+    positives or unlabelled text the net scores every text 0.5.
 
-    Only rows outside the held-out fold count. Trusted positives are labelled rows with quality 1; the unlabelled
-    text is a sample of all documents, whatever their label; the class prior is the share of positives among labelled rows. A
-    document with contrary labels counts as 0. Without labels of both classes the net scores every text 0.5.
+    Repeated rows of one doc_id count once, by any of their texts. Rows without a doc_id are scored but not learned. Null and empty texts are
+    texts whose features are 0. Ties of the hash go by doc_id. Columns other than doc_id, text and quality are ignored, whatever their names. Very long texts
+    are measured whole.
     """
-    key = F.xxhash64(F.lit(31), "doc_id")
-    known = docs.select("doc_id").where("doc_id is not null").where(~held_out())
+    known = docs.select("doc_id").where("doc_id is not null").where(~held_out()).distinct()
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where(~held_out())
-    marked = marked.orderBy(key, "doc_id").limit(most).collect()
-    spark = docs.sparkSession
-    web = [r[0] for r in known.distinct().orderBy(F.xxhash64(F.lit(37), "doc_id"), "doc_id").limit(most).collect()]
+    trusted = marked.where("quality = 1").select("doc_id").orderBy(F.xxhash64(F.lit(31), "doc_id"), "doc_id").limit(most).collect()
+    web = known.orderBy(F.xxhash64(F.lit(37), "doc_id"), "doc_id").limit(most).collect()
+    trusted, web = [r[0] for r in trusted], [r[0] for r in web]
     net = Net()
-    y = {r["doc_id"]: int(r["quality"] == 1) for r in marked}
-    if not web or len(set(y.values())) < 2:
-        net.w[2] *= 0
-        return net
-    x = sample_features(docs, spark.createDataFrame([(i,) for i in {*y, *web}], "doc_id bigint"))
-    have = [i for i in sorted(y) if i in x]
-    labelled, truth = np.array([x[i] for i in have]), np.array([y[i] for i in have])
-    if truth.min(initial=1) == truth.max(initial=0):
+    x = sample_features(docs, docs.sparkSession.createDataFrame([(i,) for i in {*trusted, *web}], "doc_id bigint")) if trusted and web else {}
+    positive, unlabelled = (np.array([x[i] for i in ids if i in x]) for ids in (trusted, web))
+    if len(positive) < 2 or len(unlabelled) < 2:
         net.w[2] *= 0
         return net
-    net.fit(labelled[truth == 1], np.array([x[i] for i in web]), float(truth.mean()))
-    net.calibrate(labelled, truth)
+    first = Net(seed=6)
+    first.fit(positive[::2], unlabelled[::2], 0.5)
+    prior = estimate_prior(first.raw(positive[1::2]), first.raw(unlabelled[1::2]))
+    net.fit(positive, unlabelled, prior)
+    net.calibrate(positive, unlabelled, prior)
     return net
 
 
