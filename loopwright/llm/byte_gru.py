@@ -161,16 +161,24 @@ def held_out(fold: int = 4, at: int = 2) -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % fold == at
 
 
-def train(docs: DataFrame, per_language: int = 400, windows: int = 24, most_languages: int = 64) -> Tagger | None:
+def train(docs: DataFrame, per_language: int = 400, windows: int = 24, most_documents: int = 25_600, most_windows: int = 60_000) -> Tagger | None:
     """Fits a tagger on the `per_language` documents of least seeded hash of each language outside the held-out fold.
 
-    The sample is bounded by per_language * most_languages texts, cut to windows * SPAN bytes each at places spread over
-    the whole text; the most frequent languages count if there are more. Documents without text or lang are not learned.
+    The training sample is bounded, and only it: `most_documents` texts in all, so with many languages each has fewer than
+    `per_language`, but every language is learned (over most_documents / 4 of them raise an error); of each text `windows` windows of SPAN
+    bytes at places spread over the whole of it; of all windows `most_windows`, drawn with the same chance for each language. Documents
+    without text or lang are not learned. Rows that repeat a doc_id are one place in the sample and all of them are learned; other columns
+    are ignored. None if there is nothing to learn from.
     """
-    known = docs.where("lang is not null and text is not null").where(~held_out())
-    top = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).select("lang")
-    order = W.partitionBy("lang").orderBy(F.xxhash64(F.lit(41), "doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").join(F.broadcast(top), "lang").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_language).select("doc_id")
+    known = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(~held_out())
+    n = known.agg(F.count_distinct("lang")).first()[0]
+    if n > most_documents // 4:
+        raise ValueError(f"{n} languages are more than a sample of {most_documents} documents can teach")
+    per_language = min(per_language, most_documents // max(n, 1))
+    ids = known.select("doc_id", "lang", F.xxhash64(F.lit(41), "doc_id").alias("_h")).distinct()
+    for key in (["lang", F.pmod("_h", F.lit(64))], ["lang"]):  # within slices first, so no task sees a whole language
+        ids = ids.withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy("_h", "doc_id"))).where(F.col("_r") <= per_language).drop("_r")
+    ids = ids.select("doc_id").distinct()
     length = F.length("text")
     step = F.greatest(F.lit(1), F.floor(length / windows)).cast("int")
     cuts = F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda i: F.substring("text", i.cast("int") * step + 1, F.lit(SPAN)))
@@ -192,7 +200,7 @@ def train(docs: DataFrame, per_language: int = 400, windows: int = 24, most_lang
     x, y = np.array(xs), np.array(ys)
     rng = np.random.default_rng(13)
     share = np.bincount(y, minlength=len(languages))
-    pick = rng.choice(len(y), size=min(len(y), 60_000), p=(1 / share[y]) / (1 / share[y]).sum())
+    pick = rng.choice(len(y), size=min(len(y), most_windows), p=(1 / share[y]) / (1 / share[y]).sum())
     tagger = Tagger(languages)
     tagger.fit(x[pick], y[pick])
     return tagger
@@ -203,7 +211,8 @@ def identify(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
 
     Every text is cut into windows of SPAN bytes, all of which are read in both directions; each position is labelled and the
     log-probabilities are averaged over the document. `und` with score 0 goes to null texts, texts without a letter and all texts
-    if nothing was learned. Equal probabilities go to the first language by name.
+    if nothing was learned. Equal probabilities go to the first language by name. Repeated rows get the same prediction each; columns
+    other than doc_id and text are ignored, whatever their names; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
