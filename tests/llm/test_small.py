@@ -473,6 +473,72 @@ def test_pu_quality_held_out(spark, small):
     assert [r.score for r in none] == [0.5] * 5
 
 
+@pytest.mark.parametrize("prior", [0.3, 0.9])
+def test_pu_risk_and_gradient(prior):
+    rng = np.random.default_rng(3)
+    net, p, u = pu_quality.Net(), rng.normal(0.5, 1, (30, pu_quality.FEATURES)), rng.normal(0, 1, (50, pu_quality.FEATURES))
+
+    def value():
+        f = lambda x: 1 / (1 + np.exp(-(np.tanh(x @ net.w[0] + net.w[1]) @ net.w[2] + net.w[3][0])))
+        plus, minus = prior * np.mean(1 - f(p)), np.mean(f(u)) - prior * np.mean(f(p))
+        return plus, minus
+
+    plus, minus, grads = net.risk(p, u, prior)
+    assert np.allclose((plus, minus), value()) and (minus >= 0) == (prior < 0.5)
+    for w, g in zip(net.w, grads, strict=True):
+        i = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old, both = w[i], []
+        for step in (1e-5, -1e-5):
+            w[i] = old + step
+            a, b = value()
+            both.append(a + b if minus >= 0 else -b)
+        w[i] = old
+        assert abs(g[i] - (both[0] - both[1]) / 2e-5) < 1e-6
+
+
+def test_pu_prior_and_scale_come_without_negatives():
+    rng = np.random.default_rng(8)
+    positive, unlabelled = rng.normal(2, 1, 40_000), np.concatenate((rng.normal(2, 1, 24_000), rng.normal(-1.5, 1, 16_000)))
+    assert abs(pu_quality.estimate_prior(positive, unlabelled) - 0.6) < 0.06
+    net = pu_quality.Net()
+    net.raw = lambda x: x
+    net.calibrate(positive, unlabelled, 0.6)
+    score = net.score(unlabelled)
+    up, down = (c * np.exp(-((unlabelled - m) ** 2) / 2) for c, m in ((0.6, 2), (0.4, -1.5)))
+    assert abs(score.mean() - 0.6) < 0.01 and np.abs(score - up / (up + down)).mean() < 0.02
+
+
+def test_quality_of_odd_tables(spark):
+    d = documents(spark, ["good text here"] * 3 + [None, ""]).unionByName(documents(spark, ["good text here"]))
+    labels = spark.createDataFrame([(1, 1, "x"), (2, 1, "x"), (2, 0, "x"), (None, 1, "x"), (3, None, "x")], "doc_id long, quality int, text string")
+    for docs, marks, n in ((d, labels, 6), (d.limit(0), labels, 0), (d, labels.limit(0), 6)):
+        rows = pu_quality.op6_positive_unlabelled(docs, marks).collect()
+        assert len(rows) == n and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+
+
+def test_embeddings_of_odd_tables(spark):
+    rows = [(1, [1.0, 0.0], "a", 1), (1, [1.0, 0.0], "a", 1), (2, [2.0, 0.1], "b", 2), (None, None, None, 3), (3, [None, 1.0], "c", 4), (4, [], "d", 5)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep string, links int")
+    got = sorted((r.vec_id is None, r.vec_id or 0, r.n_links) for r in rp_forest.op5_projection_forest(d).collect())
+    assert got == [(False, 1, 2), (False, 1, 2), (False, 2, 2), (False, 3, 0), (False, 4, 0), (True, 0, 0)]
+    assert rp_forest.op5_projection_forest(d.limit(0)).count() == 0
+
+
+def test_languages_beyond_the_sample_raise(spark):
+    d = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(9)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        byte_gru.train(d, most_documents=8)
+
+
+def test_rare_languages_are_not_held_against_foreign_ones(spark):
+    many = [" ".join(random.Random(i).choices("the of and to in is it that for was on are as with".split(), k=80)) for i in range(30)]
+    rare = " ".join(random.Random(1).choices("漢字 かな 文章 言葉 日本".split(), k=80))
+    d = documents(spark, [*many, rare, rare]).withColumn("lang", F.when(F.col("doc_id") < 30, "en").when(F.col("doc_id") == 30, "ja"))
+    got = {r.doc_id: r for r in divergence.judge(d, max_char_distance=0.3).collect()}
+    assert got[30].char_distance is None and got[30].kept == (not got[30].base_failed) and got[31].char_distance > 0.3 and not got[31].kept
+    assert got[30].beyond == sum(ord(c) > 127 for c in rare)
+
+
 def test_gru_gradients_match_differences():
     g = byte_gru.Tagger(["a", "b"])
     x = np.random.default_rng(0).integers(97, 123, (6, 5)).astype(np.uint8)
