@@ -1,7 +1,8 @@
 """The corpus pipeline: quality filter, near-duplicate removal, passage removal, mixing, encoding.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which the caller writes as Parquet and reads again as the docs of
-the next stage. All but the last return the columns of documents.
+the next stage. All but the last return the columns of documents. Extra columns of documents are left behind at the first stage.
+An empty table stays empty through all stages; texts of any length are treated whole.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loopwright.llm.apportion import mix
 from loopwright.llm.bbit_minhash import near_duplicates
-from loopwright.llm.common import cut, n_words, table
+from loopwright.llm.common import n_words, shared_folder, table
 from loopwright.llm.nbest import encode
 from loopwright.llm.pu_quality import filter_quality
 from loopwright.llm.registry import MODEL
@@ -23,12 +24,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the classifier, trained on the labelled ones among docs, scores 0.3 or more."""
+    """Keeps the documents that the classifier, trained on the labelled ones among docs, scores 0.3 or more. Null and empty texts
+    are scored like others; rows that repeat are scored each for itself; without labels every document stays (score 0.5)."""
     return filter_quality(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the smallest doc_id, of each group linked at 0.8 or more of five-word shingles."""
+    """Keeps one document, the smallest doc_id, of each group linked at 0.8 or more of five-word shingles. Texts without words link with
+    nothing and stay, as do rows without a doc_id; rows that repeat a doc_id stay or go together."""
     groups = near_duplicates(docs, k=5, percent=80)
     kept = groups.where("kept").select("doc_id").distinct()
     null = docs.where("doc_id is null")  # no id, no group to drop it for
@@ -45,7 +48,8 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the block that holds its middle word is taken, so whole documents meet the source targets."""
+    """Takes each document as often as the block that holds its middle word is taken, so whole documents meet the source targets. Texts
+    without words go with the block they stand in; rows that repeat a doc_id are taken equally often; null sources are one source."""
     placed, blocks = mix(docs, size=n_words(F.col("text")))
     half = F.col("start") + F.floor(F.col("size") / 2)
     b = blocks.select(F.col("source").alias("bs"), F.col("start").alias("b0"), "words", "block", (F.col("copies") + (F.col("part") > 0).cast("long")).alias("most"), "copies", "part")
@@ -59,23 +63,27 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids and n-best digests of every document that the mix holds."""
+    """The ids and n-best digests of every document that the mix holds, copies too; null and empty texts have no ids."""
     return encode(docs, MODEL, 4)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("passages", passages), ("mixing", mixing), ("encoding", encoding)]
 
-#: SQL can state neither the classifier nor the encoder; tests hold the stages against brute force.
+#: SQL can state neither the classifier nor the encoder; tests hold the stages against brute force or, for the classifier, labels.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each one's rows are written and read again in the shared folder the session names."""
-    docs = table(spark, sf_dir, "documents")
-    cut(spark.range(1))  # sets a checkpoint folder where the session has none
-    base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    """Applies the stages to documents; each one's rows are written and read again in the shared folder the session names. A stage's
+    table is deleted when the next one's is written; the last, which the result reads, stays."""
+    docs, last = table(spark, sf_dir, "documents"), None
+    base = shared_folder(spark)
     for name, stage in STAGES[:-1]:
         path = f"{base}/pipeline-{uuid.uuid4().hex}-{name}.parquet"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            old = spark._jvm.org.apache.hadoop.fs.Path(last)
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
