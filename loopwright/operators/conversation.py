@@ -124,12 +124,12 @@ def harvest(turns: DataFrame, least: int = 20) -> DataFrame:
 
 def extract_task(turns: DataFrame) -> DataFrame:
     """(session_id, strategy, score, task): an issue in the first 20 turns, else the best-scored of the first 10 user turns or a
-    branch, whichever is surer, else the first user turn."""
-    t = turns.withColumn("n", F.row_number().over(by_turn())).where("n <= 40")
+    branch named in the first 40 turns, whichever is surer, else the first user turn, wherever it is."""
+    t = turns.withColumn("n", F.row_number().over(by_turn()))
     user = F.col("role") == "user"
     issue = F.coalesce(F.nullif(F.regexp_extract("text", r"gh\s+issue\s+view\s+(\d+)", 1), F.lit("")), F.when(user, F.nullif(F.regexp_extract("text", r"(?:^|\s)#(\d{1,5})(?:\s|$|[.,;!?)])", 1), F.lit(""))))
     branch = F.coalesce(F.nullif(F.regexp_extract("text", r"(?i)(?:checkout|merge|branch)\s+(?:-b\s+)?(\d+-[a-z0-9-]+)", 1), F.lit("")), F.nullif(F.regexp_extract("text", r"\b(\d{2,4}-[a-z][a-z0-9-]{4,})\b", 1), F.lit("")))
-    t = t.withColumn("u", F.sum(user.cast("int")).over(by_turn().rowsBetween(W.unboundedPreceding, 0))).withColumns({"issue": F.when(F.col("n") <= 20, issue), "branch": branch, "score": C.message_score(F.col("text"))})
+    t = t.withColumn("u", F.sum(user.cast("int")).over(by_turn().rowsBetween(W.unboundedPreceding, 0))).withColumns({"issue": F.when(F.col("n") <= 20, issue), "branch": F.when(F.col("n") <= 40, branch), "score": C.message_score(F.col("text"))})
     low = C.holds(F.lower(F.trim("text")), C.GARBAGE)
     best = F.max(F.when(user & (F.col("u") <= 10) & (F.col("score") > 0.3) & ~low, F.struct("score", (-F.col("n")).alias("n"), "text")))
     g = t.groupBy("session_id").agg(F.min(F.when(F.col("issue").isNotNull(), F.struct("n", "issue"))).alias("i"), best.alias("b"), F.min(F.when(F.col("branch").isNotNull(), F.struct("n", "branch"))).alias("r"), F.min(F.when(user, F.struct("n", "text"))).alias("f"))

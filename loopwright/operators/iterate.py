@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -24,6 +25,22 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def ranked(rows: DataFrame, group: str, order: str, into: str = "r") -> DataFrame:
+    """Adds the 1-based place of each row in its group by `order`, which must tell rows apart.
+
+    Rows are sorted by ranges of (group, order), written, and numbered by range, so no task holds a group; what is summed up is a row for
+    each group and range that meet. Null groups are a group.
+    """
+    d = cut(rows.repartitionByRange(group, order).sortWithinPartitions(group, order))
+    at = F.monotonically_increasing_id()  # range and place in the written table, the same whenever it is read
+    d = d.withColumn("_at", at).withColumns({"_range": F.shiftrightunsigned("_at", 33), "_i": F.col("_at").bitwiseAND(F.lit(2**33 - 1))}).drop("_at")
+    parts = d.groupBy(F.col(group).alias("_g"), F.col("_range").alias("_r")).agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_g").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_g", "_r", (before - F.col("_first") + 1).alias("_shift"))
+    j = d.join(parts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    return j.withColumn(into, F.col("_i") + F.col("_shift")).drop("_g", "_r", "_range", "_i", "_shift")
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) for every id in `links` (a, b): component is the smallest id that links reach.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loopwright.functions.text import bigrams, half_up, sim_jaccard, tok_bm25, tok_dup
+from loopwright.operators.iterate import cut
 
 K1, B = 1.5, 0.75
 
@@ -34,10 +35,30 @@ def query_terms(queries: DataFrame, query: str = "query_id", text: str = "text")
     return queries.select(query, F.explode(tok_bm25(F.col(text))).alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("times"))
 
 
+def if_small(side: DataFrame, rows: int = 500_000) -> DataFrame:
+    """The side of a join marked for broadcast if it has at most `rows` rows, which are counted; else as it is."""
+    return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
+
+
+def hits(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Postings (doc, term, tf, len) of the given terms alone, and corpus_stats, in one scan of the texts.
+
+    Tokens meet the terms before any shuffle where these are few (if_small); an empty token, which no text has, brings each document's length
+    along. What is left is written once and serves document frequencies, scores and statistics.
+    """
+    t = docs.select(F.col(doc), tok_bm25(F.col(text)).alias("t"))
+    wanted = terms.select("term").distinct().union(docs.sparkSession.createDataFrame([("",)], "term string"))
+    each = t.select(doc, F.size("t").alias("len"), F.explode(F.concat("t", F.array(F.lit("")))).alias("term"))
+    found = cut(each.join(if_small(wanted), "term").groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len")))
+    stats = found.where("term = ''").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
+    return found.where("term <> ''"), stats
+
+
 def bm25_scores(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", query: str = "query_id") -> DataFrame:
     """(query, doc, score) of every document with a query term; all queries in one plan."""
-    posts, stats = postings(docs, doc), corpus_stats(docs)
-    terms = query_terms(queries, query).join(vocabulary(posts, stats), "term")
+    asked = query_terms(queries, query)
+    posts, stats = hits(docs, asked, doc)
+    terms = asked.join(vocabulary(posts, stats), "term")
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
     return posts.join(terms, "term").join(F.broadcast(stats)).groupBy(query, doc).agg(F.sum(part).alias("score"))
@@ -63,7 +84,7 @@ def holders(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", query: str
     clean = F.regexp_replace(F.lower("passage"), r"[^a-z0-9\s_-]", " ")
     inner = q.withColumn("t", F.explode_outer(F.array_distinct(tok_bm25(F.regexp_replace(clean, r"^\S+|\S+$", " ")))))
     posts = docs.select(doc, F.explode(F.array_distinct(tok_bm25(F.col("text")))).alias("t"))
-    met = posts.join(inner.select("t").distinct(), "t", "left_semi")
+    met = cut(posts.join(if_small(inner.select("t").distinct()), "t"))
     df = met.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     least = F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))
     key = inner.where("t is not null").join(df, "t", "left").groupBy(query, "passage").agg(least["t"].alias("t"))
@@ -75,13 +96,18 @@ def holders(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", query: str
 
 def bm25_filter(rules: DataFrame, queries: DataFrame, k: int = 10, doc: str = "doc_id", query: str = "query_id") -> DataFrame:
     """The k best rules of each query among all, rules without a hit included with score 0."""
-    every = queries.select(query).join(rules.select(doc))
-    return top_k(every.join(bm25_scores(rules, queries, doc, query), [query, doc], "left").withColumn("score", F.coalesce("score", F.lit(0.0))), k, query, doc)
+    best = cut(bm25_search(rules, queries, k, doc, query).select(query, doc, "score"))
+    found = best.groupBy(query).agg(F.count(F.lit(1)).alias("n"))
+    short = queries.select(query).join(found, query, "left").where(F.coalesce("n", F.lit(0)) < k).select(query)
+    first = rules.select(doc).orderBy(doc).limit(2 * k)  # under k of these are hits of a query that lacks some, so k others are there
+    fill = short.join(F.broadcast(first)).join(best, [query, doc], "left_anti").select(query, doc, F.lit(0.0).alias("score"))
+    return top_k(best.unionByName(fill), k, query, doc)
 
 
 def bm25_diagnostics(docs: DataFrame, queries: DataFrame, query: str = "query_id") -> DataFrame:
     """Why a query may rank badly: empty, short, mostly unknown terms, flat idf, or scores without spread."""
-    terms = query_terms(queries, query).join(vocabulary(postings(docs), corpus_stats(docs)), "term", "left")
+    asked = query_terms(queries, query)
+    terms = asked.join(vocabulary(*hits(docs, asked)), "term", "left")
     t = terms.groupBy(query).agg(
         F.sum("times").alias("n_terms"),
         F.sum(F.when(F.col("idf").isNull(), F.col("times")).otherwise(0)).alias("n_missing"),
@@ -180,6 +206,18 @@ def rrf(lists: dict[str, DataFrame], weights: dict[str, float], k: int = 60, que
     return rows.groupBy(query, "item").agg(F.sum(F.col("w") / (k + F.col("rank"))).alias("score"), *ranks)
 
 
+def graph_list(seeds: DataFrame, nodes: DataFrame, k: int = 50, query: str = "query_id", item: str = "item", group: str = "source", score: str = "score") -> DataFrame:
+    """(query, item, rank): the k best nodes of each query's groups (query, group); nodes are ranked once a group, then met."""
+    best = top_k(nodes.select(group, F.col(item), score), k, group, item, score).select(group, item, score)
+    wanted = seeds.select(query, group).distinct()
+    return top_k(wanted.join(best, group).groupBy(query, item).agg(F.max(score).alias(score)), k, query, item, score).select(query, item, "rank")
+
+
+def hybrid_retrieve(lists: dict[str, DataFrame], weights: dict[str, float], k: int = 15, query: str = "query_id") -> DataFrame:
+    """(query, item, rank, score and the rank in each list): the k best of ranked lists (query, item, rank) fused by rank."""
+    return top_k(rrf(lists, weights, query=query), k, query, "item")
+
+
 def diversity_topk(scored: DataFrame, k: int, domain: str = "domain", query: str = "query_id", item: str = "item") -> DataFrame:
     """The k best of each query with at most ceil(k / domains) of a domain."""
     by = half_up(F.col("score"), 9).desc()

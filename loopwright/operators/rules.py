@@ -131,12 +131,12 @@ def nearest_rating(sessions: DataFrame, ratings: DataFrame, hours: int = 24) ->
 def attribution(rules: DataFrame, corrections: DataFrame, least: float = 0.3) -> DataFrame:
     """(session_id, rule_id, score, proximity): a session's score less .5 for each near correction, held in 1 to the score.
 
-    rules: (session_id, rule_id, terms, session_score); corrections: (session_id, terms). Proximity is the sum over shared terms
+    rules: (session_id, rule_id, terms, session_score); corrections: (session_id, correction_id, terms). Proximity is the sum over shared terms
     of 2.5 tf / (tf + 1.5) ln 2 over the rule's number of terms.
     """
     from loopwright.operators.retrieval import session_bm25
 
-    c = corrections.select("session_id", F.monotonically_increasing_id().alias("c"), F.explode("terms").alias("t")).groupBy("session_id", "c", "t").agg(F.count(F.lit(1)).alias("tf"))
+    c = corrections.select("session_id", F.col("correction_id").alias("c"), F.explode("terms").alias("t")).groupBy("session_id", "c", "t").agg(F.count(F.lit(1)).alias("tf"))
     r = rules.select("session_id", "rule_id", "session_score", F.size("terms").alias("n"), F.explode(F.array_distinct("terms")).alias("t"))
     sim = r.join(c, ["session_id", "t"]).groupBy("session_id", "rule_id", "c").agg((F.sum(session_bm25(F.col("tf"))) / F.first("n")).alias("sim"))
     hit = sim.groupBy("session_id", "rule_id").agg(F.count_if(F.col("sim") > least).alias("k"), F.max("sim").alias("proximity"))
@@ -147,9 +147,11 @@ def attribution(rules: DataFrame, corrections: DataFrame, least: float = 0.3) ->
 
 def promotion_gate(candidates: DataFrame, as_of: Column, free: int, cooling_days: int = 7) -> DataFrame:
     """(rule_id, status): cooling, over-budget beyond the `free` first, contradiction, or promote."""
-    cooling = age_days(as_of, "last_promoted") < cooling_days
-    ready = F.count_if(~F.coalesce(cooling, F.lit(False))).over(W.partitionBy(F.lit(0)).orderBy("rule_id").rowsBetween(W.unboundedPreceding, 0))
-    return candidates.select("rule_id", F.when(cooling, "cooling").when(ready > free, "over-budget").when(F.col("contradicts"), "contradiction").otherwise("promote").alias("status"))
+    cooling = F.coalesce(age_days(as_of, "last_promoted") < cooling_days, F.lit(False))
+    d = candidates.withColumn("cooling", cooling)
+    first = d.where("not cooling").select(F.col("rule_id").alias("first")).orderBy("first").limit(free)
+    d = d.join(first, F.col("rule_id") == F.col("first"), "left")
+    return d.select("rule_id", F.when(F.col("cooling"), "cooling").when(F.col("first").isNull(), "over-budget").when(F.col("contradicts"), "contradiction").otherwise("promote").alias("status"))
 
 
 def reconcile(stats: DataFrame, load: DataFrame) -> DataFrame:

@@ -63,8 +63,7 @@ def _lists(s: SparkSession, d: str) -> dict[str, DataFrame]:
     own = q.select("query_id").join(v.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
     vec = R.cosine_topk(own, v, 50).select("query_id", "item", "rank")
     near = bm.where("rank = 1").select("query_id", F.col("item").alias("doc_id")).join(docs.select("doc_id", "source"), "doc_id").select("query_id", "source")
-    graph = near.join(docs.select("doc_id", "source", (1 + F.col("doc_id") % 5).alias("score")), "source")
-    graph = R.top_k(graph, 50, "query_id", "doc_id").select("query_id", F.col("doc_id").alias("item"), "rank")
+    graph = R.graph_list(near, docs.select(F.col("doc_id").alias("item"), "source", (1 + F.col("doc_id") % 5).cast("double").alias("score")))
     return {"bm25": bm, "graph": graph, "vector": vec}
 
 
@@ -72,7 +71,7 @@ WEIGHTS = {"bm25": 2.0, "graph": 0.5, "vector": 1.0}
 
 
 def hybrid_retrieve(s: SparkSession, d: str) -> DataFrame:
-    top = R.top_k(R.rrf(_lists(s, d), WEIGHTS), 15, "query_id", "item")
+    top = R.hybrid_retrieve(_lists(s, d), WEIGHTS)
     return top.select("query_id", "item", F.col("rank").cast("long").alias("rank"), half_up(F.col("score"), 9).alias("score"), "bm25_rank", "graph_rank", "vector_rank")
 
 

@@ -89,7 +89,7 @@ def nearest_rating(s: SparkSession, d: str) -> DataFrame:
 def attribution(s: SparkSession, d: str) -> DataFrame:
     t = B.turns(s, d).withColumn("terms", tok_bm25(F.col("text")))
     rules = t.where("role = 'assistant'").select("session_id", F.col("seq").alias("rule_id"), "terms", F.lit(6.0).alias("session_score"))
-    return R.attribution(rules, t.where("role = 'user'").select("session_id", "terms"))
+    return R.attribution(rules, t.where("role = 'user'").select("session_id", F.col("seq").alias("correction_id"), "terms"))
 
 
 def reconcile(s: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
+from loopwright.operators.iterate import cut
+
 #: Other names under which fields and logs are met.
 FIELD_ALIASES = {"sentiment_summary": "sentimentSummary", "ts": "timestamp", "tool": "toolName", "suggested_skills": "suggestions", "relevant_rules": "relevantRules", "injectionCount": "recalls"}
 LOG_ALIASES = {"corrections": "correction-captures", "skills": "skill-invocations", "scores": "quality-scores"}
@@ -101,6 +103,11 @@ def benchmark_tasks(reflections: DataFrame, least: float = 7.0, words: tuple[str
     return d.select("task_description", F.substring(F.sha2("task_description", 256), 1, 16).alias("task_id"))
 
 
+def verify_tasks(tasks: DataFrame) -> DataFrame:
+    """(task_description, ok): whether each stored task_id is the hash of its task."""
+    return tasks.select("task_description", (F.col("task_id") == F.substring(F.sha2("task_description", 256), 1, 16)).alias("ok"))
+
+
 def content_hash(tasks: DataFrame, order: str = "ordinal") -> DataFrame:
     """One row: the hash of all task descriptions in order, joined by bars."""
     s = tasks.agg(F.sort_array(F.collect_list(F.struct(order, "task_description"))).alias("s"))
@@ -121,10 +128,10 @@ def changed_rows(rows: DataFrame, cache: DataFrame, key: str = "id", body: str =
 def after_cursor(rows: DataFrame, order: str, ts: str = "ts") -> DataFrame:
     """Rows later than all that arrived before them; equal times are lost, as with a cursor over time.
 
-    Arrival order is cut into ranges: each range's latest time is found first, then rows look at their own range and at the latest
-    time of the ranges before.
+    Rows are written in ranges of the arrival order: each range's latest time is found first, then rows look at their own range and at
+    the latest time of the ranges before. There are as many ranges as shuffle partitions, so the small side does not grow with the rows.
     """
-    d = rows.withColumn("_b", F.floor(F.col(order) / 10_000))
+    d = cut(rows.repartitionByRange(order)).withColumn("_b", F.shiftrightunsigned(F.monotonically_increasing_id(), 33))
     top = d.groupBy("_b").agg(F.max(ts).alias("_m")).withColumn("_before", F.max("_m").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1))).select("_b", "_before")
     own = F.max(ts).over(W.partitionBy("_b").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
     d = d.join(F.broadcast(top), "_b").withColumn("_own", own).withColumn("_seen", F.greatest("_own", "_before"))

@@ -181,3 +181,45 @@ def test_matching_corrections_by_stem(spark):
     c = spark.createDataFrame([(1, DAY, "you must deploy verified code"), (2, DAY, "nothing alike")], "correction_id long, ts timestamp, text string")
     assert R.matching_corrections(r, c).count() == 1
     assert R.effectiveness(spark.createDataFrame([("r", DAY + dt.timedelta(days=1))], "rule_id string, promoted_at timestamp"), R.matching_corrections(r, c)).select(F.col("effective")).first()[0]
+
+
+def test_matching_in_time_is_the_greedy_one(spark):
+    import random
+
+    from loopwright.operators import gold
+
+    rng = random.Random(3)
+    stamp = lambda t: f"2024-01-{1 + t // 86_400:02d} {t % 86_400 // 3600:02d}:{t % 3600 // 60:02d}:{t % 60:02d}"
+    for _ in range(4):
+        e = [(f"e{i:03d}", rng.randrange(0, 20 * 86_400, 600)) for i in range(70)]
+        s = [(f"s{i:03d}", rng.randrange(0, 20 * 86_400, 600)) for i in range(60)]
+        free, want = sorted((t, i) for i, t in s), {}
+        for t, i in sorted((t, i) for i, t in e):
+            best = min(free, key=lambda x: (abs(x[0] - t), x[0], x[1]), default=None)
+            if best and abs(best[0] - t) < 7200:
+                want[i] = (best[1], float(abs(best[0] - t)))
+                free.remove(best)
+        side = lambda rows, key: spark.createDataFrame([(i, stamp(t)) for i, t in rows], f"{key} string, ts string").withColumn("ts", F.to_timestamp("ts"))
+        got = {r.entry_id: (r.session_id, r.seconds) for r in gold.match_in_time(side(e, "entry_id"), side(s, "session_id")).collect()}
+        assert got == want
+
+
+def test_places_in_groups_come_without_a_window_over_them(spark):
+    from loopwright.operators.iterate import ranked
+
+    d = spark.createDataFrame([(None if i % 5 == 0 else f"g{i % 3}", (i * 7919) % 1000) for i in range(300)], "g string, v long")
+    got = {(r.g, r.v): r.r for r in ranked(d, "g", "v").collect()}
+    for g in {x for x, _ in got}:
+        assert [got[k] for k in sorted(k for k in got if k[0] == g)] == list(range(1, 1 + sum(k[0] == g for k in got)))
+
+
+def test_lists_longer_than_the_hits_are_filled_with_the_first_rules(spark):
+    from loopwright.operators import retrieval as T
+
+    rules = spark.createDataFrame([(i, "common words" if i % 4 else f"rare{i} thing") for i in range(40)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "rare8 rare16"), (2, "nothing known"), (3, "common")], "query_id long, text string")
+    got = {}
+    for r in T.bm25_filter(rules, queries, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, r.score > 0))
+    assert got[1] == [(8, True), (16, True), (0, False), (1, False), (2, False)]
+    assert got[2] == [(i, False) for i in range(5)] and [i for i, _ in got[3]] == [1, 2, 3, 5, 6]
