@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loopwright.llm.common import components, cut
-from loopwright.llm.textbytes import column_bytes, mix, shingles
+from loopwright.llm.textbytes import column_bytes, mix, shingles, slices
 
 MINIMA, BITS, BANDS = 128, 2, 32
 LANES = [f"s{i}" for i in range(MINIMA * BITS // 64)]
@@ -49,7 +49,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n, k1, k2, packed lanes and band keys; (n, k1, k2) identifies a shingle set by 128 bits of sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             data, offsets = column_bytes(b.column(1))
             n = len(offsets) - 1
             rows, hashes = shingles(data, offsets, k)
@@ -87,7 +87,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     """(id, hashes): the distinct shingles of each text as 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             data, offsets = column_bytes(b.column(1))
             rows, hashes = shingles(data, offsets, k)
             at = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(offsets) - 1))))

@@ -78,17 +78,20 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     def summary(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    # joins sort both sides: a round leaves no broadcast behind on the executors, and what rounds before it left is let go
+    release = links.sparkSession._jvm.System.gc
     # a > b in every edge
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     seen = summary(edges)
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(low.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("x"), F.col("m")), F.struct(F.col("a").alias("x"), F.col("m")))).alias("e"))
+        small = large.join(low.hint("merge"), "a").select(F.explode(F.array(F.struct(F.col("b").alias("x"), F.col("m")), F.struct(F.col("a").alias("x"), F.col("m")))).alias("e"))
         edges = cut(small.select(F.col("e.x").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct())
         now = summary(edges)
+        release()
         if now == seen:
             break
         seen = now

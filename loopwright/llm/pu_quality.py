@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopwright.llm.textbytes import LOWER_VALUE, Spans, column_bytes, runs, word_bounds
+from loopwright.llm.textbytes import LOWER_VALUE, Spans, column_bytes, runs, slices, word_bounds
 
 _CLASS = np.full(256, 9, dtype=np.int64)  # 9: other ASCII
 for _c, _bytes in enumerate((range(97, 123), range(65, 91), range(48, 58), b" \t\r\x0b\x0c", b"\n", b".,;:?", b"!", b"#*$%&", b"|<>{}[]\\^~=_", (), range(128, 256))):
@@ -188,7 +188,7 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
     """(doc_id, score) of every whole text, null and empty ones included (all features 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(net.score(features(*column_bytes(b.column(1)))))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, score double")
@@ -200,7 +200,7 @@ def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(net.score(features(*column_bytes(b.column(at)))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

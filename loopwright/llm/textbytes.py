@@ -62,7 +62,7 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def runs(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def runs(offsets: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Runs of rows whose bytes come to about `most`; a longer row is a run of its own."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -71,6 +71,13 @@ def runs(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time, so that what is worked out for them stays small; an empty batch stays one."""
+    for b in batches:
+        for i in range(0, max(b.num_rows, 1), rows):
+            yield b.slice(i, rows)
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and the row of each; words do not cross rows."""
     inside = ~SPACE[data]
