@@ -25,13 +25,27 @@ def test_query(spark, con, small, name):
         run(spark, small).count()
 
 
-def test_entry_without_the_corpus_package(spark):
+def test_entry(spark):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert "query_id" in entry.entry(spark).columns
 
 
+def test_entry_without_the_corpus_package(monkeypatch):
+    import importlib
+    import sys
+
+    for name in [n for n in sys.modules if n.startswith("loopwright.llm") or n in ("corpus_pipeline", "__spark_entry__")]:
+        monkeypatch.delitem(sys.modules, name)
+    for name in ("loopwright.llm", "corpus_pipeline"):  # None makes an import fail
+        monkeypatch.setitem(sys.modules, name, None)
+    monkeypatch.delattr("loopwright.llm", raising=False)
+    entry = importlib.import_module("__spark_entry__")
+    assert set(entry.queries()) == set(registry.queries()) and set(entry.oracle_sql()) == set(registry.oracle_sql())
+    monkeypatch.delitem(sys.modules, "__spark_entry__")
+
+
 def test_gold_holds_every_document_with_a_passage(spark, tmp_path):
     import duckdb
 
