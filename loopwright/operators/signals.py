@@ -178,7 +178,11 @@ def skill_usage(skills: DataFrame, ratings: DataFrame) -> DataFrame:
 
 def skill_conversion(suggestions: DataFrame, invocations: DataFrame, minutes: int = 30) -> DataFrame:
     """(skill, suggested, converted, rate): each invocation is claimed by one suggestion of its skill, first in time order,
-    within `minutes`, of the same session first. Greedy matching runs once per skill over its time-ordered events."""
+    within `minutes`, of the same session first.
+
+    Greedy matching runs once for each unbroken stretch of a skill's events: time is cut into slots of `minutes`, and events with an empty
+    slot between them are too far apart to claim each other. Stretches come from the slots, whose number time bounds and not the rows.
+    """
     import pandas as pd
 
     def claim(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -203,7 +207,13 @@ def skill_conversion(suggestions: DataFrame, invocations: DataFrame, minutes: in
         return pd.DataFrame({"skill": [pdf.skill.iloc[0]], "suggested": [len(s)], "converted": [done]})
 
     side = lambda d, k: d.select("skill", "session_id", "ts", "event_id", F.lit(k).alias("kind"))
-    g = side(suggestions, "s").union(side(invocations, "i")).groupBy("skill").applyInPandas(claim, "skill string, suggested bigint, converted bigint")
+    events = side(suggestions, "s").union(side(invocations, "i")).withColumn("slot", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (minutes * 60_000_000)))
+    slots = events.select("skill", "slot").distinct()
+    slots = slots.withColumn("stretch", F.col("slot") - F.row_number().over(W.partitionBy("skill").orderBy("slot")))
+    near = slots.withColumnsRenamed({"skill": "k", "slot": "at"})
+    dealt = events.join(near, F.col("skill").eqNullSafe(F.col("k")) & F.col("slot").eqNullSafe(F.col("at"))).drop("k", "at", "slot")
+    parts = dealt.groupBy("skill", "stretch").applyInPandas(claim, "skill string, suggested bigint, converted bigint")
+    g = parts.groupBy("skill").agg(F.sum("suggested").alias("suggested"), F.sum("converted").alias("converted"))
     return g.withColumn("rate", half_up(F.coalesce(F.try_divide(F.col("converted").cast("double"), F.col("suggested").cast("double")), F.lit(0.0)), 6))
 
 

@@ -223,3 +223,26 @@ def test_lists_longer_than_the_hits_are_filled_with_the_first_rules(spark):
         got.setdefault(r.query_id, []).append((r.doc_id, r.score > 0))
     assert got[1] == [(8, True), (16, True), (0, False), (1, False), (2, False)]
     assert got[2] == [(i, False) for i in range(5)] and [i for i, _ in got[3]] == [1, 2, 3, 5, 6]
+
+
+def test_skill_conversion_in_stretches_matches_one_pass_over_all_events(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    rng = random.Random(5)
+    start = datetime(2026, 1, 1)
+    row = lambda i: (i, start + timedelta(minutes=rng.choice((0, 0, 300, 1000)) + rng.randrange(0, 121)), rng.randrange(4), f"s{rng.randrange(2)}")
+    sugg, used = [row(i) for i in range(80)], [row(i) for i in range(100, 170)]
+    names = ["event_id", "ts", "session_id", "skill"]
+    got = {r.skill: (r.suggested, r.converted) for r in S.skill_conversion(spark.createDataFrame(sugg, names), spark.createDataFrame(used, names)).collect()}
+    want = {}
+    for skill in ("s0", "s1"):
+        free = sorted((x for x in used if x[3] == skill), key=lambda x: (x[1], x[0]))
+        mine, done = sorted((x for x in sugg if x[3] == skill), key=lambda x: (x[1], x[0])), 0
+        for s in mine:
+            near = [x for x in free if timedelta(0) <= x[1] - s[1] <= timedelta(minutes=30)]
+            if near:
+                free.remove(next((x for x in near if x[2] == s[2]), near[0]))
+                done += 1
+        want[skill] = (len(mine), done)
+    assert got == want
