@@ -63,8 +63,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids and n-best digests of every document that the mix holds, copies too; null and empty texts have no ids."""
-    return encode(docs, MODEL, 4)
+    """The ids and n-best digests of every document that the mix holds, copies too; null and empty texts have no ids. A megabyte of text
+    at a time: the executors still hold what earlier stages left in their heap."""
+    return encode(docs, MODEL, 4, at_once=1 << 20)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("passages", passages), ("mixing", mixing), ("encoding", encoding)]
