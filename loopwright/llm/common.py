@@ -49,6 +49,11 @@ def bucket_bits(rows: int, rows_per_bucket: int = 20_000) -> int:
     return max(6, math.ceil(math.log2(max(rows, 1) / rows_per_bucket + 1e-9)))
 
 
+def within_bound(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """The table with a broadcast hint if it has at most `most` rows, as counted now; else as it is, so that a join shuffles it."""
+    return F.broadcast(df) if len(df.limit(most + 1).select(F.lit(1)).collect()) <= most else df
+
+
 def running_total(df: DataFrame, group: str, key: str, tie: list[str], value: Column, bits: int, into: str) -> DataFrame:
     """Adds the sum of `value` over the rows of the group that stand before this one in the order of the hash `key`.
 

@@ -24,6 +24,9 @@ QUERIES = {
     "op8_bbit_minhash": ("bbit_minhash", "op8_bbit_minhash", ("documents",)),
     "op9_sainte_lague": ("apportion", "op9_sainte_lague", ("documents",)),
     "op10_hypergeometric": ("hypershuffle", "op10_hypergeometric", ("documents",)),
+    "op11_source_audit": ("source_audit", "op11_source_audit", ("documents",)),
+    "op12_url_filter": ("url_filter", "op12_url_filter", ("pages",)),
+    "op13_filtering_lloyd": ("filtering_lloyd", "op13_filtering_lloyd", ("embeddings",)),
 }
 
 

@@ -80,4 +80,55 @@ j AS (SELECT doc_id, min({js('pc', 'rc')}) AS jc, min({js('pw', 'rw')}) AS jw FR
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, c_symbol::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND coalesce(jc, 0) <= 0.26::DOUBLE AND coalesce(jw, 0) <= 0.24::DOUBLE AS kept, {six('jc')} AS char_distance, {six('jw')} AS word_distance FROM s LEFT JOIN j USING (doc_id)"""
 
 
-ORACLE: dict[str, str] = {"op1_divergence": _divergence(), "op4_suffix_lpf": _PASSAGES, "op5_projection_forest": _VECTORS, "op8_bbit_minhash": _NEAR, "op9_sainte_lague": _MIX}
+#: Every kept term for every group and language, zeros included.
+_AUDIT = r"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+o AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*)::BIGINT AS n FROM o GROUP BY 1, 2 HAVING count(DISTINCT id) >= 3),
+l AS (SELECT lang, count(*)::BIGINT AS v, sum(n)::BIGINT AS total FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::BIGINT AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, coalesce(sum(c.n) OVER (PARTITION BY g.lang, g.source), 0)::BIGINT AS total, v, k.n AS all_n, l.total AS all_total FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT *, 1 + (1000000000::HUGEINT * (n + 1)) // (total + v) AS p, 1 + (1000000000::HUGEINT * (all_n + 1)) // (all_total + v) AS q FROM x),
+t AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+u AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(s.value, 0) AS value FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM t UNION ALL SELECT * FROM u) QUALIFY part = 'pair' OR rank <= 200"""
+
+_URLS = r"""WITH u AS (SELECT row_number() OVER () AS id, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT id, page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM u),
+r (verdict, host, path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+f AS (SELECT id, r.host || r.path AS rule, verdict FROM h JOIN r ON (h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path) QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) = 1)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN f USING (id)"""
+
+
+def _codes() -> str:
+    """Two rounds of Lloyd and a last assignment, each part of each vector against all 64 entries."""
+    near = lambda i: f"""n{i} AS (SELECT id, part, entry, far FROM (SELECT v.id, v.part, b.entry, list_sum(list_transform(range(1, len(x) + 1), lambda j: (x[j] - c[j]) * (x[j] - c[j])))::BIGINT AS far FROM v JOIN b{i} b ON v.part = b.part)
+QUALIFY row_number() OVER (PARTITION BY id, part ORDER BY far, entry) = 1)"""
+    mean = lambda i: f"""m{i} AS (SELECT part, entry, j, sum(x[j])::BIGINT AS s, count(*) AS n FROM (SELECT n{i}.part, entry, x, unnest(range(1, len(x) + 1)) AS j FROM n{i} JOIN v USING (id, part)) GROUP BY 1, 2, 3),
+a{i} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM m{i} GROUP BY 1, 2),
+b{i + 1} AS (SELECT b.part, b.entry, coalesce(a.c, b.c) AS c FROM b{i} b LEFT JOIN a{i} a ON a.part = b.part AND a.entry = b.entry)"""
+    return f"""WITH w AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS id, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e, len(embedding) // 16 AS d FROM embeddings
+WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT id, part, e[part * d + 1 : part * d + d] AS x FROM (SELECT id, e, d, unnest(range(0, 16)) AS part FROM w)),
+b0 AS (SELECT part, id - 1 AS entry, x AS c FROM v WHERE id <= 64),
+{near(0)},
+{mean(0)},
+{near(1)},
+{mean(1)},
+{near(2)},
+f AS (SELECT id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM n2 GROUP BY 1),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS told FROM b2)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, told AS codebooks_sha256 FROM w JOIN f USING (id), h"""
+
+
+ORACLE: dict[str, str] = {
+    "op1_divergence": _divergence(),
+    "op4_suffix_lpf": _PASSAGES,
+    "op5_projection_forest": _VECTORS,
+    "op8_bbit_minhash": _NEAR,
+    "op9_sainte_lague": _MIX,
+    "op11_source_audit": _AUDIT,
+    "op12_url_filter": _URLS,
+    "op13_filtering_lloyd": _codes(),
+}

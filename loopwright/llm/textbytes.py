@@ -78,9 +78,9 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.R
             yield b.slice(i, rows)
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and the row of each; words do not cross rows."""
-    inside = ~SPACE[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and the row of each; words do not cross rows. `gap` marks the bytes that stand between words."""
+    inside = ~gap[data]
     n = len(data)
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
