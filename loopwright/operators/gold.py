@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loopwright.functions.text import half_up, sim_jaccard
+from loopwright.operators.matching import match_once, nearest_free
 
 #: What a transcript is judged on.
 DIMENSIONS = ["task_completion", "tool_correctness", "rule_adherence", "coherence", "conciseness"]
@@ -65,50 +66,15 @@ def leakage(least_chars: int, most: float, text: str = "text", rule: str = "rule
     return F.when(F.length(text) < least_chars, "too-short").when(sim_jaccard(words(F.col(text)), words(F.col(rule))) > most, "leakage").otherwise("kept")
 
 
-def match_in_time(entries: DataFrame, sessions: DataFrame, hours: float = 2.0) -> DataFrame:
+def match_in_time(entries: DataFrame, sessions: DataFrame, hours: float = 2.0, rows_per_block: int = 200_000) -> DataFrame:
     """(entry_id, session_id, seconds): entries (entry_id, ts), in order of time, each take the nearest session (session_id, ts) that none before took,
-    the earlier of equals, if it is nearer than `hours`.
-
-    Times are cut into spans of `hours`; where a span is empty nothing can match across it, so each chain of filled spans is matched alone.
-    """
-    import numpy as np
-    import pandas as pd
-
+    the earlier of equals, if it is nearer than `hours`. Times are matched in blocks (match_once)."""
     width = int(hours * 3_600_000_000)
-    side = lambda d, key, kind: d.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col(key).cast("string").alias("id"), F.lit(kind).alias("kind"))
-    rows = side(entries, "entry_id", 0).union(side(sessions, "session_id", 1)).withColumn("span", F.floor(F.col("t") / width))
-    spans = rows.select("span").distinct()  # as many as there are hours / `hours`
-    new = F.coalesce(F.col("span") - F.lag("span").over(W.orderBy("span")) > 1, F.lit(True))
-    chains = spans.withColumn("new", new).withColumn("chain", F.sum(F.col("new").cast("int")).over(W.orderBy("span"))).drop("new")
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = pdf[pdf.kind == 1].sort_values(["t", "id"])
-        e = pdf[pdf.kind == 0].sort_values(["t", "id"])
-        at, ids, out = s.t.to_numpy(), s.id.to_numpy(), []
-        # nearest free session before (place i + 1 stands for session i, place 0 for none) and at or after
-        left, right = np.arange(len(at) + 1), np.arange(len(at) + 1)
-
-        def root(up: np.ndarray, i: int) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        for t, own in zip(e.t.to_numpy(), e.id, strict=True):
-            i = int(np.searchsorted(at, t))
-            a, b = root(left, i) - 1, root(right, i)
-            best = a if a >= 0 and (b >= len(at) or t - at[a] <= at[b] - t) else b if b < len(at) else -1
-            if best < 0 or abs(int(at[best]) - int(t)) >= width:
-                continue
-            if best == a:  # of equal times the first by id
-                j = int(np.searchsorted(at, at[best]))
-                j = root(right, j)
-                best = j if j < len(at) and at[j] == at[best] else best
-            out.append((own, ids[best], abs(int(at[best]) - int(t)) / 1e6))
-            left[best + 1], right[best] = best, best + 1
-        return pd.DataFrame(out, columns=["entry_id", "session_id", "seconds"])
-
-    return rows.join(chains, "span").groupBy("chain").applyInPandas(match, "entry_id string, session_id string, seconds double")
+    side = lambda d, key: d.select(F.lit("").alias("key"), F.col(key).cast("string").alias("id"), "ts", F.lit("").alias("who"))
+    pairs = match_once(side(entries, "entry_id"), side(sessions, "session_id"), width, width, nearest_free, rows_per_block)
+    at = lambda d, key, name: d.select(F.col(key).cast("string").alias(name), F.unix_micros(F.col("ts").cast("timestamp")).alias(f"{name}_t"))
+    timed = pairs.join(at(entries, "entry_id", "asker"), "asker").join(at(sessions, "session_id", "taken"), "taken")
+    return timed.select(F.col("asker").alias("entry_id"), F.col("taken").alias("session_id"), (F.abs(F.col("asker_t") - F.col("taken_t")) / 1e6).alias("seconds"))
 
 
 def judged(answers: DataFrame, key: str = "trace_id", text: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from loopwright.functions.classifiers import REBUTTALS, cohort
 from loopwright.functions.text import half_up
+from loopwright.operators.matching import first_of_own, match_once
 
 
 def _age_days(as_of: Column, ts: str = "ts") -> Column:
@@ -176,44 +177,14 @@ def skill_usage(skills: DataFrame, ratings: DataFrame) -> DataFrame:
     return n.join(mean, "skill", "left").join(F.broadcast(base)).select("skill", "n", "sessions", half_up(F.col("a"), 6).alias("avg_rating"), half_up(F.col("a") - F.col("base"), 6).alias("delta"))
 
 
-def skill_conversion(suggestions: DataFrame, invocations: DataFrame, minutes: int = 30) -> DataFrame:
+def skill_conversion(suggestions: DataFrame, invocations: DataFrame, minutes: int = 30, rows_per_block: int = 200_000) -> DataFrame:
     """(skill, suggested, converted, rate): each invocation is claimed by one suggestion of its skill, first in time order,
-    within `minutes`, of the same session first.
-
-    Greedy matching runs once for each unbroken stretch of a skill's events: time is cut into slots of `minutes`, and events with an empty
-    slot between them are too far apart to claim each other. Stretches come from the slots, whose number time bounds and not the rows.
-    """
-    import pandas as pd
-
-    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        s, v = pdf[pdf.kind == "s"], pdf[pdf.kind == "i"]
-        at, ids, used = v.ts.astype("datetime64[us]").astype("int64").to_numpy(), v.session_id.to_numpy(), [False] * len(v)
-        lo = done = 0
-        for t, own in zip(s.ts.astype("datetime64[us]").astype("int64"), s.session_id, strict=True):
-            while lo < len(at) and at[lo] < t:
-                lo += 1
-            pick, k = -1, lo
-            while k < len(at) and at[k] <= t + minutes * 60_000_000:
-                if not used[k]:
-                    if ids[k] == own:
-                        pick = k
-                        break
-                    pick = k if pick < 0 else pick
-                k += 1
-            if pick >= 0:
-                used[pick] = True
-                done += 1
-        return pd.DataFrame({"skill": [pdf.skill.iloc[0]], "suggested": [len(s)], "converted": [done]})
-
-    side = lambda d, k: d.select("skill", "session_id", "ts", "event_id", F.lit(k).alias("kind"))
-    events = side(suggestions, "s").union(side(invocations, "i")).withColumn("slot", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (minutes * 60_000_000)))
-    slots = events.select("skill", "slot").distinct()
-    slots = slots.withColumn("stretch", F.col("slot") - F.row_number().over(W.partitionBy("skill").orderBy("slot")))
-    near = slots.withColumnsRenamed({"skill": "k", "slot": "at"})
-    dealt = events.join(near, F.col("skill").eqNullSafe(F.col("k")) & F.col("slot").eqNullSafe(F.col("at"))).drop("k", "at", "slot")
-    parts = dealt.groupBy("skill", "stretch").applyInPandas(claim, "skill string, suggested bigint, converted bigint")
-    g = parts.groupBy("skill").agg(F.sum("suggested").alias("suggested"), F.sum("converted").alias("converted"))
+    within `minutes`, of the same session first. Claims are matched in blocks of time (match_once), so a skill of any density is spread over tasks."""
+    side = lambda d: d.select(F.col("skill").alias("key"), F.col("event_id").alias("id"), "ts", F.col("session_id").alias("who"))
+    pairs = match_once(side(suggestions), side(invocations), 0, minutes * 60_000_000, first_of_own, rows_per_block)
+    asked = suggestions.select("skill", F.lit(1).alias("s"), F.lit(0).alias("c")).union(pairs.select("key", F.lit(0), F.lit(1)))
+    used = invocations.select("skill", F.lit(0), F.lit(0)).distinct()
+    g = asked.union(used).groupBy("skill").agg(F.sum("s").alias("suggested"), F.sum("c").alias("converted"))
     return g.withColumn("rate", half_up(F.coalesce(F.try_divide(F.col("converted").cast("double"), F.col("suggested").cast("double")), F.lit(0.0)), 6))
 
 

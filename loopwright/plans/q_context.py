@@ -269,6 +269,16 @@ _PN = "p_name || ' ' || p_partkey"
 _NST = f"ns AS (SELECT p_partkey, p_size, {_PN} AS name, st.n, decayed, last_seen FROM st JOIN part ON p_partkey = rule_id)"
 _NORM = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-+', '-', 'g'), '-')"
 
+#: One entry a step, in order of time, with the sessions that are taken so far.
+_BOOTSTRAP = B.sql(["ev", "inv", "corr"], """SELECT entry_id, session_id, abs(epoch_us(ets) - epoch_us(ts)) / 1e6::DOUBLE AS seconds FROM steps JOIN firsts ON session_id = pick""", [
+    "firsts AS (SELECT session_id, min(ts) AS ts FROM inv GROUP BY 1)",
+    "asked AS (SELECT event_id::VARCHAR AS entry_id, ts, row_number() OVER (ORDER BY ts, event_id::VARCHAR) AS i FROM corr)",
+    """steps AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS used, NULL::VARCHAR AS pick, NULL::VARCHAR AS entry_id, NULL::TIMESTAMP AS ets UNION ALL
+SELECT i, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, pick, entry_id, ets FROM (SELECT a.i, any_value(s.used) AS used, arg_min(f.session_id, (abs(epoch_us(f.ts) - epoch_us(a.ts)), f.ts, f.session_id)) AS pick, any_value(a.entry_id) AS entry_id, any_value(a.ts) AS ets
+FROM steps s JOIN asked a ON a.i = s.i + 1 LEFT JOIN firsts f ON f.ts > a.ts - INTERVAL 2 HOUR AND f.ts < a.ts + INTERVAL 2 HOUR AND NOT list_contains(s.used, f.session_id) GROUP BY a.i))""",
+]).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 QUERIES = {
     "context_rules": (context_rules, sql([*BM25, "inj"], f"SELECT query_id, rule_id, {r('score', 9)} AS score, place, 'rule' AS kind FROM rl UNION ALL SELECT query_id, id, {r('rating / 10', 9)}, n + row_number() OVER (PARTITION BY query_id ORDER BY place), 'trajectory' FROM tj JOIN hl USING (query_id) WHERE place <= 10 - n AND id NOT IN (SELECT rule_id FROM rl WHERE rl.query_id = tj.query_id)", _CONTEXT)),
     "trajectory_query": (trajectory_query, "WITH " + _STORE + ", " + _TRAJ + " SELECT query_id, id, rating, place FROM tj WHERE place <= 5"),
@@ -305,7 +315,7 @@ QUERIES = {
         sql(["turns"], "SELECT session_id, seq, CASE WHEN length(text) < 120 THEN 'too-short' WHEN coalesce(len(list_intersect(x, y)) / nullif(len(x) + len(y) - len(list_intersect(x, y)), 0)::DOUBLE, 0) > 0.12::DOUBLE THEN 'leakage' ELSE 'kept' END AS outcome FROM "
         f"(SELECT session_id, seq, text, {_WORDS.format('text')} AS x, {_WORDS.format('b')} AS y FROM (SELECT *, lag(text) OVER (PARTITION BY session_id ORDER BY seq) AS b FROM turns) WHERE b IS NOT NULL AND role = 'user')"),
     ),
-    "recall_bootstrap": (recall_bootstrap, None),
+    "recall_bootstrap": (recall_bootstrap, _BOOTSTRAP),
     "judge_scores": (judge_scores, "WITH z AS (SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS trace_id, l_linenumber AS n FROM lineitem) SELECT trace_id, 'clarity' AS dimension, n::DOUBLE AS score, '' AS reasoning FROM z WHERE n BETWEEN 1 AND 5 UNION ALL SELECT trace_id, 'tone', (n + 2)::DOUBLE, 'so' FROM z WHERE n + 2 BETWEEN 1 AND 5"),
     "transcript_quality": (
         transcript_quality,

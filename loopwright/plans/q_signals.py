@@ -177,6 +177,16 @@ _DOMAIN = "CASE " + " ".join(f"WHEN {_RE('x', c or b)}" + (f" AND NOT {_RE('x',
 _DOMAINS = "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN {_RE('text', '(?i)' + b)} THEN '{n}' END" for n, _, b, _ in C.DOMAINS) + "], lambda z: z IS NOT NULL)), ',')"
 _E, _P, _S = (_HITS("text", C.MEMORY_TYPES[k]) for k in ("episodic", "procedural", "semantic"))
 
+#: The n-th suggestion of every skill at a time, with the invocations that are claimed so far.
+_CONVERSION = B.sql(["ev", "inv", "sug"], f"""SELECT skill, suggested, coalesce(converted, 0) AS converted, {B.r("CASE WHEN suggested > 0 THEN coalesce(converted, 0)::DOUBLE / suggested ELSE 0 END")} AS rate FROM
+(SELECT skill, count(*) FILTER (WHERE s) AS suggested FROM (SELECT skill, true AS s FROM sug UNION ALL SELECT skill, false FROM inv) GROUP BY 1) LEFT JOIN (SELECT skill, max(len(used))::BIGINT AS converted FROM claims GROUP BY 1) USING (skill)""", [
+    "asked AS (SELECT *, row_number() OVER (PARTITION BY skill ORDER BY ts, event_id) AS i FROM sug)",
+    """claims AS (SELECT DISTINCT skill, 0::BIGINT AS i, []::BIGINT[] AS used FROM asked UNION ALL
+SELECT skill, i, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END FROM (SELECT a.skill, a.i, any_value(c.used) AS used, arg_min(v.event_id, (v.session_id <> a.session_id, v.ts, v.event_id)) AS pick
+FROM claims c JOIN asked a ON a.skill = c.skill AND a.i = c.i + 1 LEFT JOIN inv v ON v.skill = a.skill AND v.ts >= a.ts AND v.ts <= a.ts + INTERVAL 30 MINUTE AND NOT list_contains(c.used, v.event_id) GROUP BY a.skill, a.i))""",
+]).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 QUERIES = {
     "turn_features": (turn_features, sql(["turns"], "SELECT session_id, seq, correction, approval, frustrated, debrief, reprompt FROM f", [_FEAT])),
     "uninterrupted_runs": (uninterrupted_runs, sql(["turns"], "SELECT session_id, count(*) FILTER (n >= 1 AND NOT stopped) AS runs FROM runs GROUP BY 1", [_FEAT])),
@@ -243,7 +253,7 @@ CASE k % 5 WHEN 0 THEN CASE WHEN 1 + k % 12 <= 10 THEN 'explicit' END WHEN 1 THE
         sql(["ev", "ratings", "inv"], f"SELECT skill, n, sessions, {r('a')} AS avg_rating, {r('a - base')} AS delta FROM (SELECT skill, count(*) AS n, count(DISTINCT session_id) AS sessions FROM inv GROUP BY 1) LEFT JOIN (SELECT skill, avg(rating) AS a FROM (SELECT DISTINCT skill, session_id FROM inv) JOIN l USING (session_id) GROUP BY 1) USING (skill), (SELECT avg(rating) AS base FROM l WHERE session_id NOT IN (SELECT session_id FROM inv))",
         ["l AS (SELECT session_id, arg_max(rating, (ts, event_id)) AS rating FROM ratings GROUP BY 1)"]),
     ),
-    "skill_conversion": (_of(S.skill_conversion, "suggestions", "invocations"), None),
+    "skill_conversion": (_of(S.skill_conversion, "suggestions", "invocations"), _CONVERSION),
     "skill_accuracy": (skill_accuracy, sql(["ev", "inv"], "SELECT count(*) AS sessions, count(*) FILTER (skill = 'skill-3') AS hits FROM (SELECT session_id, arg_min(skill, (ts, event_id)) AS skill FROM inv GROUP BY 1)")),
     "default_domains": (_of(S.default_domains, "invocations"), sql(["ev", "inv"], "SELECT skill, count(*) AS n FROM inv WHERE session_id IN (SELECT session_id FROM (SELECT session_id, max(ts) AS t FROM inv GROUP BY 1 ORDER BY t DESC, session_id LIMIT 20)) GROUP BY 1 ORDER BY n DESC, skill LIMIT 3")),
     "pearson_proxy": (pearson_proxy, f"SELECT l_returnflag, {r('(corr(l_quantity, l_extendedprice) + 1) / 2')} AS score FROM lineitem GROUP BY 1"),

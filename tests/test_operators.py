@@ -246,3 +246,34 @@ def test_skill_conversion_in_stretches_matches_one_pass_over_all_events(spark):
                 done += 1
         want[skill] = (len(mine), done)
     assert got == want
+
+
+def test_dense_claims_in_many_blocks_match_one_pass(spark):
+    """One skill, an event every few seconds for days, choices that push each other over the ends of hundreds of blocks."""
+    import random
+    from datetime import datetime, timedelta
+
+    from loopwright.operators import gold
+    from loopwright.operators.matching import first_of_own, match_once, nearest_free
+
+    rng = random.Random(11)
+    start = datetime(2026, 1, 1)
+    at = lambda: start + timedelta(seconds=rng.randrange(0, 86_400, 20))
+    sugg = [(i, at(), f"u{rng.randrange(5)}", "k" if i % 50 else None) for i in range(1500)]
+    used = [(i, at(), f"u{rng.randrange(5)}", "k" if i % 50 else None) for i in range(1300)]
+    names = "event_id long, ts timestamp, session_id string, skill string"
+    a, b = spark.createDataFrame(sugg, names), spark.createDataFrame(used, names)
+    side = lambda rows, skill: [(int((x[1] - datetime(1970, 1, 1)).total_seconds()) * 10**6, x[0], x[2]) for x in sorted(rows, key=lambda x: (x[1], x[0])) if x[3] == skill]
+    whole = {skill: len(first_of_own(side(sugg, skill), side(used, skill), set(), 1800 * 10**6)) for skill in ("k", None)}
+    for rows_per_block in (200_000, 40):
+        got = {r.skill: (r.suggested, r.converted) for r in S.skill_conversion(a, b, rows_per_block=rows_per_block).collect()}
+        assert got == {skill: (sum(x[3] == skill for x in sugg), n) for skill, n in whole.items()}
+    keyed = lambda d: d.select(F.col("skill").alias("key"), F.col("event_id").alias("id"), "ts", F.col("session_id").alias("who"))
+    pairs = match_once(keyed(a), keyed(b), 0, 1800 * 10**6, first_of_own, 40).where("key = 'k'").collect()
+    assert sorted((r.asker, r.taken) for r in pairs) == sorted(first_of_own(side(sugg, "k"), side(used, "k"), set(), 1800 * 10**6))
+    text = lambda rows: sorted((t, str(i), "") for t, i, _ in side([(*x[:3], "k") for x in rows], "k"))
+    want = sorted((x, y) for x, y in nearest_free(text(sugg), text(used), set(), 600 * 10**6))
+    found = gold.match_in_time(a.withColumnRenamed("event_id", "entry_id"), b.select(F.col("event_id").alias("session_id"), "ts"), 1 / 6, rows_per_block=60)
+    assert sorted((r.entry_id, r.session_id) for r in found.collect()) == want
+    empty = a.limit(0)
+    assert S.skill_conversion(empty, empty).count() == 0
