@@ -51,7 +51,7 @@ def seats(targets: DataFrame, block: int, blocks: int) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, size: Column | None = None, share: float = 1.5, most: float = 2.0, shards: int = 24, blocks_per_shard: int = 1024, seed: int = 17
+    docs: DataFrame, size: Column | None = None, share: float = 1.5, most: float = 2.0, shards: int = 24, blocks_per_shard: int = 1024, seed: int = 17, row: tuple[str, ...] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """Two tables: documents (doc_id, source, size, source_size, target, start, taken, spans) and blocks
     (source, block, start, words, copies, part, shards).
@@ -62,7 +62,7 @@ def mix(
     the front once all are taken; then the last seat is cut, or one more begun, so that a source's words meet its rounded
     target. That correction is of one block at most: where the seats are further from the target, they decide.
     `copies` counts whole takings of a block and `part` the words of its front taken once more. `spans` are a document's
-    pieces (block, from, words, copies, part).
+    pieces (block, from, words, copies, part). `row` names columns that tell rows apart which agree in doc_id and size: they order such rows and are returned.
 
     Null texts have size 0; documents of size 0 take nothing; null sources are one source, last in order. A table
     without words, or without rows, takes nothing. Repeated rows stand beside each other; ties in quotients go to the source
@@ -71,7 +71,7 @@ def mix(
     most and one more for each source, are ranked in one task.
     """
     size = n_words(F.col("text")) if size is None else size
-    rows = cut(docs.select("doc_id", "source", size.alias("size")))
+    rows = cut(docs.select("doc_id", "source", size.alias("size"), *row))
     totals = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, most)
     totals = cut(totals)
     n, total, goal = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)), F.lit(0)).first()
@@ -103,7 +103,7 @@ def mix(
     each = each.select("source", "block", "start", "words", "copies", "part", "shards")
     # documents along the source's run of words
     keyed = rows.withColumn("key", seeded(seed, F.lit("doc"), F.col("doc_id"), F.col("size")))
-    placed = running_total(keyed, "source", "key", ["doc_id", "size"], F.col("size"), bucket_bits(n), "start")
+    placed = running_total(keyed, "source", "key", ["doc_id", "size", *row], F.col("size"), bucket_bits(n), "start")
     spans = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.greatest("size", F.lit(1)) - 1) / block))
     # the ids number the rows of a written table, so a stage that is run again gives the same ones
     pieces = cut(placed).withColumn("id", F.monotonically_increasing_id()).withColumn("block", F.explode(spans))
@@ -114,12 +114,12 @@ def mix(
     again = F.greatest(F.least(tail, F.col("b0") + F.col("part")) - head, F.lit(0))
     pieces = pieces.withColumn("took", F.coalesce(run * F.col("copies") + F.when(F.col("part") > 0, again).otherwise(0), F.lit(0)))
     doc = pieces.groupBy("id").agg(
-        *[F.first(c).alias(c) for c in ("doc_id", "source", "size", "start")],
+        *[F.first(c).alias(c) for c in ("doc_id", "source", "size", "start", *row)],
         F.sum("took").alias("taken"),
         F.array_sort(F.collect_list(F.struct("block", (head - F.col("start")).alias("from"), run.alias("words"), "copies", F.when(F.col("part") > 0, again).otherwise(0).alias("part")))).alias("spans"),
     )
     t = totals.select(F.col("source").alias("ts"), "source_size", "target")
-    doc = doc.join(t, F.col("source").eqNullSafe(F.col("ts")), "left").select("doc_id", "source", "size", "source_size", "target", "start", "taken", "spans")
+    doc = doc.join(t, F.col("source").eqNullSafe(F.col("ts")), "left").select("doc_id", "source", "size", "source_size", "target", "start", "taken", "spans", *row)
     return doc, each
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -44,6 +45,15 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def numbered(df: DataFrame, into: str) -> DataFrame:
+    """Adds a column that tells every row apart, the same whenever the table is read: the row's place in its file, or, where the rows do not come
+    straight from files, in a checkpoint that is made of them."""
+    try:
+        return df.withColumn(into, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+    except AnalysisException:
+        return cut(df).withColumn(into, F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("at")))
+
+
 def bucket_bits(rows: int, rows_per_bucket: int = 20_000) -> int:
     """Bits of a hash that split `rows` rows into buckets of about `rows_per_bucket`; at least 64 buckets."""
     return max(6, math.ceil(math.log2(max(rows, 1) / rows_per_bucket + 1e-9)))

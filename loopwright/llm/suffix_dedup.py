@@ -92,13 +92,14 @@ class Stretches:
 
 
 def ordered(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]:
-    """Bytes, offsets, ids and table of a block by id, then text."""
+    """Bytes, offsets, ids and table of a block by id, then text, then what the rows carry."""
     ids = t.column("id").to_numpy()
     if len(np.unique(ids)) == len(ids):
         order = np.argsort(ids, kind="stable")
     else:
         texts = t.column("text").to_pylist()
-        order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], texts[i] or "")), dtype=np.int64)
+        more = t.column("carried").to_pylist() if "carried" in t.column_names else texts
+        order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], texts[i] or "", repr(more[i]))), dtype=np.int64)
     t = t.take(pa.array(order)).combine_chunks()
     column = t.column("text").cast(pa.large_string()).combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
@@ -172,14 +173,18 @@ def longest_previous(place: np.ndarray, group: np.ndarray, common: np.ndarray) -
     return np.maximum(back, fore[::-1])
 
 
-def passage_cuts(docs: DataFrame, window: int = 100, block_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20, hot: int = 2048) -> tuple[DataFrame, DataFrame]:
-    """Blocks of documents (block, doc_id, text) and the windows to remove (block, blob of CUTS)."""
+def passage_cuts(
+    docs: DataFrame, window: int = 100, block_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20, hot: int = 2048, carry: tuple[str, ...] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """Blocks of documents (block, doc_id, id, text, and if asked for the struct `carried`) and the windows to remove (block, blob of CUTS)."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks, n_buckets = max(8, -(-total // block_bytes)), max(24, -(-total // bucket_bytes))
     # texts without an id come after all others, in the order of a hash
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST) - F.shiftrightunsigned(F.xxhash64("text"), 2))
-    blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", own.alias("id"))
-    blocks = blocks.select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block"), "doc_id", "id", "text")
+    more = [F.struct(*carry).alias("carried")] if carry else []
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", own.alias("id"), *more)
+    held = held.select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block"), "doc_id", "id", "text", *["carried"][: len(more)])
+    blocks = held.drop("carried")
 
     def announce(key: tuple, t: pa.Table) -> pa.Table:
         """Of each kind of stretch in the block the first, dealt to buckets by minimiser."""
@@ -306,7 +311,7 @@ def passage_cuts(docs: DataFrame, window: int = 100, block_bytes: int = 8 << 20,
     said = blocks.groupBy("block").applyInArrow(announce, "bucket bigint, block bigint, keys binary, docs binary")
     replies = said.groupBy("bucket").applyInArrow(reply, "block bigint, bucket bigint, flags binary")
     settled = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(settle, "key bigint, block bigint, cuts binary, parts binary, text binary")
-    return blocks, settled.groupBy("key").applyInArrow(compare, "block bigint, cuts binary")
+    return held, settled.groupBy("key").applyInArrow(compare, "block bigint, cuts binary")
 
 
 def joined(c: np.ndarray, near: int) -> np.ndarray:
@@ -321,8 +326,8 @@ def joined(c: np.ndarray, near: int) -> np.ndarray:
     return out
 
 
-def strip_passages(docs: DataFrame, window: int = 100, with_text: bool = False, **sizes: int) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, on request, the text without its repeats.
+def strip_passages(docs: DataFrame, window: int = 100, with_text: bool = False, carry: tuple[str, ...] = (), **sizes: int) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, on request, the text without its repeats and the row's own columns `carry`, in a struct `carried`.
 
     Every byte goes that a string of `window` bytes covers which also starts earlier: in a document of smaller doc_id or
     further ahead in the same one. The first copy stays. Strings are judged on the input and do not cross documents. Rows
@@ -332,7 +337,7 @@ def strip_passages(docs: DataFrame, window: int = 100, with_text: bool = False,
     crowded stretches within a block by 128 bits; all else is compared byte by byte. A crowd of stretches under one minimiser is split by the hashes of its windows, so no bucket grows with
     the copies of one passage. `text` drops characters that are cut in part as a whole. A table without rows gives none.
     """
-    blocks, cuts = passage_cuts(docs, window, **sizes)
+    blocks, cuts = passage_cuts(docs, window, carry=carry, **sizes)
 
     def remove(key: tuple, t: pa.Table, cut: pa.Table) -> pa.Table:
         data, offsets, _, t = ordered(t)
@@ -365,9 +370,11 @@ def strip_passages(docs: DataFrame, window: int = 100, with_text: bool = False,
             if with_text:
                 texts.append("".join(bytes(piece).decode("utf-8", "ignore") for piece in pieces))
         cols = {"doc_id": t.column("doc_id"), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed), "n_spans": pa.array(spans), "kept_sha256": pa.array(sha, pa.string())}
-        return pa.table(cols | ({"text": pa.array(texts, pa.string())} if with_text else {}))
+        return pa.table(cols | ({"text": pa.array(texts, pa.string())} if with_text else {}) | ({"carried": t.column("carried")} if carry else {}))
 
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text string" * with_text
+    if carry:
+        schema += f", carried {blocks.schema['carried'].dataType.simpleString()}"
     return blocks.groupBy("block").cogroup(cuts.groupBy("block")).applyInArrow(remove, schema)
 
 
