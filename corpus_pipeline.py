@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loopwright.llm.apportion import mix
 from loopwright.llm.bbit_minhash import near_duplicates
-from loopwright.llm.common import n_words, shared_folder, table
+from loopwright.llm.common import n_words, numbered, shared_folder, table
 from loopwright.llm.nbest import encode
 from loopwright.llm.pu_quality import filter_quality
 from loopwright.llm.registry import MODEL
@@ -39,27 +39,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every passage of 100 bytes or more that stood earlier; documents of which nothing is left go."""
-    done = strip_passages(docs, 100, with_text=True)
+    """Cuts every passage of 100 bytes or more that stood earlier; documents of which nothing is left go, those that were empty stay. Every row keeps its own
+    lang and source, whether its doc_id is null, repeated or neither (strip_passages has the order of such rows). Null texts become empty."""
+    done = strip_passages(docs.select(*COLUMNS), 100, with_text=True, carry=("lang", "source"))
     text = F.when(F.col("n_bytes") > 0, F.col("text")).otherwise(F.lit(""))
-    meta = docs.select(F.col("doc_id").alias("id"), "lang", "source").dropDuplicates(["id"])
-    out = done.where("n_bytes = 0 or n_removed < n_bytes").join(meta, F.col("doc_id").eqNullSafe(F.col("id")), "left")
-    return out.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    out = done.where("n_bytes = 0 or n_removed < n_bytes")
+    return out.select("doc_id", text.alias("text"), "carried.lang", "carried.source", F.length(text).cast("long").alias("n_chars"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the block that holds its middle word is taken, so whole documents meet the source targets. Texts
-    without words go with the block they stand in; rows that repeat a doc_id are taken equally often; null sources are one source."""
-    placed, blocks = mix(docs, size=n_words(F.col("text")))
-    half = F.col("start") + F.floor(F.col("size") / 2)
-    b = blocks.select(F.col("source").alias("bs"), F.col("start").alias("b0"), "words", "block", (F.col("copies") + (F.col("part") > 0).cast("long")).alias("most"), "copies", "part")
-    at = F.element_at(F.filter("spans", lambda s: (s["from"] <= F.floor(F.col("size") / 2)) & ((s["from"] + s["words"] > F.floor(F.col("size") / 2)) | (F.col("size") == 0))), 1)
-    d = placed.withColumn("mid", half).withColumn("at", at["block"])
-    d = d.join(b, F.col("source").eqNullSafe(F.col("bs")) & (F.col("at") == F.col("block")), "left")
+    without words go with the block they stand in; null sources are one source. Each row is placed and taken for itself: rows that agree in doc_id and
+    size are ordered by their contents, so reruns take the same texts as often; an empty table stays empty."""
+    own = numbered(docs, "at").withColumn("content", F.xxhash64("text", "lang", "n_chars"))
+    placed, blocks = mix(own, size=n_words(F.col("text")), row=("content", "at"))
+    half = F.floor(F.col("size") / 2)
+    at = F.element_at(F.filter("spans", lambda s: (s["from"] <= half) & ((s["from"] + s["words"] > half) | (F.col("size") == 0))), 1)
+    b = blocks.select(F.col("source").alias("bs"), F.col("start").alias("b0"), "block", "copies", "part")
+    d = placed.withColumn("mid", F.col("start") + half).withColumn("in", at["block"])
+    d = d.join(b, F.col("source").eqNullSafe(F.col("bs")) & (F.col("in") == F.col("block")), "left")
     times = F.coalesce(F.col("copies") + F.when(F.col("mid") - F.col("b0") < F.col("part"), 1).otherwise(0), F.lit(0))
-    d = d.select("doc_id", times.cast("int").alias("times")).where("times > 0").dropDuplicates(["doc_id"])
-    twice = docs.join(d.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")))
-    return twice.withColumn("n", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
+    d = d.select("at", times.cast("int").alias("times")).where("times > 0")
+    return own.join(d, "at").withColumn("n", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
