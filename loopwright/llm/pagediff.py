@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,8 @@ WORDS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 GAPS = re.compile(r"[\s\u00a0]+")
 #: How surely a block belongs to the article.
 OWN, GUESS = True, False
+#: What rules out what an element holds: nothing, what it is, or only a form that stands around it, which an article inside undoes.
+IN, OUT, FORM = 0, 1, 2
 
 
 def attributes(tag: str) -> dict[str, str]:
@@ -86,12 +89,14 @@ def lines(page: str | None) -> tuple[list[str], list[bool]]:
 
     A page with an article element (or else main) keeps what is inside, where only blocks of suspect classes are guesses, and,
     with an article inside main, what main has beside it. Of a page without such an element every block is a guess.
+    A form rules out what it holds, but not an article or main element that it stands around; on a page without either, a form that holds
+    more text than everything outside stands around the page, and counts as a plain container.
     """
-    found: list[tuple[str, int, bool]] = []  # text, level (2 in an article, 1 in main, 0 elsewhere), suspect
-    stack: list[tuple[str, bool, int, bool]] = []  # element, ruled out, level, suspect
+    found: list[tuple[str, int, bool, int]] = []  # text, level (2 in an article, 1 in main, 0 elsewhere), suspect, IN or FORM
+    stack: list[tuple[str, int, int, bool]] = []  # element, what rules it out, level, suspect
     text: list[str] = []
     page = page or ""
-    last, drop, level, suspect = 0, False, 0, False
+    last, drop, level, suspect = 0, IN, 0, False
 
     def flush() -> None:
         if text:
@@ -101,14 +106,14 @@ def lines(page: str | None) -> tuple[list[str], list[bool]]:
                 s = html.unescape(s)
             s = GAPS.sub(" ", s).strip()
             if s:
-                found.append((s, level, suspect))
+                found.append((s, level, suspect, drop))
 
-    def leave(k: int) -> tuple[bool, int, bool]:
+    def leave(k: int) -> tuple[int, int, bool]:
         del stack[k:]
-        return stack[-1][1:] if stack else (False, 0, False)
+        return stack[-1][1:] if stack else (IN, 0, False)
 
     for m in TOKEN.finditer(page):
-        if not drop and m.start() > last:
+        if drop != OUT and m.start() > last:
             text.append(page[last : m.start()])
         last = m.end()
         tag = m.group(2)
@@ -126,7 +131,7 @@ def lines(page: str | None) -> tuple[list[str], list[bool]]:
                     break
             continue
         if name == "br":
-            if not drop:
+            if drop != OUT:
                 text.append(" ")
             continue
         if name in BLOCK:
@@ -140,18 +145,20 @@ def lines(page: str | None) -> tuple[list[str], list[bool]]:
                     break
                 if stack[k][0] in BLOCK:
                     break
-        if not drop:
-            out, likely = judged(name, tag, level)
+        if drop != OUT:
+            hard, likely = judged(name, tag, level)
+            out = FORM if name == "form" and level < 2 else OUT if hard else IN if name in ("article", "main") else drop
             deeper = 2 if name == "article" else max(level, 1) if name == "main" else level
-            if (out, suspect or likely, deeper) != (False, suspect, level):
+            if (out, suspect or likely, deeper) != (drop, suspect, level):
                 flush()
             drop, level, suspect = out, deeper, suspect or likely
         stack.append((name, drop, level, suspect))
-    if not drop and last < len(page):
+    if drop != OUT and last < len(page):
         text.append(page[last:])
     flush()
-    top = max([n for _, n, _ in found], default=0)
-    kept = [(s, n == top > 0 and not x) for s, n, x in found if n or not top]
+    top = max([n for _, n, _, out in found if out == IN], default=0)
+    around = not top and 2 * sum(len(s) for s, _, _, out in found if out == FORM) > sum(len(s) for s, *_ in found)
+    kept = [(s, n == top > 0 and not x) for s, n, x, out in found if (n or not top) and (out == IN or around)]
     return [s for s, _ in kept], [own for _, own in kept]
 
 
@@ -164,10 +171,36 @@ def _scores(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return row
 
 
+def _by_matches(p: np.ndarray, q: np.ndarray, at: dict[int, list[int]]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence as a longest rising run through the pairs of equal lines: work and memory follow their number."""
+    ends: list[int] = []  # the earliest place in q at which a run of each length can end
+    tops: list[tuple] = []  # that run, as a chain
+    for i, x in enumerate(p.tolist()):
+        for j in at.get(x, ()):  # from the last to the first, so that one line of p is used once
+            k = bisect_left(ends, j)
+            link = (i, j, tops[k - 1] if k else None)
+            if k == len(ends):
+                ends.append(j)
+                tops.append(link)
+            elif j < ends[k]:
+                ends[k], tops[k] = j, link
+    out, link = [], tops[-1] if tops else None
+    while link:
+        out.append(link[:2])
+        link = link[2]
+    return out[::-1]
+
+
 def _subsequence(p: np.ndarray, q: np.ndarray, cells: int) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence; tables over `cells` are halved first, so memory stays within that."""
+    """Places of a longest common subsequence: through the pairs of equal lines if these are within `cells`, else by tables, which are halved
+    until they are, so memory stays within that."""
     if not len(p) or not len(q):
         return []
+    at: dict[int, list[int]] = {}
+    for j in range(len(q) - 1, -1, -1):
+        at.setdefault(int(q[j]), []).append(j)
+    if sum(len(at.get(x, ())) for x in p.tolist()) <= cells >> 2:
+        return _by_matches(p, q, at)
     if len(p) > 1 and len(p) * len(q) > cells:
         half = len(p) // 2
         cut_at = int(np.argmax(_scores(p[:half], q) + _scores(p[half:][::-1], q[::-1])[::-1]))

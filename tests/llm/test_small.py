@@ -407,6 +407,33 @@ def test_pages_of_one_id_and_url_keep_their_own_lines(spark):
     assert pagediff.op2_page_differencing(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ('<body><form id="aspnetForm"><div class="menu">Menu</div><article><p>Text <b>of</b> it</p><form>Mail <input></form></article><p>rest</p></form></body>', "Text of it"),
+        ('<form><main><h1>Head</h1><form action="/find">find</form><p>Body</p></main>after</form>', "Head\nBody"),
+        ('<body>Skip<form id="f"><nav>Home</nav><p>A long text <i>that</i> fills the page</p><p>Second</p></form></body>', "A long text that fills the page\nSecond"),
+        ("<body><p>The text of the page is here</p><form>Your name <input><button>Send</button></form></body>", "The text of the page is here"),
+        ("<article><p>Text</p><form>A comment that is longer than all the text<article>x</article></form></article>", "Text"),
+        ("<form><article><p>One</p></article><aside>side</aside></form><p>outside of it all</p>", "One"),
+    ],
+)
+def test_forms_around_articles(html, want):
+    found, own = pagediff.lines(html)
+    if "<article" in html or "<main" in html:
+        assert all(own)
+    assert "\n".join(x for x in found if x != "Skip") == want
+
+
+def test_common_lines_of_long_pages_follow_their_matches():
+    a = [f"line {i}" for i in range(30_000)]
+    b = a[:]
+    random.Random(2).shuffle(b)
+    left, right = pagediff.common_lines(a, b)
+    assert len(left) == len(right) and sorted(a[i] for i in left) == sorted(b[j] for j in right)
+    assert [a[i] for i in sorted(left)] == [b[j] for j in sorted(right)] and 250 < len(left) < 450  # about twice the root of their number
+
+
 def test_common_lines_is_a_longest_subsequence():
     rng = random.Random(3)
     for _ in range(60):
