@@ -49,6 +49,16 @@ class Sketch:
         return np.minimum.reduce([self.cells[r, place] for r, place in enumerate(self.places(hashes))])
 
 
+class Packed(Sketch):
+    """The same, read from the packed bytes as they were sent."""
+
+    def __init__(self, bits: int, data: bytes) -> None:
+        super().__init__(bits, np.frombuffer(data, dtype=np.uint8).reshape(DEPTH, -1))
+
+    def estimate(self, hashes: np.ndarray) -> np.ndarray:
+        return np.minimum.reduce([self.cells[r, place >> 2] >> (2 * (place & 3)).astype(np.uint8) & 3 for r, place in enumerate(self.places(hashes))])
+
+
 def pack(cells: np.ndarray) -> bytes:
     c = cells.reshape(-1, 4)
     return (c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6).astype(np.uint8).tobytes()
@@ -129,7 +139,7 @@ def surviving_counts(docs: DataFrame, sketch: Sketch, least: int) -> DataFrame:
     bits, sent = sketch.bits, docs.sparkSession.sparkContext.broadcast(pack(sketch.cells.reshape(-1)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Sketch(bits, unpack(sent.value).reshape(DEPTH, -1))
+        known = Packed(bits, sent.value)
         for b in slices(batches):
             (lang, langs), (source, sources) = _names(b.column("lang")), _names(b.column("source"))
             for row, term, n, terms, h, place, _ in _by_language(b, lang, langs):
@@ -147,7 +157,23 @@ def surviving_counts(docs: DataFrame, sketch: Sketch, least: int) -> DataFrame:
                     }
                 )
 
-    found = docs.mapInArrow(count, "lang string, source string, term string, n long, docs long")
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The same counts, added up over some hundred thousand rows before they leave Python."""
+        held: list[pa.RecordBatch] = []
+
+        def total() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
+            yield from t.select(["lang", "source", "term", "n_sum", "docs_sum"]).rename_columns(["lang", "source", "term", "n", "docs"]).to_batches(1 << 16)
+
+        for b in count(batches):
+            held.append(b)
+            if sum(x.num_rows for x in held) >= 400_000:
+                yield from total()
+                held.clear()
+        if held:
+            yield from total()
+
+    found = docs.mapInArrow(summed, "lang string, source string, term string, n long, docs long")
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -167,12 +193,12 @@ def gain(p: Column, q: Column) -> Column:
 def audit(docs: DataFrame, least: int = 3, top: int = 200, most_bits: int = 24) -> DataFrame:
     """(lang, source, part, item, value, rank) over (lang, source, text) rows without nulls; see op11_source_audit for the two parts.
 
-    The sketch has 64 cells a document in each row, 2**16 at least and 2**`most_bits` at most: 16 MB as it is sent, whatever the data. Beyond that more
+    The sketch has 16 cells a document in each row, 2**16 at least and 2**`most_bits` at most: 16 MB as it is sent, whatever the data. Beyond that more
     terms pass it and are shuffled; results stay exact. Sums over all kept terms are taken over the cells with a count alone: a term that a
     group lacks has the group's share of a zero, so terms in one of two groups are summed by count, and only terms in both meet.
     """
     rows = docs.count()
-    sketch = sketch_frequencies(docs, min(max(math.ceil(math.log2(64 * rows + 1)), 16), most_bits))
+    sketch = sketch_frequencies(docs, min(max(math.ceil(math.log2(16 * rows + 1)), 16), most_bits))
     counts = surviving_counts(docs, sketch, least)
     over = W.partitionBy("lang", "term")  # as many rows as the language has sources
     cells = counts.withColumns({"df": F.sum("docs").over(over), "all": F.sum("n").over(over)}).where(F.col("df") >= least)

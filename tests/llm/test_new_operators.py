@@ -74,6 +74,7 @@ def test_sketch_never_underestimates_and_drops_most(spark):
         s.add(h, np.where(times > i, 1, 0))
     merged = source_audit.Sketch(12, np.minimum(sum(s.cells.astype(int) for s in parts), source_audit.FULL).astype(np.uint8))
     assert (merged.estimate(h) >= times).all()
+    assert (source_audit.Packed(12, source_audit.pack(merged.cells.reshape(-1))).estimate(h) == merged.estimate(h)).all()
     assert (source_audit.unpack(source_audit.pack(merged.cells.reshape(-1))) == merged.cells.reshape(-1)).all()
     rows = [(f"common shared only{'abcdefghij'[i // 100]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i % 10]} common", "en", f"s{i % 3}") for i in range(1000)]
     d = spark.createDataFrame(rows, "text string, lang string, source string").repartition(7)
