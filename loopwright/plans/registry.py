@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("q_retrieval", "q_signals", "q_rules", "q_graph", "q_reports", "q_context")
+FAMILIES = ("q_retrieval", "q_signals", "q_rules", "q_graph", "q_reports", "q_context", "q_sources")
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
