@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loopwright.functions.text import bigrams, half_up, sim_jaccard, tok_bm25, tok_dup
 from loopwright.operators.iterate import cut
+from loopwright.operators.metric import nearest
 
 K1, B = 1.5, 0.75
 
@@ -127,38 +127,12 @@ def session_bm25(tf: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1) * F.lit(float(np.log(2)))
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, query: str = "query_id", item: str = "vec_id", floor: float | None = None, blocks: int | None = None, block_rows: int = 20_000) -> DataFrame:
-    """(query, item, sim, rank) of the k nearest items of each query but itself, by blocks of queries against blocks of items.
-
-    Both sides are cut into blocks of about `block_rows` by a hash; a block pair is one matrix product, of which each query keeps
-    its k best. Rows that travel grow with blocks, not with pairs, and a task holds two blocks whatever the number of vectors.
-    """
-    if blocks is None:
-        blocks = max(4, -(-max(queries.count(), vectors.count()) // block_rows))
-    side = lambda d, c: d.select(F.col(c).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e"), F.pmod(F.xxhash64(c), F.lit(blocks)).alias("b"))
-    every = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
-    q = side(queries, query).select("id", "e", F.col("b").alias("qb"), F.explode(every).alias("ib"))
-    i = side(vectors, item).select("id", "e", F.col("b").alias("ib"), F.explode(every).alias("qb"))
-
-    def near(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict = {"query": [], "item": [], "sim": []}
-        if left.num_rows and right.num_rows:
-            x, y = (np.array(t.column("e").to_pylist(), dtype=float) for t in (left, right))
-            a, b = left.column("id").to_numpy(), right.column("id").to_numpy()
-            n = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None]
-            s = np.divide(x @ y.T, n, out=np.zeros_like(n), where=n > 0)
-            s[a[:, None] == b[None]] = -np.inf
-            for r in range(len(a)):
-                best = np.lexsort((b, -np.floor(s[r] * 1e9 + 0.5)))[: k + 1]
-                best = best[np.isfinite(s[r][best])][:k]
-                out["query"] += [a[r]] * len(best)
-                out["item"] += b[best].tolist()
-                out["sim"] += s[r][best].tolist()
-        return pa.table(out, schema=pa.schema([("query", pa.int64()), ("item", pa.int64()), ("sim", pa.float64())]))
-
-    got = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInArrow(near, "query bigint, item bigint, sim double")
-    got = got.select(F.col("query").alias(query), F.col("item").alias("item"), "sim")
-    best = top_k(got, k, query, "item", "sim")
+def cosine_topk(queries: DataFrame | None, vectors: DataFrame, k: int, query: str = "query_id", item: str = "vec_id", floor: float | None = None, block_rows: int = 2048) -> DataFrame:
+    """(query, item, sim, rank) of the k nearest items of each query (None: of each item) but itself, exactly; blocks that pivots show to be too far are not compared (metric.nearest)."""
+    side = lambda d, c: d.select(F.col(c).cast("long").alias("id"), "embedding")
+    items = side(vectors, item)
+    got = nearest(None if queries is None else side(queries, query), items, k, block_rows)
+    best = top_k(got.select(F.col("query").alias(query), "item", "sim"), k, query, "item", "sim")
     return best if floor is None else best.where(F.col("sim") > floor)
 
 
@@ -169,7 +143,7 @@ def centroid(vectors: DataFrame, by: str) -> DataFrame:
 
 def knn_edges(vectors: DataFrame, k: int = 8, floor: float = 0.6, tiers: tuple[tuple[float, float], ...] = ((0.75, 1.0), (0.65, 0.6), (0.60, 0.3))) -> DataFrame:
     """(a, b, sim, strength): unordered pairs of which one side has the other among its k nearest at `floor` or more."""
-    near = cosine_topk(vectors.withColumnRenamed("vec_id", "query_id"), vectors, k).where(F.col("sim") >= floor)
+    near = cosine_topk(None, vectors, k).where(F.col("sim") >= floor)
     pairs = near.select(F.least("query_id", "item").alias("a"), F.greatest("query_id", "item").alias("b"), "sim").groupBy("a", "b").agg(F.max("sim").alias("sim"))
     strength = F.lit(tiers[-1][1])
     for least, value in reversed(tiers[:-1]):

@@ -12,6 +12,8 @@ from loopwright.operators import graph
 from loopwright.operators import learned as L
 from loopwright.operators import retrieval as T
 from loopwright.operators import rules as R
+from loopwright.operators.iterate import cut
+from loopwright.operators.metric import within
 from loopwright.plans import bindings as B
 from loopwright.plans import q_retrieval as Q
 from loopwright.plans import q_rules as QR
@@ -227,9 +229,9 @@ def pattern_diff(s: SparkSession, d: str) -> DataFrame:
 
 
 def near_dup_vectors(s: SparkSession, d: str) -> DataFrame:
-    """Clusters of vectors joined by neighbours of .45 cosine or more."""
-    v = B.table(s, d, "embeddings")
-    return graph.near_duplicate_clusters(T.knn_edges(v, 8, 0.45).select("a", "b", "sim"))
+    """Clusters of vectors joined by all pairs of .45 cosine or more."""
+    v = B.table(s, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), "embedding")
+    return graph.near_duplicate_clusters(cut(within(v, 0.45)))
 
 
 def verify_benchmark(s: SparkSession, d: str) -> DataFrame:
@@ -360,7 +362,7 @@ QUERIES = {
     "pattern_diff": (pattern_diff, f"WITH m AS ({Q.QUERIES['tfidf_terms'][1]}) SELECT domain, term, 'added' AS side FROM m WHERE rank > 5 UNION ALL SELECT DISTINCT domain, 'seed ' || domain, 'removed' FROM m"),
     "near_dup_vectors": (
         near_dup_vectors,
-        f"WITH RECURSIVE {Q._PAIRS}, e AS (SELECT least(query_id, item) AS a, greatest(query_id, item) AS b, max(sim) AS sim FROM nn WHERE rank <= 8 AND sim >= 0.45 GROUP BY 1, 2), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach AS (SELECT DISTINCT a AS id, a AS m FROM u UNION SELECT u.b, reach.m FROM reach JOIN u ON u.a = reach.id), c AS (SELECT id, min(m) AS component FROM reach GROUP BY 1) "
+        f"WITH RECURSIVE {Q._PAIRS}, e AS (SELECT least(query_id, item) AS a, greatest(query_id, item) AS b, max(sim) AS sim FROM nn WHERE sim >= 0.45::DOUBLE GROUP BY 1, 2), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach AS (SELECT DISTINCT a AS id, a AS m FROM u UNION SELECT u.b, reach.m FROM reach JOIN u ON u.a = reach.id), c AS (SELECT id, min(m) AS component FROM reach GROUP BY 1) "
         f"SELECT component, count(*) AS size, (SELECT {r('max(sim)')} FROM e JOIN c c2 ON e.a = c2.id WHERE c2.component = c.component) AS best FROM c GROUP BY component",
     ),
     "verify_benchmark": (verify_benchmark, "SELECT event_id::VARCHAR AS task_description, event_id % 3 <> 0 AS ok FROM events WHERE value / 50 >= 7"),

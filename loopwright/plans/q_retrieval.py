@@ -41,7 +41,7 @@ def bm25_list_filter(s: SparkSession, d: str) -> DataFrame:
 
 def knn_topk(s: SparkSession, d: str) -> DataFrame:
     v = B.table(s, d, "embeddings")
-    return _rank(R.cosine_topk(v.withColumnRenamed("vec_id", "query_id"), v, 5), "item", "sim")
+    return _rank(R.cosine_topk(None, v, 5), "item", "sim")
 
 
 def centroid_by_label(s: SparkSession, d: str) -> DataFrame:
