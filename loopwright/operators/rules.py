@@ -222,22 +222,6 @@ def domain_recall(retrieved: DataFrame, pool: DataFrame, wanted: DataFrame) -> D
     return d.select("query_id", "expected", "hits", half_up(F.coalesce(F.try_divide(F.col("hits").cast("double"), F.col("expected").cast("double")), F.lit(1.0)), 3).alias("recall"))
 
 
-def bootstrap_ci(values: DataFrame, column: str, rounds: int = 1000, seed: int = 7) -> DataFrame:
-    """One row (mean, low, high): Poisson bootstrap, so that every row is drawn in its own task and only sums travel."""
-    draws = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("i"), F.col("key")), F.lit(1_000_003)) / 1_000_003.0
-    count, p, acc = F.lit(0), 0.36787944117144233, 0.0
-    for k in range(9):
-        acc += p
-        count = count + (u >= acc).cast("int")
-        p /= k + 1
-    d = values.withColumn("key", F.xxhash64(*values.columns)).select(column, "key", draws.alias("i")).withColumn("times", count)
-    means = d.groupBy("i").agg((F.sum(F.col(column) * F.col("times")) / F.greatest(F.sum("times"), F.lit(1))).alias("m"))
-    q = means.agg(F.sort_array(F.collect_list("m")).alias("s"))
-    mean = values.agg(F.avg(column).alias("mean"))
-    return mean.join(q).select(half_up(F.col("mean"), 6).alias("mean"), half_up(F.get("s", F.lit(int(rounds * 0.025))), 6).alias("low"), half_up(F.get("s", F.lit(int(rounds * 0.975))), 6).alias("high"))
-
-
 def regression_gate(mean: float, watermark: float | None, drop: float = 0.05) -> tuple[bool, float]:
     """(passed, new watermark): a pass stores the new mean, even a lower one."""
     failed = watermark is not None and watermark - mean >= drop

@@ -82,6 +82,13 @@ def edge_weights(s: SparkSession, d: str) -> DataFrame:
     return G.adjust_edges(e, B.table(s, d, "part").where("p_size <= 25").select(F.col("p_partkey").alias("rule_id")), 8.0).select("src", "dst", "strength")
 
 
+def edge_weight_history(s: SparkSession, d: str) -> DataFrame:
+    """Co-occurrence edges after all rated sessions."""
+    e = cooccurrence_edges(s, d).withColumns({"relationship": F.lit("co_occurred"), "source": F.lit("session")})
+    h = B.injections(s, d).select("session_id", F.col("ts").cast("timestamp").alias("ts"), "rating", "rule_id")
+    return G.edge_history(e, h).select("src", "dst", "strength")
+
+
 def failure_groups(s: SparkSession, d: str) -> DataFrame:
     t = B.turns(s, d).where("role = 'user'").select(F.lit("all").alias("block"), (F.col("session_id") * 1000 + F.col("seq")).alias("id"), tok_fail(F.col("text")).alias("tokens"))
     g = G.leader_groups(t.withColumn("ordinal", F.col("id")), "block", 0.3, True)
@@ -140,9 +147,32 @@ _E = "e AS (SELECT src, dst, 'same_domain' AS rel, 0.5::DOUBLE AS strength, 'dom
 _COO = f"coo AS (SELECT a.rule_id AS src, b.rule_id AS dst, {r('sum(greatest(0.3::DOUBLE, greatest(1, least(10, a.rating)) / 10)) / (SELECT count(DISTINCT session_id) FROM inj)', 9)} AS strength FROM inj a JOIN inj b ON a.session_id = b.session_id AND a.rule_id < b.rule_id GROUP BY 1, 2 ORDER BY strength DESC, src, dst LIMIT 200)"
 _W = "wq AS (SELECT item_id AS query_id, [(['en', 'fr', 'de', 'es'])[item_id % 4 + 1], 'src' || (item_id % 20)] AS ds FROM benchmark)"
 
+#: The n-th rated session of every edge at a time.
+_HISTORY = sql(["inj"], "SELECT src, dst, arg_max(strength, k) AS strength FROM fold GROUP BY 1, 2", [
+    _COO,
+    "moved AS (SELECT rule_id, session_id, ts, CASE WHEN rating = floor(rating) OR rating >= 9 OR rating <= 1 THEN greatest(-0.15::DOUBLE, least(0.15::DOUBLE, round((rating - 5) * 0.05::DOUBLE, 2))) ELSE 0 END AS by_ FROM inj)",
+    "hit AS (SELECT src, dst, by_, row_number() OVER (PARTITION BY src, dst ORDER BY ts, session_id) AS k FROM (SELECT DISTINCT src, dst, session_id, ts, by_ FROM coo JOIN moved ON rule_id = src OR rule_id = dst WHERE by_ <> 0))",
+    f"""fold AS (SELECT src, dst, 0::BIGINT AS k, strength::DOUBLE AS strength FROM coo UNION ALL
+SELECT f.src, f.dst, h.k, {r("least(2.0::DOUBLE, greatest(0.1::DOUBLE, strength * (1 + by_)))", 4)} FROM fold f JOIN hit h ON h.src = f.src AND h.dst = f.dst AND h.k = f.k + 1)""",
+]).replace("WITH ", "WITH RECURSIVE ", 1)
+
+#: One unlabelled node a step, in the order of ids, ten times over; `lab` holds all labels by place.
+_PROPAGATE = f"""WITH RECURSIVE {_KNN},
+n AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS i, CASE WHEN vec_id % 3 = 0 THEN label::VARCHAR END AS label FROM embeddings),
+u AS (SELECT id, i, row_number() OVER (ORDER BY id) AS k FROM n WHERE label IS NULL),
+nb AS (SELECT u.k, u.i, n.i AS j, (a, b) AS eo FROM u JOIN (SELECT a AS x, b AS y, a, b FROM kn UNION ALL SELECT b, a, a, b FROM kn) ON x = u.id JOIN n ON n.id = y),
+st AS (SELECT 0::BIGINT AS step, (SELECT list(label ORDER BY i) FROM n) AS lab UNION ALL
+SELECT step + 1, CASE WHEN best IS NOT NULL AND lab[i] IS NULL THEN list_concat(lab[:i - 1], [best], lab[i + 1:]) ELSE lab END FROM
+(SELECT step, any_value(lab) AS lab, any_value(i) AS i, arg_min(vote, (-w, first)) FILTER (w >= 2 AND n >= 2) AS best FROM
+(SELECT step, vote, any_value(lab) AS lab, any_value(i) AS i, sum(1.5::DOUBLE) AS w, min(eo) AS first, sum(count(*)) OVER (PARTITION BY step) AS n FROM
+(SELECT st.step, st.lab, u.i, nb.eo, st.lab[nb.j] AS vote FROM st JOIN u ON u.k = st.step % (SELECT count(*) FROM u) + 1 LEFT JOIN nb ON nb.k = u.k AND st.lab[nb.j] IS NOT NULL WHERE st.step < 10 * (SELECT count(*) FROM u)) GROUP BY step, vote) GROUP BY step))
+SELECT id, lab[i] AS domain, CASE WHEN label IS NOT NULL THEN 'given' WHEN lab[i] IS NOT NULL THEN 'propagation' END AS source FROM n, (SELECT lab FROM st ORDER BY step DESC LIMIT 1)"""
+
+
 QUERIES = {
     "same_domain_edges": (same_domain_edges, sql([], "SELECT src, dst, 'same_domain' AS relationship, 0.5::DOUBLE AS strength, 'domain' AS source FROM sde", [_SDE])),
     "cooccurrence_edges": (cooccurrence_edges, sql(["inj"], "SELECT * FROM coo", [_COO])),
+    "edge_weight_history": (edge_weight_history, _HISTORY),
     "edge_weights": (edge_weights, sql(["inj"], f"SELECT src, dst, CASE WHEN src IN (SELECT p_partkey FROM part WHERE p_size <= 25) OR dst IN (SELECT p_partkey FROM part WHERE p_size <= 25) THEN {r('least(2.0::DOUBLE, greatest(0.1::DOUBLE, strength * 1.15::DOUBLE))', 4)} ELSE strength END AS strength FROM coo", [_COO])),
     "node_scores": (
         node_scores,
@@ -156,7 +186,7 @@ QUERIES = {
         [_SDE, _KNN, _E, "dom AS (SELECT d, count(*) AS n FROM (SELECT unnest([lang, source]) AS d FROM documents) GROUP BY 1)"]),
     ),
     "drift": (drift, "SELECT doc_id AS id, 'file-only' AS side FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT vec_id, 'node-only' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)"),
-    "label_propagation": (label_propagation, None),
+    "label_propagation": (label_propagation, _PROPAGATE),
     "near_dup_clusters": (
         near_dup_clusters,
         f"WITH RECURSIVE dup AS ({Q.QUERIES['lexical_duplicates'][1]}), u AS (SELECT a, b FROM dup UNION ALL SELECT b, a FROM dup), reach AS (SELECT DISTINCT a AS id, a AS m FROM u UNION SELECT u.b, reach.m FROM reach JOIN u ON u.a = reach.id), c AS (SELECT id, min(m) AS component FROM reach GROUP BY 1) SELECT component, count(*) AS size, (SELECT {r('max(sim)')} FROM dup JOIN c c2 ON dup.a = c2.id WHERE c2.component = c.component) AS best FROM c GROUP BY component",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loopwright.functions.text import half_up, tok_bm25
 from loopwright.operators import retrieval as T
 from loopwright.operators import rules as R
+from loopwright.operators.ordered import bootstrap_ci as bootstrap
 from loopwright.plans import bindings as B
 from loopwright.plans import q_retrieval as Q
 from loopwright.plans.bindings import BM25, r, sql
@@ -131,7 +132,7 @@ def domain_recall(s: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
-    return R.bootstrap_ci(recall_at_k(s, d).select("query_id", "rr"), "rr")
+    return bootstrap(recall_at_k(s, d).select("query_id", "rr"), "rr")
 
 
 def rrf_grid(s: SparkSession, d: str) -> DataFrame:
