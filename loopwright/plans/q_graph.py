@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +13,17 @@ from loopwright.operators import retrieval as T
 from loopwright.plans import bindings as B
 from loopwright.plans import q_retrieval as Q
 from loopwright.plans.bindings import BM25, r, sql
+from loopwright.operators.iterate import cut, shared_folder
 from loopwright.sources import logs as L
+from loopwright.streaming import state
 from loopwright.streaming import streams as S
 
 
+def _folder(s: SparkSession, name: str) -> str:
+    cut(s.range(1))  # sets the folder where the session has none
+    return f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+
+
 def _edges(s: SparkSession, d: str) -> DataFrame:
     """Same-domain edges of documents and nearest-vector edges."""
     near = Q.knn_edges(s, d).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("reinforces").alias("relationship"), "strength", F.lit("embedding").alias("source"))
@@ -130,8 +139,25 @@ def stream_interval_join(s: SparkSession, d: str) -> DataFrame:
 
 
 def stream_rule_stats(s: SparkSession, d: str) -> DataFrame:
+    """The last state of every rule: users as rules, purchases as ratings, a life of ten days."""
     r_ = _rate(s, d).where("event_type = 'purchase'").select(F.col("user_id").alias("rule_id"), "ts", F.col("event_id").alias("session_id"), (F.col("value") / 50 + 1).alias("rating"))
-    return S.latest(S.to_table(S.rule_stats(r_), "update"), "rule_id", "n")
+    last = S.latest(S.to_table(state.rule_stats(r_, life=10, late="1 hour").withColumn("order", F.struct("n", "expired")), "append"), "rule_id", "order").drop("order")
+    return last.withColumn("decayed", half_up(F.col("decayed"), 6))
+
+
+def stream_compaction(s: SparkSession, d: str) -> DataFrame:
+    """Orders as rated events in four batches by time, every fortieth a batch late: closed months, and how many rows came too late."""
+    o = B.table(s, d, "orders")
+    e = o.select(F.col("o_orderdate").cast("timestamp").alias("ts"), (2.0 * F.substring("o_orderpriority", 1, 1).cast("double")).alias("rating"), (F.col("o_orderkey") % 40 == 0).cast("int").alias("held"))
+    first, last = e.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    quarter = F.floor(4 * ((F.unix_micros("ts") - F.lit(first or 0)) / F.lit((last or 0) - (first or 0) + 1)))
+    e = cut(e.withColumn("batch", F.least(F.lit(3), quarter + F.col("held"))))
+    c = state.Compactor(s, _folder(s, "compaction"), "1 day")
+    for i in range(4):
+        c.cycle(e.where(F.col("batch") == i), i)
+    months = c.monthly().select("month", "weeks", "n", "mean")
+    late = c.late().agg(F.lit("late").alias("month"), F.lit(None).cast("bigint").alias("weeks"), F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("mean"))
+    return months.union(late)
 
 
 def stream_late(s: SparkSession, d: str) -> DataFrame:
@@ -169,6 +195,21 @@ SELECT step + 1, CASE WHEN best IS NOT NULL AND lab[i] IS NULL THEN list_concat(
 SELECT id, lab[i] AS domain, CASE WHEN label IS NOT NULL THEN 'given' WHEN lab[i] IS NOT NULL THEN 'propagation' END AS source FROM n, (SELECT lab FROM st ORDER BY step DESC LIMIT 1)"""
 
 
+_RULE_STATE = f"""WITH p AS (SELECT user_id AS rule_id, ts, event_id::VARCHAR AS sid, value / 50 + 1 AS rating FROM events WHERE event_type = 'purchase'),
+k AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY ts DESC, sid DESC) - 1 AS age FROM p),
+w AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM p)
+SELECT rule_id, count(*) AS n, {r("sum(rating * exp(-ln(2) / 10 * age)) FILTER (age < 20) / sum(exp(-ln(2) / 10 * age)) FILTER (age < 20)")} AS decayed, count(*) FILTER (rating >= 7) AS high, count(*) FILTER (rating <= 4) AS low,
+max(ts) AS last_seen, date_trunc('millisecond', max(ts)) + INTERVAL 10 DAY <= any_value(wm) AS expired FROM k, w GROUP BY 1"""
+
+#: A row is late if its week was closed by what the batches before its own had brought.
+_COMPACTION = f"""WITH o AS (SELECT o_orderdate AS ts, 2.0::DOUBLE * CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS rating, (o_orderkey % 40 = 0)::INT AS held FROM orders),
+b AS (SELECT ts, rating, least(3, floor(4 * ((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM o)) / ((SELECT max(epoch_us(ts)) - min(epoch_us(ts)) FROM o) + 1)::DOUBLE))::INT + held) AS batch FROM o),
+m AS (SELECT batch + 1 AS batch, max(max(ts)) OVER (ORDER BY batch) - INTERVAL 1 DAY AS wm FROM b GROUP BY batch),
+x AS (SELECT ts, rating, date_trunc('week', ts) AS week, coalesce(date_trunc('week', ts) + INTERVAL 7 DAY <= wm, false) AS late FROM b LEFT JOIN m USING (batch)),
+e AS (SELECT max(wm) AS wm FROM m)
+SELECT strftime(week, '%Y-%m') AS month, count(DISTINCT week) AS weeks, count(*) AS n, {r("avg(rating)")} AS mean FROM x, e WHERE NOT late AND date_trunc('week', last_day(week)) + INTERVAL 7 DAY <= wm GROUP BY 1
+UNION ALL SELECT 'late', NULL, count(*) FILTER (late), NULL FROM x"""
+
 QUERIES = {
     "same_domain_edges": (same_domain_edges, sql([], "SELECT src, dst, 'same_domain' AS relationship, 0.5::DOUBLE AS strength, 'domain' AS source FROM sde", [_SDE])),
     "cooccurrence_edges": (cooccurrence_edges, sql(["inj"], "SELECT * FROM coo", [_COO])),
@@ -201,6 +242,7 @@ QUERIES = {
     "stream_dedup": (stream_dedup, "SELECT DISTINCT event_id, event_type FROM events"),
     "stream_weekly_digest": (stream_weekly, f"SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(*) AS n, {r('avg(value)')} AS mean FROM events WHERE event_type = 'purchase' GROUP BY 1"),
     "stream_interval_join": (stream_interval_join, "WITH z AS (SELECT event_id, ts, event_type, CAST(json_extract(props, '$.k') AS BIGINT) % 20 AS skill FROM events) SELECT s.skill, s.event_id AS left_id, c.event_id AS right_id FROM z s JOIN z c ON s.skill = c.skill AND c.ts BETWEEN s.ts AND s.ts + INTERVAL 30 MINUTES WHERE s.event_type = 'signup' AND c.event_type = 'click'"),
-    "stream_rule_stats": (stream_rule_stats, None),
+    "stream_rule_stats": (stream_rule_stats, _RULE_STATE),
+    "stream_compaction": (stream_compaction, _COMPACTION),
     "cursor_scan": (stream_late, "SELECT event_id, ts FROM (SELECT event_id, ts, max(ts) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM events) WHERE m IS NULL OR ts > m"),
 }

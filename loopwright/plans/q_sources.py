@@ -12,6 +12,7 @@ from loopwright.functions.text import half_up
 from loopwright.operators.iterate import cut, shared_folder
 from loopwright.plans import bindings as B
 from loopwright.plans.bindings import r, sql
+from loopwright.sources import keyed as K
 from loopwright.sources import traces as T
 
 
@@ -46,10 +47,49 @@ def eval_traces(s: SparkSession, d: str) -> DataFrame:
     return counts.select("name", "found", F.coalesce("to_judge", F.lit(0)).alias("to_judge"), F.coalesce("n_scores", F.lit(0)).alias("n_scores"), "mean")
 
 
+def vector_cache(s: SparkSession, d: str) -> DataFrame:
+    """Documents as rule files, embedded (by their length) in two goes: four fifths first, then all, every third changed."""
+    t = K.KeyedTable(s, _folder(s, "vectors"), K.VECTORS)
+    docs = B.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("body"), "doc_id")
+    prefix = lambda x: x.select("id", F.concat(F.lit("about "), "id").alias("prefix"))
+    embed = lambda x: x.select("id", F.array(F.length("text").cast("double")).alias("vector"))
+    K.embed_changed(t, docs.where("doc_id % 5 <> 0").select("id", "body"), prefix, embed)
+    now = docs.select("id", F.when(F.col("doc_id") % 3 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body")).alias("body"))
+    K.embed_changed(t, now, prefix, embed)
+    return t.read().select("id", "hash", "prefix", F.col("vector")[0].alias("n"))
+
+
+def rule_registry(s: SparkSession, d: str) -> DataFrame:
+    """Parts as learned rules: synced into the registry, then some evicted; what became of each, and what the registry and the lists hold."""
+    p = B.table(s, d, "part").withColumn("id", F.concat(F.lit("p"), "p_partkey"))
+    reg = K.KeyedTable(s, _folder(s, "registry"), K.RULES)
+    lists = K.KeyedTable(s, _folder(s, "lists"), "id string, list string, line string")
+    K.sync_rules(reg, p.select("id", F.col("p_name").alias("text")), F.filter(F.split("text", " "), lambda w: F.length(w) > 5))
+    lists.merge(p.where("p_size <= 30").select("id", F.when(F.col("p_size") <= 10, "critical").otherwise("learned").alias("list"), F.concat(F.lit("- "), "p_name").alias("line")))
+    reason = F.when(F.col("p_size") % 4 == 0, "stale for 90 days").when(F.col("p_size") % 4 == 1, "noise 0.4").when(F.col("p_size") % 4 == 2, "critical-stale").otherwise("avg 2.1")
+    c = p.where("p_partkey % 3 = 0").select("id", reason.alias("reason"), (F.col("p_partkey") % 2 == 0).alias("confirm"))
+    done = K.apply_evictions(reg, lists, c, F.lit("2024-01-31"))
+    held = reg.read().select("id", F.array_join("domains", ",").alias("domains"))
+    return held.join(done, "id", "full").join(lists.read(), "id", "full").select("id", "domains", "outcome", "trigger", "list", "line")
+
+
 _TRACES = """tr AS (SELECT session_id || ':' || seq AS id, 'kind-' || (session_id % 4) AS name, input, text AS output, session_id, 3600 * session_id + 60 * seq AS sec FROM
 (SELECT *, lag(text) OVER w AS input, lag(role) OVER w AS said FROM turns WINDOW w AS (PARTITION BY session_id ORDER BY seq)) WHERE role = 'assistant' AND said = 'user')"""
 
 QUERIES = {
+    "vector_cache": (
+        vector_cache,
+        "SELECT id, md5(body) AS hash, 'about ' || id AS prefix, length('about ' || id || chr(10) || body)::DOUBLE AS n FROM (SELECT doc_id::VARCHAR AS id, coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN '!' ELSE '' END AS body FROM documents)",
+    ),
+    "rule_registry": (
+        rule_registry,
+        """WITH p AS (SELECT 'p' || p_partkey AS id, *, list_filter(string_split(p_name, ' '), lambda w: length(w) > 5) AS ws, p_partkey % 3 = 0 AS asked, p_partkey % 3 = 0 AND p_partkey % 2 <> 0 AS gone,
+CASE WHEN p_size <= 10 THEN 'critical' WHEN p_size <= 30 THEN 'learned' END AS old FROM part),
+q AS (SELECT *, CASE WHEN gone AND old = 'learned' THEN NULL WHEN gone AND old = 'critical' THEN 'learned' ELSE old END AS list FROM p)
+SELECT id, CASE WHEN NOT gone THEN CASE WHEN len(ws) > 0 THEN array_to_string(ws, ',') ELSE 'testing' END END AS domains, CASE WHEN asked THEN CASE WHEN NOT gone THEN 'skipped' WHEN old = 'critical' THEN 'demoted' ELSE 'evicted' END END AS outcome,
+CASE WHEN gone THEN ['never-helped', 'high-injection-low-value', 'never-helped', 'low-avg-high-volume'][p_size % 4 + 1] END AS trigger, list,
+CASE WHEN list IS NOT NULL THEN '- ' || p_name || CASE WHEN gone AND old = 'critical' THEN ' <!-- demoted from Critical on 2024-01-31 -->' ELSE '' END END AS line FROM q""",
+    ),
     "eval_traces": (
         eval_traces,
         sql(["turns"], f"""SELECT name, count(DISTINCT f.id) AS found, count(DISTINCT f.id) FILTER (session_id % 3 <> 0) AS to_judge, count(v) AS n_scores, {r("avg(v)")} AS mean FROM f LEFT JOIN sc USING (id) GROUP BY 1""", [

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,34 +56,9 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, minutes: int, lat
     return a.join(b, near).select(F.col("k1").alias(key), "left_id", "right_id")
 
 
-def rule_stats(injections: DataFrame, keep: int = 20) -> DataFrame:
-    """(rule_id, n, decayed, high, low, last_seen) by rule, updated with each batch; the state is the last ratings and three counts."""
-    import math
-
-    import pandas as pd
-
-    out = "rule_id bigint, n bigint, decayed double, high bigint, low bigint, last_seen timestamp"
-    state = "ratings array<double>, n bigint, high bigint, low bigint, last_seen timestamp"
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        ratings, n, high, low, last = held.get if held.exists else ([], 0, 0, 0, None)
-        rows = pd.concat(list(batches)).sort_values(["ts", "session_id"])
-        rows = rows[rows.rating.notna() & (rows.rating != 0)]
-        ratings = [*ratings, *rows.rating.tolist()][-keep:]
-        n, high, low = n + len(rows), high + int((rows.rating >= 7).sum()), low + int((rows.rating <= 4).sum())
-        if len(rows):
-            newest = rows.ts.max().to_pydatetime()
-            last = newest if last is None else max(last, newest)
-        held.update((ratings, n, high, low, last))
-        w = [math.exp(-math.log(2) / 10 * a) for a in range(len(ratings) - 1, -1, -1)]
-        decayed = sum(x * y for x, y in zip(ratings, w, strict=True)) / sum(w) if w else None
-        yield pd.DataFrame({"rule_id": [key[0]], "n": [n], "decayed": [decayed], "high": [high], "low": [low], "last_seen": [last]})
-
-    return injections.groupBy("rule_id").applyInPandasWithState(update, out, state, "update", "NoTimeout")
-
-
-def retain(events: DataFrame, ts: str = "ts", days: int = 14) -> DataFrame:
-    return events.withWatermark(ts, f"{days} days")
+def retain(events: DataFrame, as_of: F.Column, ts: str = "ts", days: int = 14) -> DataFrame:
+    """Events of the last `days`; what is older does not go on."""
+    return events.where(F.unix_seconds(F.col(ts).cast("timestamp")) >= F.unix_seconds(as_of.cast("timestamp")) - days * 86_400)
 
 
 def fresh(rows: DataFrame, as_of: F.Column, hours: int = 24, ts: str = "ts") -> DataFrame:

@@ -96,3 +96,80 @@ def test_scores_sent_twice_count_once(spark, tmp_path):
     assert [r.ts for r in rows if r.type == "trace-create" and r.ts.day == 1 and r.value is None] == [datetime(2024, 1, 1)] * 2
     left = T.unscored(spark.createDataFrame([("a",), ("c",)], "id string"), T.sent_scores(spark, path))
     assert [r.id for r in left.collect()] == ["c"]
+
+
+def test_merges_touch_the_buckets_they_must(spark, tmp_path):
+    from loopwright.sources.keyed import KeyedTable
+
+    t = KeyedTable(spark, str(tmp_path / "kv"), "id string, v long", buckets=16)
+    rows = lambda pairs: spark.createDataFrame(pairs, "id string, v long")
+    whole = lambda: {r.id: r.v for r in t.read().collect()}
+    assert t.read().count() == 0 and t.merge(rows([]))["version"] == -1
+    assert t.merge(rows([(f"k{i}", i) for i in range(100)]))["put"] == 100
+    before = t.manifest()["files"]
+    done = t.merge(rows([("k1", 1), ("k2", 77), ("k2", 5), ("new", None), (None, 3)]))
+    assert (done["put"], done["version"]) == (2, 1) and done["written"] <= 2 and whole() == {f"k{i}": i for i in range(100)} | {"k2": 77, "new": None}
+    after = t.manifest()["files"]
+    assert sum(after[b] != before.get(b) for b in after) == done["written"]
+    assert t.merge(rows([("k1", 1)]), rows([("nobody", 0)]))["version"] == 1  # nothing to do, no version
+    t.merge(gone=rows([(f"k{i}", 0) for i in range(100)]))
+    assert whole() == {"new": None} and {r.v for r in t.read(0).collect()} == set(range(100))
+    assert {r.id for r in t.lookup(rows([("new", 0), ("k3", 0)])).collect()} == {"new"}
+    assert t.vacuum(1) == 2 and whole() == {"new": None}
+    assert KeyedTable(spark, str(tmp_path / "kv"), "id string, v long", buckets=4).buckets == 16
+
+
+def test_a_merge_that_fails_before_the_swap_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    from loopwright.sources.keyed import KeyedTable
+
+    t = KeyedTable(spark, str(tmp_path / "kv"), "id string, v long", buckets=4)
+    rows = lambda pairs: spark.createDataFrame(pairs, "id string, v long")
+    t.merge(rows([("a", 1), ("b", 2)]))
+    swap = t._swap
+    monkeypatch.setattr(t, "_swap", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        t.merge(rows([("a", 9)]))
+    assert {(r.id, r.v) for r in t.read().collect()} == {("a", 1), ("b", 2)}
+    monkeypatch.setattr(t, "_swap", swap)
+    t.merge(rows([("a", 9)]))
+    assert {(r.id, r.v) for r in t.read().collect()} == {("a", 9), ("b", 2)}
+    with pytest.raises(RuntimeError, match="another writer"):
+        t._swap(1, {})
+
+
+def test_unchanged_bodies_are_not_embedded_again(spark, tmp_path):
+    from loopwright.sources import keyed
+
+    t = keyed.KeyedTable(spark, str(tmp_path / "vectors"), keyed.VECTORS, buckets=4)
+    seen = []
+
+    def prefix(d):
+        seen.extend(r.id for r in d.collect())
+        return d.select("id", F.when(F.col("body") != "bad", F.concat(F.lit("about "), "id")).alias("prefix"))
+
+    embed = lambda d: d.select("id", F.array(F.length("text").cast("double")).alias("vector"))
+    files = lambda pairs: spark.createDataFrame(pairs, "id string, body string")
+    done = keyed.embed_changed(t, files([("a", "one"), ("b", "two"), ("c", "bad")]), prefix, embed)
+    assert (done["put"], done["failed"], done["skipped"]) == (2, 1, 0) and sorted(seen) == ["a", "b", "c"]
+    seen.clear()
+    done = keyed.embed_changed(t, files([("a", "one"), ("b", "longer"), ("c", "fine")]), prefix, embed)
+    assert (done["put"], done["skipped"]) == (2, 1) and sorted(seen) == ["b", "c"]
+    assert {r.id: r.vector[0] for r in t.read().collect()} == {"a": 11.0, "b": 14.0, "c": 12.0}
+    keyed.embed_changed(t, files([("b", "longer")]), prefix, embed)
+    assert {r.id for r in t.read().collect()} == {"b"}
+
+
+def test_evictions_leave_registry_and_lists(spark, tmp_path):
+    from loopwright.sources import keyed
+
+    reg = keyed.KeyedTable(spark, str(tmp_path / "reg"), keyed.RULES, buckets=4)
+    lists = keyed.KeyedTable(spark, str(tmp_path / "lists"), "id string, list string, line string", buckets=4)
+    rules = spark.createDataFrame([("r1", "deploy it"), ("r2", "x"), ("r3", "y"), ("r4", "z")], "id string, text string")
+    keyed.sync_rules(reg, rules, F.when(F.col("text") == "deploy it", F.array(F.lit("deployment"))).otherwise(F.array().cast("array<string>")))
+    assert {r.id: r.domains for r in reg.read().collect()} == {"r1": ["deployment"], "r2": ["testing"], "r3": ["testing"], "r4": ["testing"]}
+    lists.merge(spark.createDataFrame([("r1", "critical", "- **r1:** deploy it"), ("r2", "learned", "- **r2:** x"), ("r4", "learned", "l4")], "id string, list string, line string"))
+    c = spark.createDataFrame([("r1", "critical-stale 9", False), ("r2", "noise", None), ("r3", "avg low", False), ("r4", "stale", True)], "id string, reason string, confirm boolean")
+    got = {r.id: (r.outcome, r.trigger) for r in keyed.apply_evictions(reg, lists, c, F.lit("2026-01-05")).collect()}
+    assert got == {"r1": ("demoted", "never-helped"), "r2": ("evicted", "high-injection-low-value"), "r3": ("evicted", "low-avg-high-volume"), "r4": ("skipped", None)}
+    assert {r.id for r in reg.read().collect()} == {"r4"}
+    assert {r.id: (r.list, r.line) for r in lists.read().collect()} == {"r1": ("learned", "- **r1:** deploy it <!-- demoted from Critical on 2026-01-05 -->"), "r4": ("learned", "l4")}
