@@ -72,7 +72,7 @@ def unpack(data: bytes) -> np.ndarray:
 def document_terms(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
     """For some megabytes of whole texts at a time: row, term and count of each distinct term of a document, and the terms by number."""
     data, offsets = column_bytes(texts)
-    for i, j in runs(offsets, 1 << 22):
+    for i, j in runs(offsets, 1 << 21):
         d, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         start, end, row = word_bounds(d, off, GAP)
         if not len(start):
@@ -158,7 +158,7 @@ def surviving_counts(docs: DataFrame, sketch: Sketch, least: int) -> DataFrame:
                 )
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The same counts, added up over some hundred thousand rows before they leave Python."""
+        """The same counts, added up over a hundred thousand rows before they leave Python."""
         held: list[pa.RecordBatch] = []
 
         def total() -> Iterator[pa.RecordBatch]:
@@ -167,7 +167,7 @@ def surviving_counts(docs: DataFrame, sketch: Sketch, least: int) -> DataFrame:
 
         for b in count(batches):
             held.append(b)
-            if sum(x.num_rows for x in held) >= 400_000:
+            if sum(x.num_rows for x in held) >= 100_000:
                 yield from total()
                 held.clear()
         if held:
