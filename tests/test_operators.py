@@ -277,3 +277,22 @@ def test_dense_claims_in_many_blocks_match_one_pass(spark):
     assert sorted((r.entry_id, r.session_id) for r in found.collect()) == want
     empty = a.limit(0)
     assert S.skill_conversion(empty, empty).count() == 0
+
+
+def test_fixed_leaders_in_many_tasks_match_one_pass(spark):
+    import random
+
+    rng = random.Random(9)
+    data = [(f"b{i % 2}", i, 1000 - i, [rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(rng.randrange(0, 7))]) for i in range(160)]
+    d = spark.createDataFrame(data, "block string, ordinal long, id long, tokens array<string>")
+    for least in (0.4, 0.75):
+        want, groups = {}, {}
+        for block, _, i, tokens in data:
+            mine = groups.setdefault(block, [])
+            hit = next((x for x, t in mine if tokens and t and sum(w in t for w in tokens) / min(len(tokens), len(t)) >= least), None)
+            if hit is None:
+                mine.append((i, tokens))
+            want[i] = i if hit is None else hit
+        for rows_per_task in (50_000, 15):
+            got = {r.id: r.leader for r in G.leader_groups(d, "block", least, False, rows_per_task).collect()}
+            assert got == want
