@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from loopwright.functions.classifiers import REBUTTALS, cohort
 from loopwright.functions.text import half_up
+from loopwright.operators.graph import pairs_in_sessions
 from loopwright.operators.matching import first_of_own, match_once
 
 
@@ -161,10 +162,8 @@ def session_composite(snapshot: DataFrame, sentiment: DataFrame) -> DataFrame:
 
 
 def skill_cooccurrence(skills: DataFrame) -> DataFrame:
-    """(a, b, sessions): sessions that used both, each unordered pair once."""
-    s = skills.select("session_id", "skill").distinct()
-    x, y = s.withColumnRenamed("skill", "a"), s.withColumnRenamed("skill", "b")
-    return x.join(y, "session_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("sessions"))
+    """(a, b, sessions): sessions that used both, each unordered pair once; sessions of very many skills are met in tiles."""
+    return pairs_in_sessions(skills, "skill").groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.count(F.lit(1)).alias("sessions"))
 
 
 def skill_usage(skills: DataFrame, ratings: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from loopwright.plans import bindings as B
 from loopwright.plans.bindings import r, sql
 from loopwright.sources import keyed as K
 from loopwright.sources import traces as T
+from loopwright.sources import transcripts as X
 
 
 def _folder(s: SparkSession, name: str) -> str:
@@ -73,10 +74,44 @@ def rule_registry(s: SparkSession, d: str) -> DataFrame:
     return held.join(done, "id", "full").join(lists.read(), "id", "full").select("id", "domains", "outcome", "trigger", "list", "line")
 
 
+def transcript_signals(s: SparkSession, d: str) -> DataFrame:
+    """Conversations written as three transcripts of nested JSON, some lines broken: ratings, corrections with what was said before, tools and skills."""
+    c = B.table(s, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    rate = F.concat(F.lit("ok /rate M:8 S:7 Q:"), F.col("turn") % 10, F.lit(" "), F.col("text"))
+    said = F.when(F.col("turn") % 3 == 0, rate).when(F.col("turn") % 3 == 1, F.concat(F.lit("No, "), "text")).otherwise(F.col("text"))
+    block = lambda t: F.struct(F.lit("text").alias("type"), t.alias("text"))
+    plain = F.to_json(F.struct(F.lit("user").alias("type"), F.struct(said.alias("content")).alias("message")))
+    listed = F.to_json(F.struct(F.lit("user").alias("type"), F.array(F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text")), block(said)).alias("content")))
+    tool = F.to_json(F.struct(F.lit("tool_use").alias("type"), F.when(F.col("turn") % 4 == 0, "Skill").otherwise("Edit").alias("name"), F.struct(F.concat(F.lit("s"), F.col("turn") % 3).alias("skill")).alias("input")))
+    answer = F.concat(F.lit('{"type":"assistant","message":{"content":['), F.when(F.col("turn") % 5 > 0, F.concat(F.to_json(block(F.col("text"))), F.lit(","))).otherwise(""), tool, F.lit("]}}"))
+    prompt = F.when(F.col("conv_id") % 4 > 0, F.to_json(F.struct(F.lit("last-prompt").alias("type"), F.concat(F.lit("c"), "conv_id").alias("sessionId")))).otherwise('{"type":"last-prompt"}')
+    user = F.when(F.col("conv_id") % 11 == 10, "broken {").when(F.col("conv_id") % 2 == 0, plain).otherwise(listed)
+    value = F.when(F.col("role") == "system", prompt).when(F.col("role") == "user", user).otherwise(answer)
+    lines = c.select(F.concat(F.lit("f"), F.col("conv_id") % 3).alias("file"), (F.col("conv_id") * 1000 + F.col("turn")).alias("line"), value.alias("value"))
+    x = X.signals(lines, 25)
+    row = lambda name, d, session, key, value, n: d.select(F.lit(name).alias("part"), session.alias("session_id"), key.alias("key"), value.alias("value"), n.cast("long").alias("n"))
+    none, no = F.lit(""), F.lit(0)
+    out = row("rating", x["ratings"], F.col("session_id"), F.col("score"), none, F.col("line")).union(row("correction", x["corrections"], F.col("session_id"), F.col("phrase"), F.col("context"), F.col("line")))
+    out = out.union(row("tool", x["tools"], none, F.col("tool"), none, F.col("n"))).union(row("skill", x["skills"], F.col("session_id"), F.col("skill"), none, F.col("line")))
+    return out.union(row("scanned", x["files"], none, none, none, F.col("scanned"))).union(row("skipped", x["files"], none, none, none, F.col("skipped") + no))
+
+
 _TRACES = """tr AS (SELECT session_id || ':' || seq AS id, 'kind-' || (session_id % 4) AS name, input, text AS output, session_id, 3600 * session_id + 60 * seq AS sec FROM
 (SELECT *, lag(text) OVER w AS input, lag(role) OVER w AS said FROM turns WINDOW w AS (PARTITION BY session_id ORDER BY seq)) WHERE role = 'assistant' AND said = 'user')"""
 
+_TRANSCRIPTS = """WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS t, 'f' || (conv_id % 3) AS file, conv_id * 1000 + turn AS line FROM conversations),
+n AS (SELECT file, count(*) AS n FROM c GROUP BY 1),
+l AS (SELECT *, CASE WHEN role = 'system' AND conv_id % 4 > 0 THEN 'c' || conv_id END AS named, CASE WHEN role NOT IN ('system', 'user') AND turn % 5 > 0 THEN t END AS said,
+CASE WHEN role = 'user' AND conv_id % 11 <> 10 THEN CASE turn % 3 WHEN 0 THEN 'ok /rate M:8 S:7 Q:' || (turn % 10) || ' ' || t WHEN 1 THEN 'No, ' || t ELSE t END END AS ask FROM c JOIN n USING (file) WHERE n > 25),
+x AS (SELECT *, coalesce(last_value(named IGNORE NULLS) OVER w, file) AS session_id, coalesce(last_value(said IGNORE NULLS) OVER w, '') AS before FROM l WINDOW w AS (PARTITION BY file ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT 'rating' AS part, session_id, regexp_extract(ask, '(?i)M:\\d+\\s+S:\\d+\\s+Q:\\d+') AS key, '' AS value, line AS n FROM x WHERE regexp_matches(ask, '(?i)M:\\d+\\s+S:\\d+\\s+Q:\\d+')
+UNION ALL SELECT 'correction', session_id, substr(ask, 1, 200), substr(before, 1, 200), line FROM x WHERE NOT regexp_matches(lower(trim(ask)), '^(no problem|no worries|not bad|no rush|no issue|no need|not a problem)') AND regexp_matches(lower(trim(ask)), '^(no |no,|wrong|stop|don''t|dont|not that|fix|undo|revert|that broke)')
+UNION ALL SELECT 'tool', '', CASE WHEN turn % 4 = 0 THEN 'Skill' ELSE 'Edit' END, '', count(*) FROM x WHERE role NOT IN ('system', 'user') GROUP BY 3
+UNION ALL SELECT 'skill', session_id, 's' || (turn % 3), '', line FROM x WHERE role NOT IN ('system', 'user') AND turn % 4 = 0
+UNION ALL SELECT 'scanned', '', '', '', count(*) FILTER (n > 25) FROM n UNION ALL SELECT 'skipped', '', '', '', count(*) FILTER (n <= 25) FROM n"""
+
 QUERIES = {
+    "transcript_signals": (transcript_signals, _TRANSCRIPTS),
     "vector_cache": (
         vector_cache,
         "SELECT id, md5(body) AS hash, 'about ' || id AS prefix, length('about ' || id || chr(10) || body)::DOUBLE AS n FROM (SELECT doc_id::VARCHAR AS id, coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN '!' ELSE '' END AS body FROM documents)",

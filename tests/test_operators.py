@@ -296,3 +296,35 @@ def test_fixed_leaders_in_many_tasks_match_one_pass(spark):
         for rows_per_task in (50_000, 15):
             got = {r.id: r.leader for r in G.leader_groups(d, "block", least, False, rows_per_task).collect()}
             assert got == want
+
+
+def test_pairs_of_hot_sessions_come_in_tiles_and_weak_ones_are_not_summed(spark):
+    import random
+
+    rng = random.Random(12)
+    held = [(i, r, None if i % 7 == 0 else float(1 + i % 10)) for i in range(60) for r in rng.sample(range(40), rng.randrange(0, 9))]
+    held += [(100, r, 9.0) for r in range(40)] + [(101, 5, 9.0), (101, 5, 2.0), (101, 999, 3.0)]
+    s = spark.createDataFrame(held, "session_id long, rule_id long, rating double")
+    n = spark.createDataFrame([(i,) for i in range(40)], "id long")
+    rules, best = {}, {}
+    for i, r, x in held:
+        rules.setdefault(i, set()).update({r} & set(range(40)))
+        best[i] = max(best.get(i, 0.0), x or 0.0)
+    want = {}
+    for i, rs in rules.items():
+        w = max(0.3, min(10, max(1, best[i] or 5)) / 10)
+        for a in rs:
+            for b in rs:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + w
+    for k, heavy, tile in ((200, 64, 512), (30, 10, 4), (10, 8, 512)):
+        got = {(r.src, r.dst): r.strength for r in G.cooccurrence_edges(s, n, k=k, heavy=heavy, tile=tile).collect()}
+        top = sorted(want.items(), key=lambda x: (-math.floor(x[1] / len(rules) * 1e9 + 0.5), x[0]))[:k]
+        assert set(got) == {p for p, _ in top} and all(abs(got[p] - w / len(rules)) < 1e-8 for p, w in top)
+    pairs = G.pairs_in_sessions(s, "rule_id", tile=4).where("session_id = 100")
+    assert pairs.count() == 40 * 39 // 2 == pairs.select("src", "dst").distinct().count()
+    # one session of a hundred thousand rules that stand nowhere else: no pair of theirs can be among the best
+    hot = spark.range(1000, 101_000).select(F.lit(500).cast("long").alias("session_id"), F.col("id").alias("rule_id"), F.lit(10.0).alias("rating"))
+    every = n.union(spark.range(1000, 101_000))
+    got = G.cooccurrence_edges(s.union(hot), every, k=10, heavy=64).collect()
+    assert {(r.src, r.dst) for r in got} == {p for p, _ in sorted(want.items(), key=lambda x: (-math.floor(x[1] / (len(rules) + 1) * 1e9 + 0.5), x[0]))[:10]}

@@ -173,3 +173,24 @@ def test_evictions_leave_registry_and_lists(spark, tmp_path):
     assert got == {"r1": ("demoted", "never-helped"), "r2": ("evicted", "high-injection-low-value"), "r3": ("evicted", "low-avg-high-volume"), "r4": ("skipped", None)}
     assert {r.id for r in reg.read().collect()} == {"r4"}
     assert {r.id: (r.list, r.line) for r in lists.read().collect()} == {"r1": ("learned", "- **r1:** deploy it <!-- demoted from Critical on 2026-01-05 -->"), "r4": ("learned", "l4")}
+
+
+def test_transcripts_of_any_shape(spark):
+    from loopwright.sources import transcripts as X
+
+    user = lambda c: json.dumps({"type": "user", "message": {"content": c}, "timestamp": "2026-01-01T00:00:00Z"})
+    said = lambda *b: json.dumps({"type": "assistant", "message": {"content": list(b)}})
+    text, tool = (lambda t: {"type": "text", "text": t}), (lambda n, **i: {"type": "tool_use", "name": n, "input": i})
+    lines = [
+        user("no problem, go on"), "{broken", "", said(text("first"), text("second"), tool("Skill", skill="plan")), user("No, not like this"), json.dumps({"type": "last-prompt", "sessionId": "real"}),
+        said(tool("Edit", file_path="x"), {"type": "tool_use"}), user([{"type": "image"}, text("fix it M:1 S:2 Q:3")]), said(text(7)), user("undo"), user({"odd": 1}), json.dumps([1, 2]), "null", json.dumps({"type": "user", "content": "  STOP now"}),
+        said(tool("Skill", skill="")), user("/rate m:9 s:9  q:10 thanks"), json.dumps({"type": "assistant", "content": "plain"}),
+    ]
+    d = spark.createDataFrame([("f1", i, x) for i, x in enumerate(lines)] + [("f2", 0, user("wrong")), ("f1", 99, None)], "file string, line long, value string").repartition(3)
+    got = X.signals(d, 10)
+    assert {(r.session_id, r.line, r.score) for r in got["ratings"].collect()} == {("real", 7, "M:1 S:2 Q:3"), ("real", 15, "m:9 s:9  q:10")}
+    assert {(r.line, r.session_id, r.phrase, r.context) for r in got["corrections"].collect()} == {
+        (4, "f1", "No, not like this", "second"), (7, "real", "fix it M:1 S:2 Q:3", "second"), (9, "real", "undo", ""), (13, "real", "  STOP now", "")
+    }
+    assert {r.tool: r.n for r in got["tools"].collect()} == {"Skill": 2, "Edit": 1, "unknown": 1}
+    assert [(r.session_id, r.skill) for r in got["skills"].collect()] == [("f1", "plan")] and tuple(got["files"].first()) == (1, 1)
