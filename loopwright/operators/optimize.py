@@ -43,23 +43,25 @@ def hill_climb(start: str, evaluate: Callable[[str], float], propose: Callable[[
 
 
 def coordinate_search(start: dict[str, float], evaluate: Callable[[list[dict[str, float]]], list[float]], step: float = 0.25, rounds: int = 20, stall: int = 5, floor: float = 0.76) -> tuple[dict[str, float], float]:
-    """Moves one weight at a time by the step either way; all neighbours of a round are evaluated in one call, so in one job.
+    """Moves one weight after the other by the step, up or else down, and keeps each gain at once; weights stay at 0 or more.
 
-    Ends after `stall` rounds without gain. A best value under the floor gives the start back.
+    Both ways of a weight are evaluated in one call, so in one job: after a gain upwards the way down leads back to where it was. Ends after `stall`
+    rounds in a row without gain. A best value under the floor gives the start back.
     """
     best, value, idle = dict(start), evaluate([start])[0], 0
     first = value
     for _ in range(rounds):
-        near = [{**best, k: max(0.0, best[k] + d)} for k in best for d in (step, -step)]
-        got = evaluate(near)
-        i = max(range(len(near)), key=lambda j: (got[j], -j))
-        if got[i] > value:
-            best, value, idle = near[i], got[i], 0
-        else:
-            idle += 1
-            if idle >= stall:
-                break
-            step = step / 2
+        gained = False
+        for k in start:
+            near = [{**best, k: max(0.0, best[k] + d)} for d in (step, -step)]
+            near = [w for w in near if w[k] != best[k]]
+            for w, got in zip(near, evaluate(near) if near else [], strict=True):
+                if got > value:
+                    best, value, gained = w, got, True
+                    break
+        idle = 0 if gained else idle + 1
+        if idle >= stall:
+            break
     return (best, value) if value >= floor else (dict(start), first)
 
 

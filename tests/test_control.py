@@ -30,6 +30,18 @@ def test_coordinate_search_finds_a_maximum():
     assert O.coordinate_search({"a": 1.0, "b": 1.0}, lambda ws: [0.1] * len(ws))[0] == {"a": 1.0, "b": 1.0}
 
 
+def test_coordinate_search_takes_each_gain_at_once():
+    seen = []
+
+    def f(ws):
+        seen.extend(tuple(w.values()) for w in ws)
+        return [1.0 + min(w["a"], 1.5) + (w["b"] if w["a"] > 1.2 else -w["b"]) for w in ws]
+
+    best, value = O.coordinate_search({"a": 1.0, "b": 0.1}, f, rounds=2)
+    assert seen[:5] == [(1.0, 0.1), (1.25, 0.1), (0.75, 0.1), (1.25, 0.35), (1.25, 0.0)]  # b is tried from where a went
+    assert best == {"a": 1.5, "b": 0.6} and abs(value - 3.1) < 1e-9
+
+
 def test_rubric_faults():
     assert O.rubric_faults([{"name": "a", "weight": 0.5}, {"name": "b", "weight": 0.5}]) == []
     assert len(O.rubric_faults([{"name": "a", "weight": 0.5}, {"name": "a", "weight": 0}])) == 3
