@@ -12,6 +12,7 @@ from loopwright.operators import graph as G
 from loopwright.operators import retrieval as T
 from loopwright.plans import bindings as B
 from loopwright.plans import q_retrieval as Q
+from loopwright.plans import q_signals as QS
 from loopwright.plans.bindings import BM25, r, sql
 from loopwright.operators.iterate import cut, shared_folder
 from loopwright.sources import logs as L
@@ -100,7 +101,7 @@ def edge_weight_history(s: SparkSession, d: str) -> DataFrame:
 
 def failure_groups(s: SparkSession, d: str) -> DataFrame:
     """Groups of similar user turns, as a cycle over twenty conversations each would find them."""
-    t = B.turns(s, d).where("role = 'user'").select(F.floor(F.col("session_id") / 20).alias("cycle"), (F.col("session_id") * 1000 + F.col("seq")).alias("id"), tok_fail(F.col("text")).alias("tokens"))
+    t = QS.spoken(s, d).where("role = 'user'").select(F.floor(F.col("session_id") / 20).alias("cycle"), (F.col("session_id") * 1000 + F.col("seq")).alias("id"), tok_fail(F.col("text")).alias("tokens"))
     g = G.leader_groups(t.withColumn("ordinal", F.col("id")), "cycle", 0.3, True)
     return g.groupBy("cycle", "leader").agg(F.count(F.lit(1)).alias("frequency")).where("frequency >= 2")
 
@@ -214,15 +215,16 @@ UNION ALL SELECT 'late', NULL, count(*) FILTER (late), NULL FROM x"""
 
 _WORDS = lambda strip, into, least: f"list_filter(regexp_split_to_array(regexp_replace(lower(text), '{strip}', '{into}', 'g'), '\\s+'), lambda t: length(t) >= {least})"
 #: The n-th turn of every block at a time, with the groups so far.
-_GROUPS = lambda block, words, near, grown: sql(["turns"], "", [
-    f"u AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY id) AS i FROM (SELECT {block} AS block, session_id * 1000 + seq AS id, {words} AS t FROM turns WHERE role = 'user'))",
+_GROUPS = lambda turns, block, words, near, grown: sql(["turns"], "", [
+    QS.SPOKEN,
+    f"u AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY id) AS i FROM (SELECT {block} AS block, session_id * 1000 + seq AS id, {words} AS t FROM {turns} WHERE role = 'user'))",
     f"""st AS (SELECT DISTINCT block, 0::BIGINT AS i, []::STRUCT(leader BIGINT, t VARCHAR[], n BIGINT)[] AS gs FROM u UNION ALL
 SELECT block, i, CASE WHEN p = 0 THEN list_append(gs, {{'leader': id, 't': t, 'n': 1}}) ELSE list_concat(gs[:p - 1], [{{'leader': gs[p].leader, 't': {grown}, 'n': gs[p].n + 1}}], gs[p + 1:]) END FROM
 (SELECT s.block, u.i, u.id, u.t, s.gs, coalesce(list_position(list_transform(s.gs, lambda g: coalesce(len(u.t) > 0 AND len(g.t) > 0 AND {near}, false)), true), 0) AS p FROM st s JOIN u ON u.block = s.block AND u.i = s.i + 1))""",
     "gr AS (SELECT block, unnest(arg_max(gs, i)) AS g FROM st GROUP BY 1)",
 ]).replace("WITH ", "WITH RECURSIVE ", 1)
-_FAILURES = _GROUPS("session_id // 20", f"list_distinct({_WORDS('[^a-z0-9\\s]', ' ', 3)})", "len(list_intersect(g.t, u.t)) / len(list_distinct(list_concat(g.t, u.t)))::DOUBLE >= 0.3::DOUBLE", "list_distinct(list_concat(gs[p].t, t))") + 'SELECT block AS "cycle", g.leader AS leader, g.n AS frequency FROM gr WHERE g.n >= 2'
-_REVIEWS = _GROUPS("'all'", _WORDS("[^a-z0-9\\s]", "", 2), "len(list_filter(u.t, lambda x: list_contains(g.t, x))) / least(len(u.t), len(g.t))::DOUBLE >= 0.4::DOUBLE", "gs[p].t") + "SELECT g.leader AS leader, g.n AS frequency FROM gr WHERE g.n >= 3"
+_FAILURES = _GROUPS("spoken", "session_id // 20", f"list_distinct({_WORDS('[^a-z0-9\\s]', ' ', 3)})", "len(list_intersect(g.t, u.t)) / len(list_distinct(list_concat(g.t, u.t)))::DOUBLE >= 0.3::DOUBLE", "list_distinct(list_concat(gs[p].t, t))") + 'SELECT block AS "cycle", g.leader AS leader, g.n AS frequency FROM gr WHERE g.n >= 2'
+_REVIEWS = _GROUPS("turns", "'all'", _WORDS("[^a-z0-9\\s]", "", 2), "len(list_filter(u.t, lambda x: list_contains(g.t, x))) / least(len(u.t), len(g.t))::DOUBLE >= 0.4::DOUBLE", "gs[p].t") + "SELECT g.leader AS leader, g.n AS frequency FROM gr WHERE g.n >= 3"
 
 QUERIES = {
     "same_domain_edges": (same_domain_edges, sql([], "SELECT src, dst, 'same_domain' AS relationship, 0.5::DOUBLE AS strength, 'domain' AS source FROM sde", [_SDE])),

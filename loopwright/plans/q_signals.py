@@ -50,21 +50,21 @@ PHRASES = [
 ]
 
 
-def _spoken(s: SparkSession, d: str) -> DataFrame:
+def spoken(s: SparkSession, d: str) -> DataFrame:
     said = F.element_at(F.array(*map(F.lit, PHRASES)), (F.pmod(F.col("session_id") * 5 + F.col("seq") * 3, F.lit(len(PHRASES))) + 1).cast("int"))
     return B.turns(s, d).withColumn("text", F.concat_ws(" ", said, "text")).withColumn("char_count", F.length("text"))
 
 
 def debrief(s: SparkSession, d: str) -> DataFrame:
-    return V.debrief(_spoken(s, d)).select("session_id", F.col("turn_index").cast("long").alias("turn_index"), "kind", F.col("severity").cast("long").alias("severity"), "theme", "phrase", F.md5("context").alias("context_md5"))
+    return V.debrief(spoken(s, d)).select("session_id", F.col("turn_index").cast("long").alias("turn_index"), "kind", F.col("severity").cast("long").alias("severity"), "theme", "phrase", F.md5("context").alias("context_md5"))
 
 
 def debrief_candidates(s: SparkSession, d: str) -> DataFrame:
-    return V.debrief_candidates(V.debrief(_spoken(s, d))).select("session_id", "theme", "frequency", F.col("severity").cast("long").alias("severity"))
+    return V.debrief_candidates(V.debrief(spoken(s, d))).select("session_id", "theme", "frequency", F.col("severity").cast("long").alias("severity"))
 
 
 def harvest(s: SparkSession, d: str) -> DataFrame:
-    return V.harvest(_spoken(s, d)).select("session_id", "seq", "kind", "category", F.md5(F.coalesce("context", F.lit(""))).alias("context_md5"))
+    return V.harvest(spoken(s, d)).select("session_id", "seq", "kind", "category", F.md5(F.coalesce("context", F.lit(""))).alias("context_md5"))
 
 
 def extract_task(s: SparkSession, d: str) -> DataFrame:
@@ -72,7 +72,7 @@ def extract_task(s: SparkSession, d: str) -> DataFrame:
 
 
 def assertion_audit(s: SparkSession, d: str) -> DataFrame:
-    m = _spoken(s, d).where("role = 'assistant'").withColumn("message_id", F.col("session_id") * 1000 + F.col("seq"))
+    m = spoken(s, d).where("role = 'assistant'").withColumn("message_id", F.col("session_id") * 1000 + F.col("seq"))
     return V.assertion_audit(m).select("message_id", F.col("place").cast("long").alias("place"), "phrase", "has_evidence")
 
 
@@ -205,13 +205,13 @@ FROM claims c JOIN asked a ON a.skill = c.skill AND a.i = c.i + 1 LEFT JOIN inv
 
 
 _QUOTE = lambda x: "'" + x.replace("'", "''") + "'"
-_SPOKEN = f"spoken AS (SELECT * REPLACE (CASE WHEN p = '' THEN ' ' || text ELSE p || ' ' || text END AS text) FROM (SELECT *, [{', '.join(map(_QUOTE, PHRASES))}][(session_id * 5 + seq * 3) % {len(PHRASES)} + 1] AS p FROM turns))"
+SPOKEN = f"spoken AS (SELECT * REPLACE (CASE WHEN p = '' THEN ' ' || text ELSE p || ' ' || text END AS text) FROM (SELECT *, [{', '.join(map(_QUOTE, PHRASES))}][(session_id * 5 + seq * 3) % {len(PHRASES)} + 1] AS p FROM turns))"
 #: Two of the patterns look ahead, which this engine cannot; here they are found, and not followed by what they exclude.
 _SEVERE = " ".join(
     f"WHEN regexp_matches(text, {_QUOTE('(?i)' + p.split('(?!')[0])})" + (f" AND NOT regexp_matches(text, {_QUOTE('(?i)' + p.replace('(?!', '(?:'))})" if "(?!" in p else "") + f" THEN {n}" for p, n in C.CORRECTIONS
 )
 _DEBRIEF = [
-    _SPOKEN,
+    SPOKEN,
     "said AS (SELECT *, last_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reply FROM spoken)",
     f"asked AS (SELECT *, lower(text) AS low, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS turn_index, CASE WHEN NOT {_ANY('text', C.NOISE)} THEN CASE {_SEVERE} END END AS severity, coalesce({', '.join(f'CASE WHEN contains(lower(text), {_QUOTE(x)}) THEN {_QUOTE(x)} END' for x in C.DEBRIEF_APPROVALS)}) AS praise FROM said WHERE role = 'user')",
     """db AS (SELECT session_id, turn_index, 'correction' AS kind, severity::BIGINT AS severity, CASE WHEN regexp_matches(low, 'stop|don''?t') THEN 'behavioral-correction' WHEN regexp_matches(low, 'wrong|incorrect|not right') THEN 'accuracy-error' WHEN regexp_matches(low, 'missed|too much|didn''?t ask') THEN 'scope-mismatch' ELSE 'general-correction' END AS theme,
@@ -233,14 +233,14 @@ FROM (SELECT session_id, count(*) FILTER (role = 'user') AS h, count(*) FILTER (
     "harvest": (
         harvest,
         sql(["turns"], "SELECT session_id, seq, kind, category, md5(coalesce(context, '')) AS context_md5 FROM k WHERE kind IS NOT NULL",
-        [_SPOKEN, "h AS (SELECT *, substr(lag(text) OVER (PARTITION BY session_id ORDER BY seq), 1, 200) AS context FROM spoken WHERE length(trim(text)) >= 20)",
+        [SPOKEN, "h AS (SELECT *, substr(lag(text) OVER (PARTITION BY session_id ORDER BY seq), 1, 200) AS context FROM spoken WHERE length(trim(text)) >= 20)",
          f"k AS (SELECT session_id, seq, context, CASE WHEN {_ANY('text', C.SYSTEM)} THEN 'system' ELSE 'algorithm' END AS category, unnest([CASE WHEN role = 'user' AND {_ANY('text', C.HARVEST_CORRECTIONS)} THEN 'correction' END, CASE WHEN role <> 'user' AND {_ANY('text', C.HARVEST_ERRORS)} AND regexp_matches(text, '(?i)fix|solved|resolved|the issue was|problem was') THEN 'error' END, CASE WHEN role <> 'user' AND {_ANY('text', C.HARVEST_INSIGHTS)} THEN 'insight' END]) AS kind FROM h)"]),
     ),
     "extract_task": (extract_task, None),
     "assertion_audit": (
         assertion_audit,
         sql(["turns"], "SELECT message_id, place, substr(trim(x), 1, 200) AS phrase, own AS has_evidence FROM near WHERE claim AND (own OR NOT near)", [
-            _SPOKEN,
+            SPOKEN,
             "cut AS (SELECT session_id * 1000 + seq AS message_id, list_filter(regexp_split_to_array(text, '[.!?\n]+'), lambda x: length(trim(x)) > 10) AS l FROM spoken WHERE role = 'assistant' AND length(text) >= 20)",
             f"one AS (SELECT message_id, place - 1 AS place, x, {_ANY('x', C.EVIDENCE)} AS own, {_ANY('x', C.ASSERTIONS)} AS claim FROM (SELECT message_id, unnest(l) AS x, generate_subscripts(l, 1) AS place FROM cut))",
             "near AS (SELECT *, bool_or(own) OVER (PARTITION BY message_id ORDER BY place ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM one)",
