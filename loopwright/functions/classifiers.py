@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from loopwright.functions.text import bigrams, half_up, split_space
 
 # The lists, patterns and their order below are what classifies; they must stay as they are for right results.
-POSITIVE = (
-    "excellent|amazing|brilliant|fantastic|wonderful|incredible|awesome|perfect|great|nice|superb|outstanding|terrific|love it|nailed it|well done|good job|great job|nice work|stellar|phenomenal|remarkable|splendid|beautiful|magnificent"
-).split("|")
-NEGATIVE = "wrong|broken|terrible|awful|horrible|bad|frustrated|annoying|useless|disappointed|fail|failure|disaster|mess|garbage|waste".split("|")
+POSITIVE = [
+    "excellent", "amazing", "brilliant", "fantastic", "wonderful", "incredible", "awesome", "perfect", "great", "nice", "superb", "outstanding",
+    "terrific", "love it", "nailed it", "well done", "good job", "great job", "nice work", "stellar", "phenomenal", "remarkable", "splendid",
+    "beautiful", "magnificent",
+]
+NEGATIVE = [
+    "wrong", "broken", "terrible", "awful", "horrible", "bad", "frustrated", "annoying", "useless", "disappointed", "fail", "failure", "disaster",
+    "mess", "garbage", "waste",
+]
 SESSION_CORRECTIONS = ["no ", "wrong", "stop ", "not like that", "i didn't ask", "that's not", "incorrect", "fix that", "that's wrong"]
 SESSION_APPROVALS = ["yes", "perfect", "exactly", "great", "good", "go for it", "that's right", "correct", "nice", "love it"]
 DEBRIEF_APPROVALS = ["perfect", "yes exactly", "great work", "love it", "keep doing that", "nice", "that's right", "excellent", "well done", "nailed it", "go for it"]
@@ -99,14 +104,20 @@ MEMORY_TYPES = {
     "procedural": [r"\balways\b", r"\bnever\b", r"\bmust\b", r"\bstep\s*\d", r"\bworkflow\b", r"\bprocess\b", r"\bsequence\b", r"\bbefore\b.*\bafter\b", r"\bfirst\b.*\bthen\b", r"\bpipeline\b"],
     "semantic": [r"\buser\s+(is|prefers|uses|wants)\b", r"\bproject\s+(uses|has|requires)\b", r"\bsystem\s+(is|uses|has)\b", r"\barchitecture\b", r"\bpreference\b", r"\bfact\b", r"\bconfiguration\b"],
 }
-BEHAVIOURAL = "verify read check confirm validate test before always never must surgical evidence ask first ensure review inspect".split()
-PROCEDURAL = "run spawn invoke execute after when trigger fire launch call deploy rebuild use apply switch route queue".split()
+BEHAVIOURAL = [
+    "verify", "read", "check", "confirm", "validate", "test", "before", "always", "never", "must", "surgical", "evidence", "ask", "first", "ensure",
+    "review", "inspect",
+]
+PROCEDURAL = [
+    "run", "spawn", "invoke", "execute", "after", "when", "trigger", "fire", "launch", "call", "deploy", "rebuild", "use", "apply", "switch", "route",
+    "queue",
+]
 COHORTS = [
-    ("testing", "verify assert claim check confirm evidence".split()),
-    ("delegation", "delegate agent team escalate routing spawn".split()),
-    ("scope", "scope incomplete wrong misread missing partial delivery complete".split()),
-    ("process", "test deploy build pipeline loop workflow process gate".split()),
-    ("delivery", "communicate context unclear misunderstand ask clarify".split()),
+    ("testing", ["verify", "assert", "claim", "check", "confirm", "evidence"]),
+    ("delegation", ["delegate", "agent", "team", "escalate", "routing", "spawn"]),
+    ("scope", ["scope", "incomplete", "wrong", "misread", "missing", "partial", "delivery", "complete"]),
+    ("process", ["test", "deploy", "build", "pipeline", "loop", "workflow", "process", "gate"]),
+    ("delivery", ["communicate", "context", "unclear", "misunderstand", "ask", "clarify"]),
 ]
 #: Rebuttals by cohort; the first and the last key match no cohort's name.
 REBUTTALS = {
@@ -119,7 +130,10 @@ REBUTTALS = {
 INJECTIONS = [r"(?i)ignore\s+(all\s+)?previous\s+instructions", r"(?i)you\s+are\s+now\s+", r"(?i)act\s+as\s+(a\s+)?", r"(?i)system\s*:\s*", r"(?i)\[INST\]", r"(?i)<<SYS>>", r"(?i)<\|im_start\|>"]
 ACKS = ["yes", "no", "sure", "ok", "right", "yeah", "yep", "nah", "another claude session", "got it", "go ahead", "do it", "sounds good", "let's go", "proceed", "continue"]
 GARBAGE = ["context:", "<local-command-caveat>", "analyze these source file changes"]
-VERBS = "fix add build ship create implement debug investigate refactor update remove deploy migrate test review configure optimize replace wire integrate delete merge rewrite extract move".split()
+VERBS = [
+    "fix", "add", "build", "ship", "create", "implement", "debug", "investigate", "refactor", "update", "remove", "deploy", "migrate", "test",
+    "review", "configure", "optimize", "replace", "wire", "integrate", "delete", "merge", "rewrite", "extract", "move",
+]
 HARVEST_CORRECTIONS = [r"actually,?\s+", r"wait,?\s+", r"no,?\s+i meant", "let me clarify", r"that's not (quite )?right", "you misunderstood", "i was wrong", "my mistake"]
 HARVEST_ERRORS = ["error:", "failed:", "exception:", "stderr:", "command failed", "permission denied"]
 HARVEST_INSIGHTS = ["learned that", "realized that", "discovered that", "key insight", "important:", "note to self", "for next time", "lesson:"]

@@ -53,7 +53,7 @@ def injections(spark: SparkSession, d: str) -> DataFrame:
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents")
-    return t.select(F.col("doc_id").alias("id"), F.array("lang", "source").alias("domains"), F.substring("text", 1, 500).alias("description"), (1 + F.col("doc_id") % 5).alias("severity"))
+    return t.select(F.col("doc_id").alias("id"), F.array("lang", "source").alias("domains"), F.col("text").alias("description"), (1 + F.col("doc_id") % 5).alias("severity"))
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
