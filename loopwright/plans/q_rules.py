@@ -157,6 +157,16 @@ qual AS (SELECT query_id, {r('coalesce(h3, 0) / ng::DOUBLE')} AS recall_3, {r('c
 _RK = "(SELECT query_id, doc_id AS item, rank FROM bmr WHERE rank <= 15)"
 _DUP = Q.QUERIES["lexical_duplicates"][1]
 
+_ATTRIBUTION = sql(["turns"], f"""SELECT tk.session_id, seq AS rule_id, {r("greatest(1.0::DOUBLE, least(6.0::DOUBLE, 6.0::DOUBLE - 0.5::DOUBLE * coalesce(k, 0)))")} AS score, {r("coalesce(p, 0.0::DOUBLE)")} AS proximity
+FROM tk LEFT JOIN h ON h.session_id = tk.session_id AND h.rule_id = tk.seq WHERE role = 'assistant'""", [
+    "tk AS (SELECT session_id, seq, role, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s_-]', ' ', 'g'), '\\s+'), lambda t: length(t) >= 2) AS t FROM turns)",
+    "c AS (SELECT session_id, seq AS c, term, count(*) AS tf FROM (SELECT session_id, seq, unnest(t) AS term FROM tk WHERE role = 'user') GROUP BY ALL)",
+    "ru AS (SELECT session_id, seq AS rule_id, len(t) AS n, unnest(list_distinct(t)) AS term FROM tk WHERE role = 'assistant')",
+    "si AS (SELECT session_id, rule_id, c, sum(tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE) * ln(2)) / any_value(n) AS sim FROM ru JOIN c USING (session_id, term) GROUP BY session_id, rule_id, c)",
+    "h AS (SELECT session_id, rule_id, count(*) FILTER (sim > 0.3::DOUBLE) AS k, max(sim) AS p FROM si GROUP BY 1, 2)",
+])
+
+
 QUERIES = {
     "rule_stats": (_stats, sql(["inj"], "SELECT * FROM st", [_ST])),
     "differential_lift": (differential_lift, sql(["inj"], f"SELECT rule_id, {r('mean - (SELECT avg(rating) FROM inj)', 3)} AS lift FROM st", [_ST])),
@@ -170,7 +180,7 @@ QUERIES = {
     "ledger_undo": (ledger_undo, "SELECT o_custkey AS rule_id, o_orderdate AS ts, o_orderkey AS seq FROM orders QUALIFY row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) > 25"),
     "effectiveness": (effectiveness, "WITH p AS (SELECT o_custkey AS rule_id, min(o_orderdate) + INTERVAL 180 DAYS AS pa FROM orders GROUP BY 1), c AS (SELECT o_custkey AS rule_id, o_orderdate AS ts FROM orders WHERE o_orderpriority LIKE '1%'), g AS (SELECT rule_id, count(*) FILTER (ts < pa) AS before, count(*) FILTER (ts >= pa) AS after FROM p LEFT JOIN c USING (rule_id) GROUP BY 1) SELECT rule_id, before, after, after - before AS delta, before > 0 AND after < before AS effective FROM g"),
     "nearest_rating_asof": (nearest_rating, sql(["ev", "ratings", "corr"], f"SELECT session_id, arg_min(rating, (d, c, event_id)) AS rating, {r('min(d)', 3)} AS seconds FROM (SELECT s.session_id, e.rating, e.event_id, epoch_us(e.ts) / 1e6::DOUBLE AS c, abs(epoch_us(s.ts) / 1e6::DOUBLE - epoch_us(e.ts) / 1e6::DOUBLE) AS d FROM (SELECT session_id, min(ts) AS ts FROM corr GROUP BY 1) s JOIN ratings e ON e.ts > s.ts - INTERVAL 6 HOURS AND e.ts < s.ts + INTERVAL 6 HOURS) GROUP BY 1")),
-    "attribution": (attribution, None),
+    "attribution": (attribution, _ATTRIBUTION),
     "reconcile": (reconcile, sql(["inj"], "SELECT 'injected' AS name, max(n)::DOUBLE AS value, CASE WHEN max(n) <= 20 THEN 'ok' ELSE 'fail' END AS status FROM ld UNION ALL SELECT 'telemetry', sum(n)::DOUBLE, CASE WHEN sum(n) > 0 THEN 'ok' ELSE 'fail' END FROM ld UNION ALL SELECT 'roi', count(*) FILTER (n >= 100 AND decayed < 3)::DOUBLE, CASE WHEN count(*) FILTER (n >= 100 AND decayed < 3) = 0 THEN 'ok' ELSE 'warn' END FROM st", [_ST, "ld AS (SELECT session_id, count(*) AS n FROM inj GROUP BY 1)"])),
     "trajectories": (trajectories, "SELECT o_orderkey AS id, o_totalprice AS rating FROM orders ORDER BY o_totalprice DESC, o_orderdate DESC, o_orderkey LIMIT 100"),
     "recall_at_k": (recall_at_k, sql(BM25, "SELECT * FROM qual", [_GOLD, _QUAL(_RK)])),
