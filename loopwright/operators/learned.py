@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loopwright.functions.classifiers import normal_id
+from loopwright.operators.retrieval import if_small
 from loopwright.operators.rules import age_days
 
 
@@ -18,21 +19,19 @@ def named_stats(names: DataFrame, stats: DataFrame) -> DataFrame:
     return exact.union(near).groupBy("name").agg(F.min(F.struct("how", "rule_id"))["rule_id"].alias("rule_id"))
 
 
-def _grams(text: Column, sizes: tuple[int, ...]) -> Column:
-    """All parts of a text that are so many characters long."""
-
-    def of(n: int) -> Column:
-        parts = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
-        return F.when(F.length(text) >= n, parts).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
-
-
 def containing(long: DataFrame, short: DataFrame) -> DataFrame:
-    """(a, b) of rows (a, x) and (b, y) where the text x holds the text y; candidates share the first characters of y, up to four."""
-    x = long.select("a", "x", F.explode(_grams(F.col("x"), (1, 2, 3, 4))).alias("g"))
-    y = short.where(F.length("y") > 0).select("b", "y", F.substring("y", 1, 4).alias("g"))
-    return x.join(y, "g").where(F.contains("x", "y")).select("a", "b").distinct()
+    """(a, b) of rows (a, x) and (b, y) where the text x holds the text y, which is not empty.
+
+    A part of x equals y exactly then, so parts that are as long as some y meet the different y by equality: the work follows the rows and the lengths of
+    texts, however many texts begin alike. Parts travel as hashes; the texts confirm.
+    """
+    y = short.where(F.length("y") > 0)
+    kinds = y.select("y").distinct().withColumns({"h": F.xxhash64("y"), "n": F.length("y")})
+    sizes = kinds.agg(F.collect_set("n").alias("sizes"))  # lengths of texts: few, as their longest is long at most
+    parts = F.flatten(F.transform("sizes", lambda n: F.transform(F.sequence(F.lit(1), F.length("x") - n + 1), lambda i: F.xxhash64(F.substring(F.col("x"), i, n)))))
+    x = long.select("x").distinct().join(F.broadcast(sizes)).withColumn("sizes", F.filter("sizes", lambda n: n <= F.length("x")))
+    met = x.select("x", F.explode(F.array_distinct(parts)).alias("h")).join(if_small(kinds.select("y", "h")), "h").where(F.contains("x", "y")).select("x", "y")
+    return long.select("a", "x").join(met, "x").join(y.select("b", "y"), "y").select("a", "b").distinct()
 
 
 def fuzzy_names(nodes: DataFrame, names: DataFrame, least: float = 0.6) -> DataFrame:
