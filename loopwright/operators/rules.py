@@ -115,16 +115,30 @@ def matching_corrections(rules: DataFrame, corrections: DataFrame, least: float
 
 
 def nearest_rating(sessions: DataFrame, ratings: DataFrame, hours: int = 24) -> DataFrame:
-    """(session_id, rating, seconds): the rating nearest in time within `hours`, the earlier of equals.
+    """(session_id, rating, seconds): the rating nearest in time within `hours`, the earlier of equals, of equal times the one of the smallest event_id.
 
-    A range join on day buckets: a session looks at its own bucket and its neighbours, never at all ratings.
+    Only the last rating up to a session's time and the first one after it can be nearest. They stand in the session's bucket of `hours`, where one window over both
+    sides finds them, or at the near end of the bucket before or after: no session meets ratings pair by pair.
     """
     width = hours * 3600
     sec = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    s = sessions.select("session_id", sec.alias("a")).withColumn("b", F.explode(F.array(*[F.floor(F.col("a") / width) + i for i in (-1, 0, 1)])))
-    r = ratings.select(F.col("event_id"), "rating", sec.alias("c")).withColumn("b", F.floor(F.col("c") / width))
-    j = s.join(r, "b").withColumn("d", F.abs(F.col("a") - F.col("c"))).where(F.col("d") < width)
-    best = j.groupBy("session_id").agg(F.min(F.struct("d", "c", "event_id", "rating")).alias("m"))
+    bucket = F.floor(F.col("t") / width)
+    first = F.min(F.struct("event_id", "rating"))
+    r = ratings.where("ts is not null").groupBy(sec.alias("t")).agg(first.alias("m")).select("t", bucket.alias("b"), F.struct("t", "m.event_id", "m.rating").alias("own"))
+    s = sessions.where("ts is not null").select("session_id", sec.alias("t")).withColumn("b", bucket)
+    ends = r.groupBy("b").agg(F.min("own").alias("head"), F.max("own").alias("tail"))
+    none = F.lit(None).cast(r.schema["own"].dataType)
+    both = r.select("b", "t", F.lit(0).alias("asks"), "own", F.lit(None).cast(s.schema["session_id"].dataType).alias("session_id"))
+    both = both.union(s.select("b", "t", F.lit(1).alias("asks"), none.alias("own"), "session_id"))
+    # a rating of the session's own time stands before it; both windows run on from row to row
+    up, down = W.partitionBy("b").orderBy("t", "asks"), W.partitionBy("b").orderBy(F.desc("t"), F.desc("asks"))
+    last = lambda w: F.last("own", True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+    near = both.withColumns({"before": last(up), "after": last(down)}).where("asks = 1")
+    near = near.join(ends.select((F.col("b") + 1).alias("b"), "tail"), "b", "left").join(ends.select((F.col("b") - 1).alias("b"), "head"), "b", "left")
+    d = lambda c: F.abs(F.col("t") - F.col(f"{c}.t"))
+    found = near.select("session_id", "t", F.coalesce("before", "tail").alias("x"), F.coalesce("after", "head").alias("y"))
+    both = F.least(*[F.when(d(c) < width, F.struct(d(c).alias("d"), F.col(f"{c}.t").alias("c"), F.col(f"{c}.event_id").alias("event_id"), F.col(f"{c}.rating").alias("rating"))) for c in ("x", "y")])
+    best = found.groupBy("session_id").agg(F.min(both).alias("m")).where("m is not null")
     return best.select("session_id", F.col("m.rating").alias("rating"), half_up(F.col("m.d"), 3).alias("seconds"))
 
 

@@ -32,3 +32,21 @@ def test_containing_where_all_texts_begin_alike(spark, soon):
     got = {tuple(r) for r in L.containing(long, short).collect()}
     want = {(i, int(str(i)[:k])) for i in range(n) for k in range(1, len(str(i)) + 1) if int(str(i)[:k]) % 2 == 0 and str(int(str(i)[:k])) == str(i)[:k]} | {(i, -2) for i in range(n) if str(i).startswith("77")}
     assert got == want
+
+
+def test_nearest_rating_within_one_bucket(spark, soon):
+    n, zero, rng = 60_000, dt.datetime(2024, 1, 1), random.Random(3)
+    draw = lambda: [rng.randrange(0, 20_000_000) for _ in range(n)]
+    asks, given = draw(), draw()
+    at = lambda ms: zero + dt.timedelta(milliseconds=ms)
+    s = spark.createDataFrame([(i, at(t)) for i, t in enumerate(asks)] + [(-1, at(90_000_000)), (-2, None)], "session_id long, ts timestamp")
+    r = spark.createDataFrame([(i, at(t), float(i)) for i, t in enumerate(given)] + [(n, None, 1.0)], "event_id long, ts timestamp, rating double")
+    got = {x.session_id: (x.rating, x.seconds) for x in R.nearest_rating(s, r, 6).collect()}
+    line = sorted((t, i) for i, t in enumerate(given))
+    sec = lambda ms: (1_704_067_200_000_000 + ms * 1000) / 1e6  # noqa: E731  # distances are those of doubles, as in SQL
+    for i, t in enumerate(asks):
+        k = bisect.bisect_left(line, (t + 1, -1))
+        near = line[bisect.bisect_left(line, (line[k - 1][0], -1))] if k else None, line[k] if k < n else None
+        d, _, e = min((abs(sec(t) - sec(x[0])), *x) for x in near if x)
+        assert got[i] == (float(e), round(d, 3))
+    assert set(got) == set(range(n))
