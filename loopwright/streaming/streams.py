@@ -49,10 +49,15 @@ def sessions(events: DataFrame, key: str, gap: str = "30 minutes", ts: str = "ts
 
 
 def interval_join(left: DataFrame, right: DataFrame, key: str, minutes: int, late: str = "7 days") -> DataFrame:
-    """(key, left_id, right_id): right events within `minutes` after a left one of the same key."""
+    """(key, left_id, right_id): right events within `minutes` after a left one of the same key.
+
+    Both sides meet by key and stretch of `minutes`, a left event in its own stretch and the next, so an event looks at what is near in time, never at all that its key holds.
+    """
+    stretch = lambda t: F.floor(F.unix_micros(t) / F.lit(minutes * 60_000_000))
     a = left.select(F.col(key).alias("k1"), F.col("event_id").alias("left_id"), F.col("ts").alias("t1")).withWatermark("t1", late)
-    b = right.select(F.col(key).alias("k2"), F.col("event_id").alias("right_id"), F.col("ts").alias("t2")).withWatermark("t2", late)
-    near = F.expr(f"k1 = k2 AND t2 >= t1 AND t2 <= t1 + INTERVAL {minutes} MINUTES")
+    a = a.withColumn("s1", F.explode(F.array(stretch(F.col("t1")), stretch(F.col("t1")) + 1)))
+    b = right.select(F.col(key).alias("k2"), F.col("event_id").alias("right_id"), F.col("ts").alias("t2")).withWatermark("t2", late).withColumn("s2", stretch(F.col("t2")))
+    near = F.expr(f"k1 = k2 AND s1 = s2 AND t2 >= t1 AND t2 <= t1 + INTERVAL {minutes} MINUTES")
     return a.join(b, near).select(F.col("k1").alias(key), "left_id", "right_id")
 
 

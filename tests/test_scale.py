@@ -50,3 +50,14 @@ def test_nearest_rating_within_one_bucket(spark, soon):
         d, _, e = min((abs(sec(t) - sec(x[0])), *x) for x in near if x)
         assert got[i] == (float(e), round(d, 3))
     assert set(got) == set(range(n))
+
+
+def test_interval_join_of_one_key(spark, tmp_path, soon):
+    n, first = 60_000, 1_704_067_200
+    spark.range(n).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(first) + F.col("id") * 60 + F.col("id") % 7).alias("ts"), F.lit(1).alias("skill")).coalesce(1).write.parquet(f"{tmp_path}/e.parquet")
+    e = spark.read.parquet(f"{tmp_path}/e.parquet")
+    side = lambda k: S.read_table(spark, str(tmp_path), "e", e.schema).where(F.col("event_id") % 2 == k)
+    got = S.to_table(S.interval_join(side(0), side(1), "skill", 30), "append")
+    at = lambda i: 60 * i + i % 7
+    want = sum(at(i) <= at(j) <= at(i) + 1800 for i in range(0, n, 2) for j in range(i + 1, min(n, i + 35), 2))
+    assert got.count() == want == got.distinct().count()
