@@ -218,12 +218,21 @@ def aggregate_quality(quality: DataFrame) -> DataFrame:
     return quality.agg(*[half_up(F.avg(c), 6).alias(c) for c in quality.columns if c != "query_id"], F.count(F.lit(1)).alias("n"))
 
 
-def cluster_recall(ranked: DataFrame, gold: DataFrame, neighbours: DataFrame, k: int = 5) -> DataFrame:
-    """Recall and reciprocal rank where a retrieved item brings its neighbours (item, other) at its own rank."""
+def cluster_recall(ranked: DataFrame, gold: DataFrame, neighbours: DataFrame, classes: DataFrame, k: int = 5) -> DataFrame:
+    """Recall and reciprocal rank where a retrieved item brings its neighbours at its own rank.
+
+    Items of one class (item, lead) are neighbours of each other, and of all items of the classes that neighbours (item, other), pairs of leads both ways, join to theirs. Ranks
+    travel from class to class, and only items of the gold set look theirs up, so classes are not expanded into pairs.
+    """
     own = ranked.select("query_id", "item", "rank")
-    via = own.join(neighbours, "item").select("query_id", F.col("other").alias("item"), "rank")
-    best = own.union(via).groupBy("query_id", "item").agg(F.min("rank").alias("rank"))
-    return retrieval_quality(best, gold, (k,)).select("query_id", f"recall_{k}", "rr")
+    least = F.min("rank").alias("rank")
+    at = own.join(classes, "item").groupBy("query_id", "lead").agg(least)
+    via = at.join(neighbours, F.col("lead") == F.col("item")).select("query_id", F.col("other").alias("lead"), "rank")
+    told = at.union(via.select(at.columns)).groupBy("query_id", "lead").agg(least)
+    g = gold.select("query_id", "item").distinct()
+    brought = g.join(classes, "item").join(told, ["query_id", "lead"]).select("query_id", "item", "rank")
+    best = own.union(brought).groupBy("query_id", "item").agg(least)
+    return retrieval_quality(best, g, (k,)).select("query_id", f"recall_{k}", "rr")
 
 
 def domain_recall(retrieved: DataFrame, pool: DataFrame, wanted: DataFrame) -> DataFrame:

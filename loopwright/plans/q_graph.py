@@ -71,7 +71,8 @@ def label_propagation(s: SparkSession, d: str) -> DataFrame:
 
 
 def near_dup_clusters(s: SparkSession, d: str) -> DataFrame:
-    return G.near_duplicate_clusters(T.lexical_duplicates(B.table(s, d, "documents")))
+    classes, near = T.lexical_classes(B.table(s, d, "documents"))
+    return G.near_duplicate_clusters(near, classes)
 
 
 def graph_query(s: SparkSession, d: str) -> DataFrame:

@@ -120,9 +120,9 @@ def mean_quality(s: SparkSession, d: str) -> DataFrame:
 
 
 def cluster_recall(s: SparkSession, d: str) -> DataFrame:
-    e = T.lexical_duplicates(B.table(s, d, "documents"))
+    classes, e = T.lexical_classes(B.table(s, d, "documents"))
     near = e.select(F.col("a").alias("item"), F.col("b").alias("other")).union(e.select("b", "a"))
-    return R.cluster_recall(_ranked(s, d), _gold(s, d), near)
+    return R.cluster_recall(_ranked(s, d), _gold(s, d), near, classes.select(F.col("id").alias("item"), "lead"))
 
 
 def domain_recall(s: SparkSession, d: str) -> DataFrame:

@@ -61,3 +61,28 @@ def test_interval_join_of_one_key(spark, tmp_path, soon):
     at = lambda i: 60 * i + i % 7
     want = sum(at(i) <= at(j) <= at(i) + 1800 for i in range(0, n, 2) for j in range(i + 1, min(n, i + 35), 2))
     assert got.count() == want == got.distinct().count()
+
+
+def test_copies_are_one_class(spark, soon):
+    """30,000 copies, a near one, and texts of few common words."""
+    n = 30_000
+    words = lambda k, m: " ".join(f"word{k}x{i}" for i in range(m))
+    near = words("a", 39) + " other"
+    rows = [(i, words("a", 40)) for i in range(n)] + [(n, near), (n + 1, words("b", 30)), (n + 2, words("b", 30).upper()), (n + 3, words("c", 30)), (n + 4, "short"), (n + 5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes, pairs = T.lexical_classes(docs)
+    assert {tuple(r) for r in classes.where(f"id >= {n}").collect()} == {(n, n), (n + 1, n + 1), (n + 2, n + 1), (n + 3, n + 3)}
+    assert classes.where("lead = 0").count() == n and [tuple(r) for r in pairs.collect()] == [(0, n, 0.951)]
+    assert {tuple(r) for r in G.near_duplicate_clusters(pairs, classes).collect()} == {(0, n + 1, 1.0), (n + 1, 2, 1.0)}
+    ranked = spark.createDataFrame([(1, 5, 4), (1, n + 4, 1), (2, n, 2), (3, n + 3, 1)], "query_id long, item long, rank int")
+    gold = spark.createDataFrame([(1, 7), (1, n), (1, n + 4), (1, n + 5), (2, 0), (3, n + 1)], "query_id long, item long")
+    both = pairs.select(F.col("a").alias("item"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    got = R.cluster_recall(ranked, gold, both, classes.withColumnRenamed("id", "item"))
+    assert {tuple(r) for r in got.collect()} == {(1, 0.75, 1.0), (2, 1.0, 0.5), (3, 0.0, 0.0)}
+
+
+def test_pairs_of_copies_over_many_chunks(spark):
+    texts = {i: "one two three four five six seven" if i % 3 else "one two three four five six seven eight" for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = sorted(tuple(r) for r in T.lexical_duplicates(docs, 0.8, chunk=4).collect())
+    assert got == [(a, b, 1.0 if texts[a] == texts[b] else 0.875) for a in range(60) for b in range(a + 1, 60)]
