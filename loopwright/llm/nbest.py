@@ -275,6 +275,11 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[tuple]:
         """For each text (ids, scores of the n best, counts of their pieces, crc32 of their ids as little-endian int32, whether it reads back)."""
+        for ways, scores, same in self.readings(texts):
+            yield ways[0], scores, [len(w) for w in ways], [zlib.crc32(np.ascontiguousarray(w, dtype="<i4")) for w in ways], same
+
+    def readings(self, texts: list[str]) -> Iterator[tuple]:
+        """For each text (ids of each of the n best, their scores, whether it reads back)."""
         if len(self.index) > CACHED or sum(map(len, self.kept)) > 16 * CACHED:
             self._clear()
         cut = [self.segments(t) for t in texts]
@@ -289,7 +294,7 @@ class Encoder:
         starts, begin = np.cumsum(lengths) - lengths, 0
         for text, segs in zip(texts, cut, strict=True):
             if not segs:
-                yield np.zeros(0, dtype=np.int32), [0.0], [0], [0], True
+                yield [np.zeros(0, dtype=np.int32)], [0.0], True
                 continue
             at = where[begin : begin + len(segs)]
             begin += len(segs)
@@ -309,25 +314,24 @@ class Encoder:
                     self.listed[s] = n_best(self.p, self.string(s), self.n)
                 own = self.listed[s]
                 ways = heapq.nsmallest(self.n, ((d + own[0][0] - w, (*c, (int(k), r)) if r else c) for d, c in ways for r, (w, _) in enumerate(own)), key=lambda x: x[0])
-            scores, counts, sums = [], [], []
+            scores, wholes = [], []
             for d, changes in ways:
                 parts, last = [], 0
                 for k, r in sorted(changes):
                     parts += [ids[last : ends[k] - size[k]], self.listed[segs[k]][r][1]]
                     last = ends[k]
-                whole = np.concatenate((*parts, ids[last:])) if parts else ids
+                wholes.append(np.concatenate((*parts, ids[last:])) if parts else ids)
                 scores.append(best - d)
-                counts.append(len(whole))
-                sums.append(zlib.crc32(np.ascontiguousarray(whole, dtype="<i4")))
-            yield ids, scores, counts, sums, same
+            yield wholes, scores, same
 
     def _nearest(self, gap: np.ndarray) -> np.ndarray:
         some = np.argpartition(gap, self.n - 1)[: self.n - 1]
         return some[np.argsort(gap[some], kind="stable")]
 
 
-def encode(docs: DataFrame, model: str, n: int = 4, at_once: int = 4 << 20) -> DataFrame:
-    """doc_id, ids of the best segmentation, scores, piece counts and crc32 of the n best, and whether decoding gives the text.
+def encode(docs: DataFrame, model: str, n: int = 4, at_once: int = 4 << 20, every: bool = False) -> DataFrame:
+    """doc_id, ids of the best segmentation, scores, piece counts and crc32 of the n best, and whether decoding gives the text; with `every` also nbest, the ids of
+    each of the n best, best first.
 
     Whole texts are encoded, about `at_once` bytes of them at a time (a longer one by itself), which bounds memory and changes no result.
     Null and empty texts have no ids, one segmentation of score 0 and no pieces, and decode to the
@@ -338,6 +342,10 @@ def encode(docs: DataFrame, model: str, n: int = 4, at_once: int = 4 << 20) -> D
     """
     pieces = Pieces.load(model)
 
+    def lists(flat: list[np.ndarray]) -> pa.ListArray:
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in flat]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *flat])))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(pieces, n)
         for b in batches:
@@ -345,15 +353,24 @@ def encode(docs: DataFrame, model: str, n: int = 4, at_once: int = 4 << 20) -> D
             for i, j in runs(offsets, at_once):
                 part = b.slice(i, j - i)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                rows = list(encoder.encode(texts))
-                size = np.array([len(r[0]) for r in rows])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(np.concatenate([r[0] for r in rows])))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), lists, pa.array([r[1] for r in rows], pa.list_(pa.float64())), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int64())), pa.array([r[4] for r in rows])],
-                    names=["doc_id", "ids", "scores", "pieces", "crcs", "round_trip"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, ids array<int>, scores array<double>, pieces array<bigint>, crcs array<bigint>, round_trip boolean")
+                best, scores, counts, sums, same, ways = [], [], [], [], [], []
+                for w, x, ok in encoder.readings(texts):
+                    best.append(w[0])
+                    scores.append(x)
+                    counts.append([len(y) for y in w])
+                    sums.append([zlib.crc32(np.ascontiguousarray(y, dtype="<i4")) for y in w])
+                    same.append(ok)
+                    ways.append(w if every else ())
+                columns = [part.column(0), lists(best), pa.array(scores, pa.list_(pa.float64())), pa.array(counts, pa.list_(pa.int64())), pa.array(sums, pa.list_(pa.int64())), pa.array(same)]
+                names = ["doc_id", "ids", "scores", "pieces", "crcs", "round_trip"]
+                if every:
+                    ends = np.concatenate(([0], np.cumsum([len(w) for w in ways]))).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), lists([y for w in ways for y in w])))
+                    names.append("nbest")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    more = ", nbest array<array<int>>" if every else ""
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, ids array<int>, scores array<double>, pieces array<bigint>, crcs array<bigint>, round_trip boolean" + more)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -368,5 +385,5 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
 
 def op3_nbest(docs: DataFrame, model: str) -> DataFrame:
-    """Every document with the ids of its best segmentation and the digests of its four best."""
-    return encode(docs, model, 4)
+    """Every document with the ids of its best segmentation, and the ids (nbest) and digests of each of its four best."""
+    return encode(docs, model, 4, every=True)

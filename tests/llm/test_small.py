@@ -602,3 +602,12 @@ def test_corpus_sql(spark, small, name):
     import oracle
 
     assert oracle.compare(spark, oracle.connect(small), small, corpus.queries()[name], corpus.oracle_sql()[name]) == ""
+
+
+def test_op3_gives_the_ids_of_all_its_best(spark, pieces):
+    rows = nbest.op3_nbest(documents(spark, ["hello there world", "", None, "a b\nc é x"]), corpus.MODEL).collect()
+    for r in rows:
+        assert [zlib.crc32(np.array(w, dtype="<i4").tobytes()) for w in r.nbest] == r.crcs and [len(w) for w in r.nbest] == r.pieces
+        assert list(r.ids) == list(r.nbest[0]) and len(r.nbest) == len(r.scores) == len({tuple(w) for w in r.nbest})
+        assert len({pieces.decode(list(w)) for w in r.nbest}) == 1
+    assert max(len(r.nbest) for r in rows) == 4
