@@ -86,3 +86,20 @@ def test_pairs_of_copies_over_many_chunks(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = sorted(tuple(r) for r in T.lexical_duplicates(docs, 0.8, chunk=4).collect())
     assert got == [(a, b, 1.0 if texts[a] == texts[b] else 0.875) for a in range(60) for b in range(a + 1, 60)]
+
+
+def test_leaders_meet_rows_of_one_block(spark, soon):
+    """12,000 rows that share words with nearly all others: pairs of rows would be 70 million, pairs of a row and a leader are few."""
+    rng = random.Random(5)
+    common, rare = [f"common{i}" for i in range(12)], [f"rare{i}" for i in range(400)]
+    data = [(i, rng.sample(common, rng.randrange(0, 7)) + rng.choices(rare, k=rng.randrange(0, 12))) for i in range(12_000)]
+    leaders, want = [], {}
+    for i, tokens in data:
+        hit = next((x for x, t in leaders if tokens and sum(w in t for w in tokens) / min(len(tokens), len(t)) >= 0.4), None) if tokens else None
+        if hit is None and tokens:
+            leaders.append((i, tokens))
+        want[i] = i if hit is None else hit
+    d = spark.createDataFrame([("all", *x) for x in data], "block string, id long, tokens array<string>").withColumn("ordinal", F.col("id"))
+    for rows_per_task in (16_384, 500):
+        got = {r.id: r.leader for r in G.leader_groups(d, "block", 0.4, False, rows_per_task).collect()}
+        assert got == want
