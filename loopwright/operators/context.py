@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loopwright.functions.text import half_up
-from loopwright.operators.retrieval import bm25_scores, top_k
+from loopwright.operators.retrieval import best_of_few, bm25_scores, top_k
 
 #: Weight of a rule by the prefix of its id (1 where none is listed), types that may be injected, files that are no rules.
 TYPE_WEIGHTS = {"feedback": 1.0, "steering": 1.0, "success": 0.8, "project": 0.3, "reference": 0.5}
@@ -17,6 +17,11 @@ INDEX_FILES = r"(?i)^(MEMORY|README|INDEX)$"
 
 def detect_domains(queries: DataFrame, seeds: DataFrame, share: float = 0.3, most: int = 3) -> DataFrame:
     """(query_id, domain, score, rank): the domains, of seeds (domain, text), that score `share` of the query's best one by BM25, three at most."""
+    few = best_of_few(seeds, queries, 16, "domain")
+    if few is not None:
+        best = F.array_max(F.transform("best", lambda x: x["score"]))
+        near = few.select("query_id", F.explode(F.filter("best", lambda x: (x["score"] >= share * best) & (x["rank"] <= most))).alias("x"))
+        return near.select("query_id", F.col("x.doc").alias("domain"), "x.score", "x.rank")
     ranks = top_k(bm25_scores(seeds, queries, "domain"), 16, "query_id", "domain")
     best = F.max("score").over(W.partitionBy("query_id"))
     return ranks.withColumn("best", best).where((F.col("score") >= share * F.col("best")) & (F.col("rank") <= most)).drop("best")

@@ -123,3 +123,19 @@ def test_texts_are_scored_where_they_stand(spark):
     assert near(got) == near(want) and len(near(got)) > 500
     assert [r.doc_id for r in got.where("query_id = 42").orderBy("rank").collect()][:3] == [600, 601, 602]
     assert T.bm25_search(docs.limit(0), queries).count() == 0 == T.bm25_search(docs, queries.limit(0)).count()
+
+
+def test_domains_of_a_query_need_no_shuffle(spark):
+    """All scores of a query with all domains met in the tasks of a few terms; seeds are few, so queries are scored where they stand."""
+    from loopwright.operators import context as C
+
+    seeds = spark.createDataFrame([("é", "red blue green"), ("b", "red red tall"), ("a", "red blue green"), ("c", "small"), (None, "tiny"), ("d", None)], "domain string, text string")
+    rows = [(1, "red blue"), (2, "tall red red"), (3, "none"), (4, None), (5, "small tall"), (6, "tiny")]
+    got = C.detect_domains(spark.createDataFrame(rows, "query_id long, text string"), seeds)
+    assert "Exchange" not in plan(got)
+    found = {(r.query_id, r["rank"]): (r.domain, r.score) for r in got.collect()}
+    want = T.top_k(T.bm25_scores(seeds, spark.createDataFrame(rows, "query_id long, text string"), "domain"), 3, "query_id", "domain").collect()
+    best = {r.query_id: r.score for r in want if r["rank"] == 1}
+    want = {(r.query_id, r["rank"]): (r.domain, r.score) for r in want if r.score >= 0.3 * best[r.query_id]}
+    assert set(found) == set(want) and all(found[k][0] == want[k][0] and abs(found[k][1] - want[k][1]) < 1e-9 for k in want)
+    assert found[1, 1][0] == "a" and found[1, 2][0] == "é" and C.detect_domains(spark.createDataFrame(rows, "query_id long, text string"), seeds.limit(0)).count() == 0
