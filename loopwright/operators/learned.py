@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loopwright.functions.classifiers import normal_id
+from loopwright.operators.iterate import cut
 from loopwright.operators.retrieval import if_small
 from loopwright.operators.rules import age_days
 
@@ -146,5 +147,5 @@ def tier_counts(rules: DataFrame) -> DataFrame:
 def pattern_diff(mined: DataFrame, seeds: DataFrame) -> DataFrame:
     """(domain, term, side): terms (domain, term) that are mined only or seeds only, whatever their case."""
     low = lambda d: d.select("domain", F.lower("term").alias("term")).distinct()
-    a, b = low(mined), low(seeds)
+    a, b = cut(low(mined)), cut(low(seeds))  # each is read twice
     return a.join(b, ["domain", "term"], "left_anti").withColumn("side", F.lit("added")).union(b.join(a, ["domain", "term"], "left_anti").withColumn("side", F.lit("removed")))

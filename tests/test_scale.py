@@ -139,3 +139,9 @@ def test_domains_of_a_query_need_no_shuffle(spark):
     want = {(r.query_id, r["rank"]): (r.domain, r.score) for r in want if r.score >= 0.3 * best[r.query_id]}
     assert set(found) == set(want) and all(found[k][0] == want[k][0] and abs(found[k][1] - want[k][1]) < 1e-9 for k in want)
     assert found[1, 1][0] == "a" and found[1, 2][0] == "é" and C.detect_domains(spark.createDataFrame(rows, "query_id long, text string"), seeds.limit(0)).count() == 0
+
+
+def test_terms_are_mined_once(spark, small):
+    from loopwright.plans import q_context
+
+    assert "parquet" not in plan(q_context.pattern_diff(spark, small)).lower()  # each side used to mine them anew, four times in all
