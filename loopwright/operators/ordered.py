@@ -233,6 +233,7 @@ def bootstrap_draws(values: DataFrame, column: str, rounds: int = 1000, seed: in
 
 def bootstrap_ci(values: DataFrame, column: str, rounds: int = 1000, seed: int = 7) -> DataFrame:
     """One row (mean, low, high): the mean and the 2.5 and 97.5 per cent places among the sorted means of bootstrap rounds; 0 without values."""
+    values = cut(values.select(column))  # read for the draws and the mean
     means = bootstrap_draws(values, column, rounds, seed).select(half_up(F.col("total") / F.col("n"), 9).alias("m"))
     q = means.agg(F.sort_array(F.collect_list("m")).alias("s"))  # `rounds` numbers
     mean = values.agg(F.avg(column).alias("mean"))

@@ -114,3 +114,11 @@ def test_draws_add_up_in_every_round(spark):
     ci = O.bootstrap_ci(d, "v", 400).first()
     assert ci.low < ci.mean < ci.high and abs(ci.mean - x.mean()) < 1e-5
     assert tuple(O.bootstrap_ci(d.limit(0), "v").first()) == (0.0, 0.0, 0.0) and tuple(O.bootstrap_ci(d.limit(0).union(spark.createDataFrame([(2.0,)], "v double")), "v").first()) == (2.0, 2.0, 2.0)
+
+
+def test_values_are_worked_out_once(spark, small):
+    from pyspark.sql import functions as F
+
+    source = spark.read.parquet(f"{small}/events.parquet").select(F.col("value").alias("v"))
+    text = O.bootstrap_ci(source, "v", 50)._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" not in text.lower()  # the mean used to read the source anew
