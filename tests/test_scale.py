@@ -145,3 +145,20 @@ def test_terms_are_mined_once(spark, small):
     from loopwright.plans import q_context
 
     assert "parquet" not in plan(q_context.pattern_diff(spark, small)).lower()  # each side used to mine them anew, four times in all
+
+
+def test_pairs_are_dealt_to_tasks_of_a_bounded_size(spark):
+    """Pairs used to be summed in as many tasks as there are partitions, however many pairs there were."""
+    rng = random.Random(8)
+    held = [(i, r, float(1 + i % 10)) for i in range(300) for r in rng.sample(range(150), rng.randrange(0, 7))]
+    want, rules = {}, {}
+    for i, r, x in held:
+        rules.setdefault(i, (x, set()))[1].add(r)
+    for x, rs in rules.values():
+        for a, b in ((a, b) for a in rs for b in rs if a < b):
+            want[a, b] = want.get((a, b), 0) + max(0.3, x / 10)
+    pairs = sum(len(rs) * (len(rs) - 1) // 2 for _, rs in rules.values())
+    got = G.cooccurrence_edges(spark.createDataFrame(held, "session_id long, rule_id long, rating double"), spark.range(150), k=10_000, heavy=5, pairs_per_task=40)
+    assert "hashpartitioning(src#" in plan(got) and f", {1 + pairs // 40}), REPARTITION_BY_NUM" in plan(got)
+    found = {(r.src, r.dst): r.strength for r in got.collect()}
+    assert set(found) == set(want) and all(abs(found[p] - w / len(rules)) < 1e-8 for p, w in want.items())
